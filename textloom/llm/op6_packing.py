@@ -35,25 +35,43 @@ BUFFER_TOKENS = 1 << 19
 #: Tokens in a step group.
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 class WordTokenizer:
     """Ids of whole texts, from remembered ids of their words.
 
-    The tokenizer's own splitting never joins over a space or line feed, and never over the border between a
-    letter or digit and a full stop or comma, so ids of the parts in a row are ids of the whole.
+    The tokenizer's own splitting never joins over a space or line feed, and never over the border between an
+    ASCII letter or digit and a full stop or comma, so ids of the parts in a row are ids of the whole. Words of
+    letters alone are looked up many at a time: each ends in an id that stands only at the end of words.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {"": b""}, cache_words
-        self.marks = {m: self._ids([m])[0] for m in ".,"}
+        self.marks = {m: self._each([m])[0] for m in ".,"}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(some):
+                out += self._each(some)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
@@ -63,14 +81,27 @@ class WordTokenizer:
             known[""] = b""
         new = set().union(*split).difference(known)
         marked = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalnum() and w[-2].isascii()]
-        plain = list(new.difference(marked).union(w[:-1] for w in marked).difference(known))
-        known.update(zip(plain, self._ids(plain), strict=True))
+        plain = new.difference(marked).union(w[:-1] for w in marked).difference(known)
+        letters = [w for w in plain if w.isalpha() and "\u0130" not in w]
+        other = list(plain.difference(letters))
+        known.update(zip(letters, self._ids(letters), strict=True))
+        known.update(zip(other, self._each(other), strict=True))
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so that later tasks find the words of earlier ones."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 class Packer:
     """Online packing of one partition; yields (key, start, ids, total, sequence, offset, tier)."""
 
@@ -177,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
 
         tokenizer = None
         for b in batches:
-            tokenizer = tokenizer or WordTokenizer(tokenizer_path)
+            tokenizer = tokenizer or worker_tokenizer(tokenizer_path)
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
                 for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1).to_pylist()), strict=True):
