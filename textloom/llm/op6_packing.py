@@ -17,6 +17,7 @@ taken in input order; extra columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -35,7 +36,11 @@ BUFFER_TOKENS = 1 << 19
 #: Tokens in a step group.
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
+
+
+#: How the tokenizer splits ASCII words; a fixed value, given by its file.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokenizer:
@@ -83,9 +88,15 @@ class WordTokenizer:
         marked = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalnum() and w[-2].isascii()]
         plain = new.difference(marked).union(w[:-1] for w in marked).difference(known)
         letters = [w for w in plain if w.isalpha() and "\u0130" not in w]
-        other = list(plain.difference(letters))
+        other = plain.difference(letters)
+        split_up = {w: _PARTS.findall(w.lower()) for w in other if w.isascii() and w.isprintable() and "<|" not in w}
+        parts = {p for ps in split_up.values() for p in ps}.difference(known).difference(letters)
+        letters += (p for p in parts if p.isalpha())
         known.update(zip(letters, self._ids(letters), strict=True))
-        known.update(zip(other, self._each(other), strict=True))
+        whole = [p for p in (*parts, *other.difference(split_up)) if p not in known]
+        known.update(zip(whole, self._each(whole), strict=True))
+        for w, ps in split_up.items():
+            known[w] = b"".join(map(known.__getitem__, ps))
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
         get = known.__getitem__
