@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_language, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_warc, op6_packing, op7_decontamination, op10_jaccard_join
+from . import op1_language, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_warc, op6_packing, op7_decontamination, op8_preferences, op10_jaccard_join
 
-_MODULES = (op1_language, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_warc, op6_packing, op7_decontamination, op10_jaccard_join)
+_MODULES = (op1_language, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_warc, op6_packing, op7_decontamination, op8_preferences, op10_jaccard_join)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
