@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
+        # every neighbour above a node joins the least of that node and its neighbours, and so does the node
+        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v")))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
@@ -30,5 +31,19 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) of a graph brought up to date with more edges, by the components of the contracted graph.
+
+    Nodes that ``roots`` lacks are roots of themselves.
+    """
+    end = lambda e: F.coalesce(F.col(f"r{e}"), F.col(e)).alias(e)
+    known = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}"))
+    between = edges.join(known("a"), "a", "left").join(known("b"), "b", "left").select(end("a"), end("b")).where("a != b")
+    above = components(between)
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return cut(old.unionByName(above.join(roots, "node", "left_anti").select("node", "root")))
+
+
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.sum(F.xxhash64("v", "u") % F.lit(1 << 40))).first())

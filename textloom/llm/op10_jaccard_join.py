@@ -12,7 +12,8 @@ Sets are the distinct five-word shingles of a text; two texts link when 100 * in
 * The boundary between small and large is the size at which enumeration and scanning together cost least, by the
   histogram of small sizes.
 
-Candidates pass the size and position filters, then the exact test on whole sets. A list longer than ``NEAR`` is
+Candidates pass the size and position filters, a test of bitmaps that can only show that they do not link, and then the
+exact test on whole sets. A list longer than ``NEAR`` is
 compared only with pivots at first: members that link to one are connected, so they need no pairs among
 them. Members that belong to another class than most of their list become pivots in later rounds, until
 no list has a member of another class that has not met all the others. Links within a class may stay untested;
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bytes_of, cut, dropped, stored, table
-from .components import components
+from .common import bytes_of, cut, stored, table
+from .components import components, merged
 
 #: Frequent shingles that order prefixes; which these are does not change the result.
 MAX_FREQUENT = 100_000
@@ -49,7 +50,7 @@ MOST_SMALL, SCAN_COST = 12, 8
 #: Rows up to which one side of a join may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Shingles among which a task looks for frequent ones at a time, and the count that makes one a candidate.
-SPAN, OFTEN = 3_000_000, 4
+SPAN, OFTEN = 1_500_000, 3
 
 
 def required(n: int, m: int) -> int:
@@ -121,13 +122,14 @@ def _posting(frequent: np.ndarray, rank: np.ndarray, small: int):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                nodes, sizes, subsets, prefixes = [], [], [], []
+                nodes, sizes, subsets, prefixes, sketches = [], [], [], [], []
                 for s in _sets_of(b.slice(at, 1000), 0):
                     n = len(s)
                     if not n:
                         continue
                     nodes.append(shingles.set_id(s))
                     sizes.append(n)
+                    sketches.append(_sketch(s))
                     subsets.append(_subsets(s, small) if n <= small else [])
                     if n <= small and 5 * n < 4 * (small + 1):
                         prefixes.append([])
@@ -141,7 +143,7 @@ def _posting(frequent: np.ndarray, rank: np.ndarray, small: int):
                             those = s[common]
                             s = np.concatenate((s[~common], those[np.lexsort((those, rank[at_[common]]))]))
                     prefixes.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(subsets, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "subsets", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(subsets, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "n", "subsets", "prefix", "sketch"])
 
     return run
 
@@ -159,6 +161,19 @@ def _subsets(s: np.ndarray, small: int) -> list[int]:
     return out
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, of two to four bits for each member, in words of 64 bits."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(s >> np.uint64(17)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+#: Members of x that y cannot have: bits that only x has, the longer bitmap being folded to the other's length.
+_ONLY = "aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (t, c) -> t + c)"
+_FOLDED = "if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"
+
+
 def _emit_sets(batches):
     for b in batches:
         for at in range(0, b.num_rows, 1000):
@@ -190,9 +205,10 @@ class _Join:
         self.small = boundary(histogram)
         self.checked: DataFrame | None = None
 
-    def links(self) -> DataFrame:
-        """Edges that connect exactly the nodes that links connect."""
-        post = stored(self.texts.select("text").mapInArrow(_posting(self.frequent, self.rank, self.small), "node bigint, n int, subsets array<bigint>, prefix array<bigint>"), "postings")
+    def roots(self) -> DataFrame:
+        """node and root, for the nodes that link with another."""
+        post = stored(self.texts.select("text").mapInArrow(_posting(self.frequent, self.rank, self.small), "node bigint, n int, subsets array<bigint>, prefix array<bigint>, sketch array<bigint>"), "postings")
+        self.sketches = post.select("node", "n", "sketch")
         edges = self._subset_links(post)
         rows = post.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
         spark, heavy_ids = post.sparkSession, self.frequent.view(np.int64)
@@ -200,14 +216,13 @@ class _Join:
         heavy = rows.join(F.broadcast(heavy_keys), "key", "left_semi").withColumn("band", F.expr(_BAND))
         light = rows.join(F.broadcast(heavy_keys), "key", "left_anti")
         near, long = self._light(light)
-        pivots = heavy.groupBy("key", "band").agg(F.min(F.struct("n", "node", "pos")).alias("p"))
+        pivots = heavy.groupBy("key", "band").agg(F.min(F.struct("pos", "n", "node")).alias("p"))
         pivots = F.broadcast(pivots.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("p.n").alias("m"), F.col("p.node").alias("mnode"), F.col("p.pos").alias("mpos")))
         star = heavy.join(pivots, ["key", "band"]).where("node != mnode").where(_FILTER).select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b"))
-        found = cut(edges.unionByName(self._tested(near.unionByName(star).distinct())))
+        roots = cut(components(edges.unionByName(self._tested(near.unionByName(star).distinct()))))
         long = long.unionByName(heavy.select("key", "node", "n", "pos").distinct())
-        found = self._later_rounds(stored(long, "lists"), found)
-        dropped(post)
-        return found
+        roots = self._later_rounds(stored(long, "lists"), roots)
+        return roots
 
     @staticmethod
     def _subset_links(post: DataFrame) -> DataFrame:
@@ -231,6 +246,7 @@ class _Join:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
+        pairs = stored(self._possible(pairs), "possible")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = stored(self.info.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
         texts = self.texts.join(_some_or_all(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi").select("text")
@@ -241,24 +257,34 @@ class _Join:
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(100 * shared >= 80 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    def _later_rounds(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps leave room for a link: members that show in one bitmap only are in one set only."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        maps = self.sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        both = pairs.join(maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y0")), "b").join(maps.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x0")), "a")
+        both = both.where("5 * least(n, m) >= 4 * greatest(n, m)").withColumn("x", F.expr(_FOLDED.format(x="x0", y="y0"))).withColumn("y", F.expr(_FOLDED.format(x="y0", y="x0")))
+        most = f"least(n - {_ONLY.format(x='x', y='y')}, m - {_ONLY.format(x='y', y='x')})"
+        return both.where(f"9 * {most} >= 4 * (n + m)").select("a", "b")
+
+    def _later_rounds(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """Pivots from other classes than most of their list, until none is left that has not met the list."""
         met, several = None, 4
         while True:
-            roots = components(found)
             rows = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             most = rows.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("top.root").alias("main"))
             open_ = rows.join(most, "key")
             left = open_.where("root != main")
             if met is not None:
                 left = left.join(met, ["key", "node"], "left_anti")
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("pos", "n", "node"))
             pivots = stored(left.withColumn("r", rank).where(F.col("r") <= several).select("key", "node", "n", "pos", "root"), "pivots")
             if pivots.isEmpty():
-                return found
+                return roots
             here = pivots.select("key", F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("mroot"))
             pairs = open_.join(here, "key").where("root != mroot").where(_FILTER).select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b")).distinct()
-            found = cut(found.unionByName(self._tested(pairs)))
+            new = cut(self._tested(pairs))
+            if not new.isEmpty():
+                roots = merged(roots, new)
             met = pivots.select("key", "node") if met is None else met.unionByName(pivots.select("key", "node"))
             several *= 16
 
@@ -266,7 +292,7 @@ class _Join:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     join = _Join(docs)
-    roots = components(join.links())
+    roots = join.roots()
     info = join.info.select("doc_id", "n", "node")
     firsts = info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -13,7 +13,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 #: Bytes of text that are hashed in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
