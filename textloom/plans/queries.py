@@ -1,10 +1,391 @@
-"""Named queries over the test tables, with the SQL that states the same."""
+"""Named queries over the test tables, with the SQL that states the same.
+
+Queries named after a format write each document of a table in that format and read it back, over the whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import filetypes, paths, textnorm
+from textloom.operators import native, ooxml, rtf
+
+from . import packers
+from .extract import archive_entries, extract_documents, extract_text, fold_entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Documents in an archive.
+GROUP = 8
+NAMES = ("a.HTML", "xtar.gz", "A.TAR.GZ", "a.tar.bz2", ".gz", "n.", "a.b/c", "none", "x.md", "x.tgz", "d/y.docx", "z.Rb", "p.key", "q.zipx", "r.svg", "s.yaml")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- pages ---------------------------------------------------------------------------------------------------------
+
+_WS = r"[\t\n\f\r \x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_CHAIN = "html"
+for _pattern in (r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in ("head", "script", "style")), r"(?s)<[/!]?[A-Za-z][^>]*>"):
+    _CHAIN = f"regexp_replace({_CHAIN}, '{_pattern}', ' ', 'g')"
+for _ in range(2):
+    for _name, _sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        _CHAIN = f"replace({_CHAIN}, '{_name}', '{_sign}')"
+_HTML = f"trim(regexp_replace({_CHAIN}, '{_WS}', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_HTML} AS text FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", native.html_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, CAST(octet_length(encode({_HTML})) AS BIGINT) AS size FROM pages")
+def html_text_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", textnorm.byte_length(native.html_text(F.col("html"))).alias("size"))
+
+
+@query(f"SELECT page_id, {_HTML} AS text FROM pages")
+def html_text_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(_table(spark, sf_dir, "pages"), "page_id", 1, F.col("html").cast("binary"))
+
+
+# -- types ---------------------------------------------------------------------------------------------------------
+
+_ALL_NAMES = [*(f"f.{s}" for s in filetypes.TYPES), *NAMES]
+_CASES = " ".join(f"WHEN '{s}' THEN {c}" for s, c in filetypes.TYPES.items())
+_EXT = "CASE WHEN lower(name) LIKE '%tar.gz' THEN 'tar.gz' ELSE regexp_extract(lower(name), '[.]([^./]*)$', 1) END"
+_NAMED = f"(SELECT doc_id, concat(doc_id, '/', list_extract({list(_ALL_NAMES)!r}, CAST(doc_id % {len(_ALL_NAMES)} AS BIGINT) + 1)) AS name FROM documents)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in _ALL_NAMES]), (F.col("doc_id") % len(_ALL_NAMES) + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("/"), name).alias("name"))
+
+
+@query(f"SELECT doc_id, name, CAST(CASE {_EXT} {_CASES} ELSE 114 END AS INTEGER) AS file_type FROM {_NAMED}")
+def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("doc_id", "name", filetypes.detect_type(F.col("name")).alias("file_type"))
+
+
+@query(f"SELECT CAST(CASE {_EXT} {_CASES} ELSE 114 END AS INTEGER) AS file_type, count(*) AS files FROM {_NAMED} GROUP BY 1")
+def type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).groupBy(filetypes.detect_type(F.col("name")).alias("file_type")).agg(F.count("*").alias("files"))
+
+
+_VALUES = ", ".join(f"('{s}', {c}, '{filetypes.class_of(c)}', '{filetypes.EXTRACTORS.get(c, 'raw')}')" for s, c in filetypes.TYPES.items())
+
+
+@query(f"SELECT doc_id, coalesce(t.class, 'other') AS class, coalesce(t.extractor, 'raw') AS extractor FROM {_NAMED} n LEFT JOIN (VALUES {_VALUES}) t(ext, file_type, class, extractor) ON t.ext = {_EXT}")
+def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a broadcast join with the dimension table, which is as long as the list of suffixes."""
+    named = _named(spark, sf_dir).withColumn("ext", filetypes.extension_of(F.col("name")))
+    found = named.join(F.broadcast(filetypes.file_types(spark)), "ext", "left")
+    return found.select("doc_id", F.coalesce("class", F.lit("other")).alias("class"), F.coalesce("extractor", F.lit("raw")).alias("extractor"))
+
+
+# -- text types and normalisation ----------------------------------------------------------------------------------
+
+
+def _read(rows: DataFrame, key: str, code: int, content: Column, name: Column | None = None) -> DataFrame:
+    r = extract_text(F.lit(code), content, name if name is not None else F.lit("f"))
+    return rows.select(key, r.alias("r")).select(key, "r.text")
+
+
+def _passed(rows: DataFrame, key: str, ext: str, content: Column) -> DataFrame:
+    files = rows.select(F.concat(F.col(key).cast("string"), F.lit(f".{ext}")).alias("path"), content.cast("binary").alias("content"))
+    return extract_documents(files).select("path", "file_type", "class", "method", "text", "size", "n_parts", "error")
+
+
+def _passed_sql(table: str, key: str, ext: str, code: int, text: str, method: str, kind: str = "text") -> str:
+    return f"SELECT concat({key}, '.{ext}') AS path, CAST({code} AS INTEGER) AS file_type, '{kind}' AS class, '{method}' AS method, {text} AS text, CAST(octet_length(encode({text})) AS BIGINT) AS size, CAST(1 AS INTEGER) AS n_parts, CAST(NULL AS VARCHAR) AS error FROM {table}"
+
+
+@query(_passed_sql("documents", "doc_id", "txt", 2, "text", "text"))
+def txt_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passed(_table(spark, sf_dir, "documents"), "doc_id", "txt", F.col("text"))
+
+
+@query(_passed_sql("events", "event_id", "json", 4, "props", "text"))
+def json_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passed(_table(spark, sf_dir, "events"), "event_id", "json", F.col("props"))
+
+
+_CSV = "concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, chr(10))"
+
+
+@query(_passed_sql("orders", "o_orderkey", "csv", 5, _CSV, "text"))
+def csv_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), F.lit("\n"))
+    return _passed(_table(spark, sf_dir, "orders"), "o_orderkey", "csv", line)
+
+
+@query(_passed_sql("documents", "doc_id", "bin", 114, "text", "raw", "other"))
+def raw_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passed(_table(spark, sf_dir, "documents"), "doc_id", "bin", F.col("text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+_ODD = "​\u0001  \t　\x0b"
+_ODD_SQL = "concat(chr(8203), chr(1), ' ', chr(160), chr(9), chr(12288), chr(11), replace(text, ' ', concat(chr(160), ' ', chr(65279))), ' ', chr(8195), chr(8232))"
+
+
+def _odd() -> Column:
+    return F.concat(F.lit(_ODD), F.replace("text", F.lit(" "), F.lit("  ﻿")), F.lit("   "))
+
+
+@query(f"SELECT doc_id, regexp_replace({_ODD_SQL}, '{textnorm.INVISIBLE}', '', 'g') AS text FROM documents")
+def strip_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.strip_invisible(_odd()))
+
+
+@query(f"SELECT doc_id, regexp_replace({_ODD_SQL}, '{textnorm.INVISIBLE_MARKDOWN}', '', 'g') AS text FROM documents")
+def strip_invisible_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.strip_invisible(_odd(), markdown=True))
+
+
+@query(f"SELECT doc_id, regexp_replace({_ODD_SQL}, '{textnorm.SPACES}', ' ', 'g') AS text FROM documents")
+def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.collapse_ws(_odd()))
+
+
+@query(f"SELECT doc_id, regexp_replace({_ODD_SQL}, '{textnorm.SPACES_MARKDOWN}', ' ', 'g') AS text FROM documents")
+def collapse_ws_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.collapse_ws(_odd(), markdown=True))
+
+
+@query("SELECT doc_id, regexp_replace(replace(text, '.', chr(10)), '\\n+', ' ', 'g') AS text FROM documents")
+def newline_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.collapse_newlines(F.replace("text", F.lit("."), F.lit("\n"))))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_ODD_SQL}, '^{textnorm.WHITE_SPACE}', ''), '{textnorm.WHITE_SPACE}$', '') AS text FROM documents")
+def trim_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.trim_space(_odd()))
+
+
+_LINE = r"trim(regexp_replace(replace(text, '.', concat(chr(13), chr(10))), '[\t\n\f\r ]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_LINE} AS text FROM documents")
+def rtf_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, textnorm.clean_line(F.replace("text", F.lit("."), F.lit("\r\n"))))
+
+
+@query("SELECT doc_id, replace(replace(text, '.', '<'), 'e', '©') AS text FROM documents")
+def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("."), F.lit("&lt;")), F.lit("e"), F.lit("&#xA9;"))
+    return _documents(spark, sf_dir, textnorm.unescape(written))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[^\x20-\x7E\n\r]', '', 'g') AS text FROM documents")
+def printable_ascii_vsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, native.vsd_text(F.col("text").cast("binary")))
+
+
+@query(_passed_sql("documents", "doc_id", "vsd", 202, r"regexp_replace(text, '[^\x20-\x7E\n\r]', '', 'g')", "vsd", "document"))
+def vsd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passed(_table(spark, sf_dir, "documents"), "doc_id", "vsd", F.col("text"))
+
+
+_KEYS = ", ".join(f"('{k}')" for k in rtf.DESTINATIONS)
+
+
+@query(f"SELECT doc_id, EXISTS (SELECT 1 FROM (VALUES {_KEYS}) k(k) WHERE starts_with(k, lower(substr(text, 1, CAST(doc_id % 4 AS INTEGER))))) AS found FROM documents")
+def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.lower(F.left("text", (F.col("doc_id") % 4).cast("int")))
+    return _table(spark, sf_dir, "documents").select("doc_id", paths.prefix_match(rtf.DESTINATIONS, prefix).alias("found"))
+
+
+@query("SELECT doc_id, concat('x', doc_id, '/c') AS path FROM documents")
+def sanitize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("../../a/./b/../../"), F.lit("\\x"), F.col("doc_id").cast("string"), F.lit("//y/../c/."))
+    return _table(spark, sf_dir, "documents").select("doc_id", paths.sanitize_path(raw).alias("path"))
+
+
+@query("SELECT doc_id, CAST(doc_id AS INTEGER) AS number FROM documents")
+def part_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("xl/worksheets/sheet"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    return _table(spark, sf_dir, "documents").select("doc_id", paths.part_number(name, "sheet").alias("number"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(array_to_string(regexp_extract_all(replace(replace(text, '.', ')'), ',', '('), '\(([^)\n\r]+)\)', 1), ' '), '[\t\n\f\r ]+', ' ', 'g')) AS text FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM documents)")
+def pdf_regex_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    body = F.concat(F.lit("%PDF-1.4\n"), F.replace(F.replace(ascii_, F.lit("."), F.lit(")")), F.lit(","), F.lit("(")))
+    return _documents(spark, sf_dir, native.pdf_scrape(body.cast("binary")))
+
+
+# -- documents, written and read again ------------------------------------------------------------------------------
+
+
+def _written(make: Callable[[list[str]], bytes], text: Column | str = "text") -> Column:
+    """Bytes of a document of the lines of a text."""
+
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: make(t.split("\n")), na_action="ignore")
+
+    return pack(text)
+
+
+def _round_trip(name: str, code: int, make: Callable[[list[str]], bytes], expected: str, source: str = "documents") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _read(_table(spark, sf_dir, "documents"), "doc_id", code, _written(make))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, {expected} AS text FROM {source}")(run)
+
+
+_TEXT_LINES = "text || chr(10)"
+_FULL = "regexp_replace(regexp_replace(text, '\\n+', chr(10), 'g'), '^\\n|\\n$', '', 'g')"
+_ONE_LINE = r"trim(regexp_replace(text, '[\t\n\f\r ]+', ' ', 'g'))"
+_round_trip("docx_text", 8, packers.docx, _TEXT_LINES)
+_round_trip("docx_headings", 8, lambda ps: packers.docx(ps, heading=True), "'【标题1】 ' || text || chr(10)")
+_round_trip("pptx_text", 12, lambda ps: packers.pptx([[p for p in ps if p], ["end"]]), f"{_FULL} || chr(10) || chr(12) || 'end' || chr(10) || chr(12)")
+_round_trip("odt_text", 15, packers.odt, _TEXT_LINES)
+_round_trip("vsdx_text", 201, lambda ps: packers.vsdx(ps), _TEXT_LINES)
+_round_trip("rtf_text", 16, packers.rtf, _ONE_LINE)
+_round_trip("xml_text", 3, packers.xml, _ONE_LINE)
+_round_trip("doc_text", 7, lambda ps: packers.doc("\n".join(ps)), "text")
+_round_trip("ppt_text", 11, lambda ps: packers.ppt([p for p in ps if p]), "'=== 文本内容 ===' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10) || '=== 文本内容 ===' || chr(10)) || chr(10) || chr(10)")
+_round_trip("pdf_text", 13, lambda ps: packers.pdf([[p for p in ps if p]]), f"{_FULL} || chr(10) || chr(12)")
+_round_trip("xlsx_text", 10, lambda ps: packers.xlsx([[p, "in & line", str(len(ps))] for p in ps if p]), "'=== 工作表: sheet1.xml ===' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(9) || 'in & line' || chr(9) || len(string_split(text, chr(10))) || chr(10)), '') || chr(10) || chr(12) || chr(10)")
+_round_trip("xls_text", 9, lambda ps: packers.xls("Blatt", [[p, 7, -2.5] for p in ps if p]), "chr(10) || '--- 工作表 1: Blatt ---' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(9) || '7' || chr(9) || '-2.5' || chr(10)), '')")
+_round_trip("xlsb_text", 14, lambda ps: packers.xlsb([[p, 7, "é", -2.5] for p in ps if p]), "'工作表: sheet1' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(9) || '7' || chr(9) || 'é' || chr(9) || '-2.5' || chr(10)), '')")
+
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-zÀ-ÿ \n]', '', 'g'), ' *\n *', chr(10), 'g'), '\n+', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, '=' || chr(13) || chr(10) || chr(13) || chr(10) || replace({_BARE}, chr(10), chr(13) || chr(10)) AS text FROM documents WHERE {_BARE} <> ''")
+def md_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading, and the words of a document as one paragraph."""
+    bare = F.col("text")
+    for pattern, to in ((r"[^A-Za-zÀ-ÿ \n]", ""), (r" *\n *", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+\z", "")):
+        bare = F.regexp_replace(bare, pattern, to)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", bare.alias("bare")).where("bare <> ''")
+    return _read(rows, "doc_id", 6, F.concat(F.lit("# =\n\n"), F.col("bare"), F.lit("\n")).cast("binary"))
+
+
+@query("SELECT n_nationkey, s.i AS row_no, s.v AS value FROM nation, (SELECT unnest([1, 1, 2, 2]) AS i, unnest(['a', 'b', 'c', 'd']) AS k) t, LATERAL (SELECT t.i AS i, CASE t.k WHEN 'a' THEN n_name WHEN 'b' THEN 'x' WHEN 'c' THEN n_name || '!' ELSE 'y' END AS v) s")
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of workbooks as rows."""
+
+    @F.pandas_udf("array<struct<row_no:int,value:string>>")
+    def cells(names: pd.Series) -> pd.Series:
+        out = []
+        for n in names:
+            data = packers.xlsx([[n, "x"], [n + "!", "y"]])
+            out.append([{"row_no": r, "value": v} for _, rows in ooxml.sheets(data) for r, cs in rows for _, v in cs])
+        return pd.Series(out)
+
+    return _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(cells("n_name")).alias("c")).select("n_nationkey", "c.*")
+
+
+@query("SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS images, doc_id % 4 > 0 AS has_images FROM documents")
+def vsdx_image_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def names(texts: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([ooxml.image_names(packers.vsdx([t], int(k))) for t, k in zip(texts, n, strict=True)])
+
+    rows = _table(spark, sf_dir, "documents").select("doc_id", names("text", F.col("doc_id") % 4).alias("names"))
+    return rows.select("doc_id", F.size("names").alias("images"), (F.size("names") > 0).alias("has_images"))
+
+
+@query("SELECT doc_id, CAST(sum(octet_length(encode(v || CASE WHEN i < n THEN chr(10) ELSE '' END))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - octet_length(encode(v || CASE WHEN i < n THEN chr(10) ELSE '' END)) AS BIGINT) AS start, CAST(octet_length(encode(v || CASE WHEN i < n THEN chr(10) ELSE '' END)) AS BIGINT) AS length, v || CASE WHEN i < n THEN chr(10) ELSE '' END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents) QUALIFY v <> '' OR i < n")
+def rtf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset and length in bytes of each run of text."""
+
+    @F.pandas_udf("array<struct<start:bigint,length:bigint,text:string>>")
+    def runs(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "length": n, "text": x} for a, n, x in rtf.positions(packers.rtf(t.split("\n")))] for t in texts])
+
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(runs("text")).alias("r")).select("doc_id", "r.*")
+
+
+# -- archives --------------------------------------------------------------------------------------------------------
+
+_MEMBERS = f"(SELECT CAST(doc_id // {GROUP} AS BIGINT) AS part, CASE WHEN doc_id % 2 = 0 THEN concat('d/', doc_id, '.txt') ELSE concat('d', doc_id % 3, '.', doc_id, '.txt') END AS name, text FROM documents)"
+_BLOCKS = "string_agg('=== 文件名: /' || name || ' ===' || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY string_split(name, '/'))"
+
+
+def _archives(spark: SparkSession, sf_dir: str, make: Callable[[dict[str, bytes]], bytes], path: str) -> DataFrame:
+    """part, path and content of archives of a few documents each."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string"), F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+    @F.pandas_udf("binary")
+    def pack(members: pd.Series) -> pd.Series:
+        return members.map(lambda ms: make({m["name"]: m["text"].encode() for m in ms}))
+
+    rows = _table(spark, sf_dir, "documents").select(F.expr(f"doc_id div {GROUP}").alias("part"), F.struct(name.alias("name"), "text").alias("m"))
+    groups = rows.groupBy("part").agg(F.sort_array(F.collect_list("m"), asc=False).alias("ms"))
+    return groups.select("part", F.lit(path).alias("path"), pack("ms").alias("content"))
+
+
+def _folded(name: str, code: int, make: Callable[[dict[str, bytes]], bytes], path: str, outer: str = "{}") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = _archives(spark, sf_dir, make, path)
+        return _read(files, "part", code, F.col("content"), F.col("path"))
+
+    run.__name__ = name
+    query(f"SELECT part, {outer.format(_BLOCKS)} AS text FROM {_MEMBERS} GROUP BY part")(run)
+
+
+def _outer(name: str) -> str:
+    return f"'=== 文件名: /{name} ===' || chr(10) || chr(10) || {{}} || chr(10) || chr(10)"
+
+
+_folded("zip_fold", 21, packers.zipped, "f.zip")
+_folded("tar_fold", 18, packers.tar, "f.tar")
+_folded("targz_nested", 20, lambda ms: packers.gz(packers.tar(ms)), "f.TAR.gz", _outer("default_gz_file_name.tar"))
+_folded("tar_bz2_nested", 24, lambda ms: packers.BZ2(packers.tar(ms)), "d/f.tar.bz2", _outer("f.tar"))
+_folded("tar_xz_nested", 29, lambda ms: packers.XZ(packers.tar(ms)), "f.tar.xz", _outer("f.tar"))
+_folded("sevenz_text", 22, packers.sevenzip, "f.7z")
+_folded("rar_text", 23, packers.rar, "f.rar")
+_round_trip("gz_text", 19, lambda ps: packers.gz("\n".join(ps).encode(), "in.txt"), "'=== 文件名: /in.txt ===' || chr(10) || chr(10) || text || chr(10) || chr(10)")
+_round_trip("bz2_text", 24, lambda ps: packers.BZ2("\n".join(ps).encode()), "'=== 文件名: /f ===' || chr(10) || chr(10) || text || chr(10) || chr(10)")
+_round_trip("xz_text", 29, lambda ps: packers.XZ("\n".join(ps).encode()), "'=== 文件名: /f ===' || chr(10) || chr(10) || text || chr(10) || chr(10)")
+
+
+@query(f"SELECT part, 'in.zip!' || name AS entry, CAST(2 AS INTEGER) AS depth, CAST(2 AS INTEGER) AS file_type, text, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'text' AS method, CAST(NULL AS VARCHAR) AS error FROM {_MEMBERS}")
+def archive_entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an archive within an archive as rows."""
+    files = _archives(spark, sf_dir, lambda ms: packers.tar({"in.zip": packers.zipped(ms)}), "")
+    files = files.withColumn("path", F.concat(F.col("part").cast("string"), F.lit(".tar")))
+    return archive_entries(files).select(F.substring_index("path", ".", 1).cast("bigint").alias("part"), F.array_join("entry_path", "!").alias("entry"), "depth", "file_type", "text", "size", "method", "error")
+
+
+@query(f"SELECT part, {_BLOCKS} AS text FROM {_MEMBERS} GROUP BY part")
+def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folded text from rows of files, by expressions."""
+    files = _archives(spark, sf_dir, packers.zipped, "").withColumn("path", F.concat(F.col("part").cast("string"), F.lit(".zip")))
+    rows = archive_entries(files).select(F.substring_index("path", ".", 1).cast("bigint").alias("part"), F.split(F.element_at("entry_path", 1), "/").alias("entry_path"), "text")
+    return fold_entries(rows, by="part")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode({_HTML}))) AS BIGINT) AS bytes FROM pages")
+def extracted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and bytes of text over a whole table."""
+    files = _table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return extract_documents(files).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
