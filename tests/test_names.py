@@ -1,0 +1,61 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import filetypes, paths, textnorm
+from textloom.operators.rtf import DESTINATIONS
+
+NAMES = [("A.TAR.GZ", 20), ("xtar.gz", 20), ("a.tar.bz2", 24), (".gz", 19), ("n.", 114), ("a.b/c", 114), ("none", 114), ("", 114), ("x.md", 6), ("x.tgz", 114), ("x.htm", 114), ("x.HTML", 1), ("k.key", 17), ("z.z", 30), ("i.svg", 36), ("b.bmp", 404), ("a/b.c/d.docx", 8), ("x.vsd", 202), ("x.yaml", 114)]
+
+
+def test_types_of_names(spark):
+    df = spark.createDataFrame([(n,) for n, _ in NAMES] + [(f"q.{s}",) for s in filetypes.TYPES], "name string")
+    rows = df.select("name", filetypes.detect_type(F.col("name")).alias("t"), filetypes.extension_of(F.col("name")).alias("e")).collect()
+    assert [r.t for r in rows[: len(NAMES)]] == [t for _, t in NAMES]
+    assert all(r.t == filetypes.detect(r.name) and r.e == filetypes.extension(r.name) for r in rows)
+
+
+def test_classes_and_dimension(spark):
+    rows = {r.ext: r for r in filetypes.file_types(spark).collect()}
+    assert rows["md"].extractor == "markdown" and rows["jpg"].extractor == "raw" and rows["zip"]["class"] == "archive"
+    df = spark.createDataFrame([(c,) for c in (1, 7, 21, 33, 114, 17)], "c int")
+    assert [tuple(r) for r in df.select(filetypes.type_class(F.col("c")), filetypes.extractor_name(F.col("c"))).collect()] == [("text", "html"), ("document", "doc"), ("archive", "zip"), ("image", "raw"), ("other", "raw"), ("document", "raw")]
+
+
+TEXTS = ["", " \x0b\x85a b　 c\x00​﻿ ", "\t\n\f\r", "x\r\ny\rz", "a\x1c b", "   ", "é‎\x7f"]
+
+
+def test_expressions_equal_functions(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for expr, fn in (
+        (textnorm.strip_invisible, textnorm.py_strip_invisible), (lambda c: textnorm.strip_invisible(c, True), lambda t: textnorm.py_strip_invisible(t, True)),
+        (textnorm.collapse_ws, textnorm.py_collapse_ws), (lambda c: textnorm.collapse_ws(c, True), lambda t: textnorm.py_collapse_ws(t, True)),
+        (textnorm.trim_space, textnorm.py_trim_space), (textnorm.clean_line, textnorm.py_clean_line),
+    ):
+        assert [r[0] for r in df.select(expr(F.col("t"))).collect()] == [fn(t) for t in TEXTS]
+
+
+def test_unescape(spark):
+    df = spark.createDataFrame([("&amp;lt; &eacute;&#x41;&#66; &nope;",), (None,)], "t string")
+    assert [r[0] for r in df.select(textnorm.unescape(F.col("t"))).collect()] == ["&lt; éAB &nope;", None]
+    assert df.select(textnorm.unescape_fixed(textnorm.unescape_fixed(F.lit("&amp;lt;")))).first()[0] == "<"
+
+
+PATHS = ["../../x", "/a/../../b", "a//b/./c/", "", ".", "a\\..\\b", "..", "a/b/../../.."]
+
+
+def test_sanitize_path(spark):
+    df = spark.createDataFrame([(p,) for p in PATHS], "p string")
+    got = [r[0] for r in df.select(paths.sanitize_path(F.col("p"))).collect()]
+    assert got == [paths.py_sanitize_path(p).replace(".", "") if p in ("", ".") else paths.py_sanitize_path(p) for p in PATHS]
+    assert got[:2] == ["x", "b"]
+
+
+@pytest.mark.parametrize("prefix,found", [("", True), ("f", True), ("fonttbl", True), ("fonttblx", False), ("zz", False), ("tab", True)])
+def test_prefix_match(spark, prefix, found):
+    assert spark.range(1).select(paths.prefix_match(DESTINATIONS, F.lit(prefix))).first()[0] is found
+
+
+def test_part_number(spark):
+    df = spark.createDataFrame([("a/sheet12.xml",), ("sheet.xml",), ("sheet99999999999.xml",)], "n string")
+    assert [r[0] for r in df.select(paths.part_number(F.col("n"), "sheet")).collect()] == [12, 0, 0]
+    assert paths.py_part_number("x/slide7.xml", "slide") == 7

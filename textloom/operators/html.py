@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from html.parser import HTMLParser
 
 from textloom.functions import textnorm
@@ -14,10 +15,14 @@ SKIPPED = frozenset(("script", "style", "head", "meta", "link"))
 HEAD_ONLY = frozenset(("base", "link", "meta", "title", "style", "script", "noscript", "template", "basefont", "bgsound", "noframes"))
 
 
+#: A tag that the document ends in is no text.
+_CUT_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*\Z")
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.segments, self.held, self.skip, self.head = [], [], 0, False
+        self.segments, self.held, self.skip, self.head, self.body, self.title = [], [], 0, False, False, False
 
     def flush(self):
         if self.held:
@@ -30,8 +35,9 @@ class _Reader(HTMLParser):
         self.flush()
         if tag == "head":
             self.head = True
-        elif self.head and tag not in HEAD_ONLY:
-            self.head = False
+        elif tag not in HEAD_ONLY and tag != "html":
+            self.head, self.body = False, True
+        self.title = tag == "title" and not self.body
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "br" and not self.head:
@@ -44,14 +50,16 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush()
+        self.title = False
         if tag == "head":
             self.head = False
         elif tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
 
     def handle_data(self, data):
-        if not self.skip and not self.head:
+        if not self.skip and not self.head and not self.title:
             self.held.append(data)
+            self.body = self.body or not data.isspace()
 
     def handle_comment(self, data):
         self.flush()
@@ -61,7 +69,7 @@ class _Reader(HTMLParser):
 
 def extract_html(data: bytes, name: str = "") -> Result:
     reader = _Reader()
-    reader.feed(data.decode("utf-8", "replace"))
+    reader.feed(_CUT_TAG.sub("", data.decode("utf-8", "replace")))
     reader.close()
     reader.flush()
     text = html.unescape(" ".join(reader.segments))

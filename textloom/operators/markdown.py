@@ -16,7 +16,14 @@ _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|$)")
-_HTML = re.compile(r" {0,3}<(?:!--|\?|![A-Z]|/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))")
+#: Names of tags that open an HTML block.
+_BLOCK_TAGS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
+    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param pre script search section style summary table tbody td textarea tfoot "
+    "th thead title tr track ul"
+).split()
+_HTML = re.compile(rf" {{0,3}}<(?:!--|\?|![A-Za-z]|/?(?:{'|'.join(_BLOCK_TAGS)})(?:[\s/>]|$))", re.I)
+_HTML_LINE = re.compile(r"""\s{0,3}</?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>\s*$""")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _INDENT = re.compile(r"(?: {4}| {0,3}\t)")
 _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>")
@@ -26,6 +33,9 @@ _REFERENCE = re.compile(r""" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<[^<>]*>|\S+
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
+_BREAK = ("", 0, False, False)  # markup that divides text
+
+
 class _Block:
     def __init__(self, kind: str, lines: list[str] | None = None, children: list[_Block] | None = None):
         self.kind, self.lines, self.children = kind, lines or [], children or []
@@ -96,7 +106,7 @@ def _parse(lines: list[str], references: set[str], depth: int = 0) -> list[_Bloc
                 while i + 1 < n and not lines[i].strip() and (k := _ITEM.match(lines[i + 1])) and k[2][-1] == kind:
                     i += 1
             out.append(_Block("list", children=items))
-        elif _HTML.match(line):
+        elif _HTML.match(line) or _HTML_LINE.match(line):
             while i < n and lines[i].strip():
                 i += 1
             out.append(_Block("html"))
@@ -144,13 +154,14 @@ def _inline(text: str, references: set[str]) -> list[str]:
             if m:
                 flush()
                 inner = text[i + k : m.start()].replace("\n", " ")
-                pieces.append(inner[1:-1] if inner.strip() and inner[0] == inner[-1] == " " else inner)
+                pieces += [_BREAK, inner[1:-1] if inner.strip() and inner[0] == inner[-1] == " " else inner, _BREAK]
                 i = m.end()
             else:
                 held.append("`" * k)
                 i += k
         elif c == "<" and (m := _AUTOLINK.match(text, i) or _INLINE_HTML.match(text, i)):
             flush()
+            pieces.append(_BREAK)
             i = m.end()
         elif c in "*_":
             k = i
@@ -185,13 +196,13 @@ def _inline(text: str, references: set[str]) -> list[str]:
                 held.append("]")
                 i += 1
                 continue
-            pieces[at] = ["", 0, False, False]
-            pieces.append(["", 0, False, False])
+            pieces[at] = _BREAK
+            pieces.append(_BREAK)
         elif c == "\n":
             if held and held[-1].endswith("\\"):
                 held[-1] = held[-1][:-1]
             flush()
-            pieces.append(["", 0, False, False])
+            pieces.append(_BREAK)
             i += 1
         else:
             k = i + 1

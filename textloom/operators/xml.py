@@ -39,7 +39,7 @@ def _segments(data: bytes) -> tuple[list[str], str]:
         events(data, text=found.append)
         return found, "xml"
     except ExtractError as e:
-        if "entity" in str(e):
+        if "not accepted" in str(e):
             raise
     source, found, at = data.decode("utf-8", "replace"), [], 0
     for m in _LOOSE.finditer(source):
