@@ -9,6 +9,7 @@ from textloom.operators import archive, cfb, ooxml, rtf, sevenzip
 from textloom.operators.html import extract_html
 from textloom.operators.legacy import rk
 from textloom.operators.markdown import extract_markdown
+from textloom.operators.pdf import content_streams
 from textloom.operators.registry import Registry
 from textloom.operators.result import ExtractError, Limits, Result
 from textloom.operators.xml import extract_xml
@@ -116,7 +117,7 @@ def test_pdf_text_operators_and_object_streams():
     packed = zlib.compress(b"7 0 " + inner)
     data = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [7 0 R] >> endobj 9 0 obj << /Length 10 0 R >> stream\n" + body + b"\nendstream endobj 10 0 obj %d endobj " % len(body)
     data += b"8 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj" % (len(packed), packed)
-    assert Registry().extract(13, data).text == "a(b)Ax yz\nnext\nA\n\f"
+    assert Registry().extract(13, data).text == "a(b)Ax yz\nnext\nA\n\f" and content_streams(data) == [body]
 
 
 def test_pdf_scrape_and_nothing():

@@ -291,7 +291,7 @@ def page_text(doc: Document, page: dict) -> str:
     font = Font(doc, {})
     out: list[str] = []
     stack: list = []
-    leading = line = None
+    line = None
 
     def newline():
         if out and not out[-1].endswith("\n"):
@@ -341,10 +341,15 @@ def page_text(doc: Document, page: dict) -> str:
                 if t == "EI":
                     break
         stack.clear()
-    del leading
     return "".join(out)
 
 
+def content_streams(data: bytes) -> list[bytes]:
+    """The decoded content of each page, operators and all: for looking into a document."""
+    doc = Document(data)
+    return [doc.contents(page) for page in doc.pages()]
+
+
 def scrape(data: bytes) -> str:
     found = re.findall(rb"\(([^)\n\r]+)\)", data)
     raw = b" ".join(found)

@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import filetypes, paths, textnorm
+from textloom.functions import binary, filetypes, paths, textnorm
 from textloom.operators import native, ooxml, rtf
+from textloom.operators.registry import Registry
+from textloom.operators.result import Result
 
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
@@ -235,6 +237,37 @@ def pdf_regex_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, native.pdf_scrape(body.cast("binary")))
 
 
+@query("SELECT doc_id, text FROM documents")
+def utf16_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16LE")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return _documents(spark, sf_dir, binary.utf16_text(raw))
+
+
+@query("SELECT doc_id, 8 * 256 + CAST(ord(substr(text, 1, 1)) AS BIGINT) % 128 AS word, doc_id % 16 AS low, doc_id // 16 % 256 AS high FROM documents")
+def binary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and bit fields as record headers have them."""
+    first = (F.ascii(F.left("text", F.lit(1))) % 128).cast("int")
+    raw = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(first), 2, "0"), F.lit("08")))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", binary.little_endian(F.col("raw"), 1, 2).alias("word"), binary.bits(F.col("doc_id"), 0, 4).alias("low"), binary.bits(F.col("doc_id"), 4, 8).alias("high"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def type_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose names say one type, read as another."""
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return extract_documents(files, file_type=2).select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "text")
+
+
+@query("SELECT doc_id, replace(text, 'e', 'E') AS text FROM documents")
+def own_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor that is registered for a type without one."""
+    own = Registry()
+    own.register(36, lambda data, name: Result(data.decode().replace("e", "E"), "own"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".gif")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return extract_documents(files, registry=own).select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "text")
+
+
 # -- documents, written and read again ------------------------------------------------------------------------------
 
 
