@@ -29,6 +29,8 @@ from .common import table
 
 #: Training texts and landmarks of each language, chosen by a hash of the text.
 PER_LANGUAGE, LANDMARKS = 500, 40
+#: Longer texts are not learned from, so that the sample is bounded in bytes too.
+MOST_CHARS = 100_000
 LONGEST, LETTERS, RIDGE, SHARPNESS = 3, 126, 1e-3, 5.0
 UNKNOWN = "und"
 #: Code points that are turned into n-grams at a time, and texts in a product.
@@ -155,7 +157,7 @@ def train(docs: DataFrame, held_out: Column | None = None, per_language: int = P
         return fit([], [])
     order, space = F.xxhash64(F.lit(1), "text"), 1 << 40
     rates = F.create_map(*[x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(space, int(space * (1.5 * per_language + 20) / n))))])
-    usable = known.where(F.col("text").rlike(r"\p{L}")).where(F.pmod(order, F.lit(space)) < F.element_at(rates, F.col("lang")))
+    usable = known.where((F.char_length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}")).where(F.pmod(order, F.lit(space)) < F.element_at(rates, F.col("lang")))
     rows = usable.select("lang", "text", order.alias("o")).distinct().orderBy("o", "lang").limit(2 * per_language * len(counts) + 1000).collect()
     taken: Counter = Counter()
     kept = []

@@ -105,7 +105,7 @@ def _pattern_tables(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple
         yield [(r.i, r.t.encode()) for r in part.collect()]
 
 
-def _searching(index: int, tables, window: int):
+def _searching(tables, window: int):
     """A function over bytes, for worker processes; the tables are built once in each."""
 
     def search():
@@ -144,7 +144,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def _finder(items, window: int, last: bool):
-    make = _searching(0, [items], window)
+    make = _searching([items], window)
 
     def run(batches):
         one = make()
@@ -175,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
         found = overlap_columns(find_overlaps(rows.select(F.col("row").alias("doc_id"), "text"), benchmark, window, max_pattern_bytes))
         return found.where(~F.col("contaminated")).select(*[F.col("doc_id").getField(c).alias(c) for c in names])
-    make, at = _searching(0, tables, window), docs.columns.index("text")
+    make, at = _searching(tables, window), docs.columns.index("text")
 
     def run(batches):
         one = make()
