@@ -127,7 +127,13 @@ def walk(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(),
     if len(above) >= limits.depth:
         raise ExtractError("archives are nested too deeply")
     left = limits.expanded_bytes
-    for path, raw, error in _ordered(files(kind, data, name, limits)):
+    try:
+        found = files(kind, data, name, limits)
+    except ExtractError:
+        raise
+    except Exception as e:  # damaged or hostile bytes fail in many ways
+        raise ExtractError(f"{kind}: {type(e).__name__}: {e}") from e
+    for path, raw, error in _ordered(found):
         left -= len(raw)
         if left < 0:
             raise ExtractError(f"{kind}: expands beyond the limit")

@@ -55,7 +55,15 @@ class Registry:
         return True
 
     def extract(self, code: int, data: bytes, name: str = "") -> Result:
-        """The text of a document; codes without an extractor have raw text."""
+        """The text of a document; codes without an extractor have raw text. Whatever goes wrong is an ExtractError."""
+        try:
+            return self._extract(code, data, name)
+        except ExtractError:
+            raise
+        except Exception as e:  # damaged or hostile bytes fail in many ways
+            raise ExtractError(f"{type(e).__name__}: {e}") from e
+
+    def _extract(self, code: int, data: bytes, name: str) -> Result:
         if code in self.own:
             return self.own[code](data, name)
         kind = filetypes.EXTRACTORS.get(code, "raw")
@@ -71,5 +79,3 @@ class Registry:
             return self.extract(code, data, name)
         except ExtractError as e:
             return Result("", filetypes.EXTRACTORS.get(code, "raw"), error=str(e))
-        except (RecursionError, MemoryError, ValueError, LookupError, ArithmeticError, OSError, AttributeError, TypeError) as e:  # hostile bytes
-            return Result("", filetypes.EXTRACTORS.get(code, "raw"), error=f"{type(e).__name__}: {e}")
