@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -77,6 +78,23 @@ def _clean() -> None:
             return
 
 
+def frugal(run):
+    """A function over batches that gives free memory back to the system when its task is done.
+
+    Workers wait for later tasks of other stages, and what they keep counts against the executor.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

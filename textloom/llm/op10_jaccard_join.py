@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bytes_of, cut, stored, table
+from .common import bytes_of, cut, dropped, frugal, stored, table
 from .components import components, merged
 
 #: Frequent shingles that order prefixes; which these are does not change the result.
@@ -196,7 +196,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame):
         self.texts = docs.select("doc_id", "text")
-        self.info = stored(self.texts.mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, often array<struct<s:bigint,c:bigint>>"), "sets")
+        self.info = stored(self.texts.mapInArrow(frugal(_describe), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, often array<struct<s:bigint,c:bigint>>"), "sets")
         top = self.info.select(F.explode("often").alias("x")).groupBy("x.s").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "s").limit(MAX_FREQUENT).toPandas()
         values, counts = top["s"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
         order = np.argsort(values)
@@ -204,10 +204,16 @@ class _Join:
         histogram = {r.n: r.k for r in self.info.where(F.col("n").between(1, MOST_SMALL)).groupBy("n").agg(F.count("*").alias("k")).collect()}
         self.small = boundary(histogram)
         self.checked: DataFrame | None = None
+        self.held: list[DataFrame] = []
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that is only needed until the roots are known."""
+        self.held.append(stored(df, name))
+        return self.held[-1]
 
     def roots(self) -> DataFrame:
         """node and root, for the nodes that link with another."""
-        post = stored(self.texts.select("text").mapInArrow(_posting(self.frequent, self.rank, self.small), "node bigint, n int, subsets array<bigint>, prefix array<bigint>, sketch array<bigint>"), "postings")
+        post = self._stored(self.texts.select("text").mapInArrow(frugal(_posting(self.frequent, self.rank, self.small)), "node bigint, n int, subsets array<bigint>, prefix array<bigint>, sketch array<bigint>"), "postings")
         self.sketches = post.select("node", "n", "sketch")
         edges = self._subset_links(post)
         rows = post.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -217,11 +223,13 @@ class _Join:
         light = rows.join(F.broadcast(heavy_keys), "key", "left_anti")
         near, long = self._light(light)
         pivots = heavy.groupBy("key", "band").agg(F.min(F.struct("pos", "n", "node")).alias("p"))
-        pivots = F.broadcast(pivots.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("p.n").alias("m"), F.col("p.node").alias("mnode"), F.col("p.pos").alias("mpos")))
-        star = heavy.join(pivots, ["key", "band"]).where("node != mnode").where(_FILTER).select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b"))
+        pivots = self._stored(pivots.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("p.n").alias("m"), F.col("p.node").alias("mnode"), F.col("p.pos").alias("mpos")), "heavy")
+        star = heavy.join(_some_or_all(pivots, pivots.count()), ["key", "band"]).where("node != mnode").where(_FILTER).select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b"))
         roots = cut(components(edges.unionByName(self._tested(near.unionByName(star).distinct()))))
         long = long.unionByName(heavy.select("key", "node", "n", "pos").distinct())
-        roots = self._later_rounds(stored(long, "lists"), roots)
+        roots = self._later_rounds(self._stored(long, "lists"), roots)
+        for table_ in self.held:
+            dropped(table_)
         return roots
 
     @staticmethod
@@ -230,13 +238,12 @@ class _Join:
         pivots = rows.where("low").groupBy("key").agg(F.min("node").alias("a"))
         return rows.join(pivots, "key").where("a != node").select("a", F.col("node").alias("b"))
 
-    @staticmethod
-    def _light(light: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _light(self, light: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates among neighbours in the lists, and the members of lists that have more."""
         rows = light.repartition("key").groupBy("key", "node", "n", "pos").agg(F.lit(1).alias("one"))  # copies count once
         by = Window.partitionBy("key")
         seen = rows.withColumn("others", F.collect_list(F.struct(F.col("n").alias("m"), F.col("node").alias("mnode"), F.col("pos").alias("mpos"))).over(by.orderBy("n", "node").rowsBetween(-NEAR, -1))).withColumn("k", F.count("*").over(by)).where("k > 1")
-        seen = stored(seen.select("key", "node", "n", "pos", "others", "k"), "neighbours")
+        seen = self._stored(seen.select("key", "node", "n", "pos", "others", "k"), "neighbours")
         pairs = seen.select("node", "n", "pos", F.explode("others").alias("o")).select("node", "n", "pos", "o.*").where(_FILTER)
         return pairs.select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b")), seen.where(F.col("k") > NEAR + 1).select("key", "node", "n", "pos")
 
@@ -244,23 +251,26 @@ class _Join:
         """Pairs of nodes a, b that link, by their whole sets; pairs tested before are left out."""
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = self._stored(pairs, "pairs")
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        pairs = stored(self._possible(pairs), "possible")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = stored(self.info.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+        pairs = self._stored(self._possible(pairs), "possible")
+        ids = self._stored(self.info.where("n > 0").join(self._wanted(pairs), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
         texts = self.texts.join(_some_or_all(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi").select("text")
-        members = texts.unionByName(self.texts.where("doc_id is null").select("text")).mapInArrow(_emit_sets, "node bigint, members array<bigint>")
+        members = texts.unionByName(self.texts.where("doc_id is null").select("text")).mapInArrow(frugal(_emit_sets), "node bigint, members array<bigint>")
         members = members.groupBy("node").agg(F.first("members").alias("members"))
         second = pairs.join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         both = second.join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(100 * shared >= 80 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
+    def _wanted(self, pairs: DataFrame) -> DataFrame:
+        """The nodes of some pairs."""
+        nodes = self._stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        return _some_or_all(nodes, nodes.count())
+
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose bitmaps leave room for a link: members that show in one bitmap only are in one set only."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        maps = self.sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        maps = self.sketches.join(self._wanted(pairs), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         both = pairs.join(maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y0")), "b").join(maps.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x0")), "a")
         both = both.where("5 * least(n, m) >= 4 * greatest(n, m)").withColumn("x", F.expr(_FOLDED.format(x="x0", y="y0"))).withColumn("y", F.expr(_FOLDED.format(x="y0", y="x0")))
         most = f"least(n - {_ONLY.format(x='x', y='y')}, m - {_ONLY.format(x='y', y='x')})"
@@ -277,7 +287,7 @@ class _Join:
             if met is not None:
                 left = left.join(met, ["key", "node"], "left_anti")
             rank = F.row_number().over(Window.partitionBy("key").orderBy("pos", "n", "node"))
-            pivots = stored(left.withColumn("r", rank).where(F.col("r") <= several).select("key", "node", "n", "pos", "root"), "pivots")
+            pivots = self._stored(left.withColumn("r", rank).where(F.col("r") <= several).select("key", "node", "n", "pos", "root"), "pivots")
             if pivots.isEmpty():
                 return roots
             here = pivots.select("key", F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("mroot"))
