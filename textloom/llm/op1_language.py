@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 #: Training texts and landmarks of each language, chosen by a hash of the text.
 PER_LANGUAGE, LANDMARKS = 500, 40
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = one(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

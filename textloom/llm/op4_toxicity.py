@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bytes_of, cut, table
+from .common import bytes_of, cut, frugal, table
 
 #: Labelled rows that training may use, chosen by a hash of their ids.
 TRAIN_ROWS = 40_000
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, held
     share = min(1.0, 1.1 * train_rows / n)
     chosen = usable.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(order).limit(train_rows) if n > train_rows else usable
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic"))
-    bags = rows.mapInArrow(_examples, "toxic int, key bigint, bag array<binary>")
+    bags = rows.mapInArrow(frugal(_examples), "toxic int, key bigint, bag array<binary>")
     bags = cut(bags.withColumn("w", 1 / F.count("*").over(Window.partitionBy("key", "toxic"))))
     sums = {r.toxic: r.w for r in bags.groupBy("toxic").agg(F.sum("w").alias("w")).collect()}
     n1, n0 = sums.get(1, 0.0), sums.get(0, 0.0)
@@ -170,7 +170,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                 found.append([s for _, _, s in model.segments_without(words, toxic)])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "s"])
 
-    seen = rows.mapInArrow(scan, "toxic int, n bigint, s array<double>").toPandas()
+    seen = rows.mapInArrow(frugal(scan), "toxic int, n bigint, s array<double>").toPandas()
     clean = seen[seen.toxic == 0]
     tokens = max(1, int(clean.n.sum()))
     null = np.array([s for ss in clean.s for s in ss], float)
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             spans = [[{"start": a, "end": e, "score": x} for a, e, x in f] for _, f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:bigint,end:bigint,score:double>>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,7 +232,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([m.judge(t)[0] < 0.5 for t in bytes_of(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, shared_dir, table
+from .common import cut, frugal, shared_dir, table
 
 CHUNK_BYTES = 1 << 20
 BROADCAST_GROUPS = 200_000
@@ -212,7 +212,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _DDL)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(frugal(run), _DDL)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, table
+from .common import bytes_of, frugal, table
 
 WINDOW = 13
 #: Benchmark text that one table of patterns may hold; a larger benchmark is searched table after table.
@@ -139,7 +139,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     id_type = docs.schema["doc_id"].dataType.simpleString()
     for k, items in enumerate(tables):
         last = k == len(tables) - 1
-        df = df.mapInArrow(_finder(items, window, last), f"doc_id {id_type}, " + ("n_words bigint" if last else "text string") + ", spans array<struct<start:bigint,end:bigint>>, items array<string>")
+        df = df.mapInArrow(frugal(_finder(items, window, last)), f"doc_id {id_type}, " + ("n_words bigint" if last else "text string") + ", spans array<struct<start:bigint,end:bigint>>, items array<string>")
     return df
 
 
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 keep.append(not (hit and hit * MIN_SHARE_INVERSE >= n))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import frugal, table
 from .page_generator import page
 
 TRAIN_PAGES, EPOCHS, SEED = 1500, 9, 11
@@ -325,7 +325,7 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
                 texts = ["\n\n".join(x.text for x, y in zip(bs, found, strict=True) if y >= 0.5) for bs, found in zip(cut, model_.label(cut, paths), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in cut], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint, n_blocks bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint, n_blocks bigint")
 
 
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
