@@ -21,13 +21,15 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import frugal, table
 
 TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
@@ -35,8 +37,10 @@ END_ID = 2
 BUFFER_TOKENS = 1 << 19
 #: Tokens in a step group.
 GROUP_TOKENS = 1 << 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a worker remembers in a task, and between tasks.
+CACHE_WORDS, IDLE_WORDS = 1_200_000, 400_000
+#: Text whose words are looked up together.
+SLICE_BYTES = 6 << 20
 
 
 #: How the tokenizer splits ASCII words; a fixed value, given by its file.
@@ -46,7 +50,7 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 class WordTokenizer:
     """Ids of whole texts, from remembered ids of their words.
 
-    The tokenizer's own splitting never joins over a space or line feed, and never over the border between an
+    The tokenizer's own splitting never joins over white space, and never over the border between an
     ASCII letter or digit and a full stop or comma, so ids of the parts in a row are ids of the whole. Words of
     letters alone are looked up many at a time: each ends in an id that stands only at the end of words.
     """
@@ -77,14 +81,15 @@ class WordTokenizer:
             out += [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-            known[""] = b""
-        new = set().union(*split).difference(known)
+    def forget(self, most: int) -> dict[str, bytes]:
+        """Keep the words that came first, which are the frequent ones."""
+        if len(self.known) > most:
+            self.known = dict(islice(self.known.items(), most))
+        return self.known
+
+    def learn(self, words: list[str]) -> None:
+        """Look up words that are not known yet."""
+        known, new = self.known, set(words)
         marked = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalnum() and w[-2].isascii()]
         plain = new.difference(marked).union(w[:-1] for w in marked).difference(known)
         letters = [w for w in plain if w.isalpha() and "\u0130" not in w]
@@ -99,8 +104,30 @@ class WordTokenizer:
             known[w] = b"".join(map(known.__getitem__, ps))
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Arrow finds the distinct words of the texts; only these are looked up, and numpy lays out their ids.
+        """
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        words = lists.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        if len(self.known) > self.most:
+            self.forget(self.most // 3)
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            self.learn([w for w, x in zip(distinct, found, strict=True) if x is None])
+            found = list(map(self.known.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(lengths)
+        raw = ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bounds = (4 * np.concatenate(([0], ends))[at]).tolist()
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -220,17 +247,28 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
         tokenizer = None
         for b in batches:
             tokenizer = tokenizer or worker_tokenizer(tokenizer_path)
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1).to_pylist()), strict=True):
+            for some in _slices(b):
+                for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1)), strict=True):
                     rows.extend(map(row, packer.add(key, ids + end)))
                     if len(rows) > 4096:
                         yield flush()
+        if tokenizer:
+            tokenizer.forget(IDLE_WORDS)
         rows.extend(map(row, packer.close()))
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DDL + (", ids binary" if emit_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), _DDL + (", ids binary" if emit_ids else ""))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about SLICE_BYTES of text together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def tokenizer_file() -> str:
