@@ -78,19 +78,28 @@ def _clean() -> None:
             return
 
 
+def _c_library():
+    library = ctypes.CDLL(None)
+    return library if hasattr(library, "mallopt") and hasattr(library, "malloc_trim") else None
+
+
 def frugal(run):
-    """A function over batches that gives free memory back to the system when its task is done.
+    """A function over batches whose worker gives memory back to the system.
 
-    Workers wait for later tasks of other stages, and what they keep counts against the executor.
+    Workers wait for later tasks of other stages, and what they keep counts against the executor. Blocks of a MiB or more go back
+    as soon as they are free (the C library's own limit grows to 32 MiB, so that batches would stay), the rest when
+    a task is done. Other C libraries are left as they are.
     """
 
     def wrapped(batches):
+        library = _c_library()
+        if library:
+            library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            library.mallopt(-8, 1)  # M_ARENA_MAX
+            pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        if library:
+            library.malloc_trim(0)
 
     return wrapped
 

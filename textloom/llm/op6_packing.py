@@ -38,9 +38,9 @@ BUFFER_TOKENS = 1 << 19
 #: Tokens in a step group.
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers in a task, and between tasks.
-CACHE_WORDS, IDLE_WORDS = 1_200_000, 400_000
+CACHE_WORDS, IDLE_WORDS = 700_000, 150_000
 #: Text whose words are looked up together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 #: How the tokenizer splits ASCII words; a fixed value, given by its file.
@@ -133,13 +133,22 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str, cache_words: int) -> WordTokenizer:
     """One tokenizer for each worker process, so that later tasks find the words of earlier ones."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+    _tokenizers[path].most = cache_words
     return _tokenizers[path]
 
 
+def rest_tokenizer(path: str, words: int) -> None:
+    """Keep some words until the next task, or nothing at all."""
+    if not words:
+        _tokenizers.pop(path, None)
+    elif path in _tokenizers:
+        _tokenizers[path].forget(words)
+
+
 class Packer:
     """Online packing of one partition; yields (key, start, ids, total, sequence, offset, tier)."""
 
@@ -216,11 +225,12 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 _DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group string"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID, emit_ids: bool = True, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID, emit_ids: bool = True, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS, cache_words: int = CACHE_WORDS, idle_words: int = IDLE_WORDS) -> DataFrame:
     """Pieces of packed sequences, with their ids as little-endian bytes if ``emit_ids``.
 
     ``tier`` is the sequence's length; ``step_group`` names a group of sequences of one tier that hold
-    ``group_tokens`` tokens together. Sequence ids are the partition's number times 2**33 plus a count.
+    ``group_tokens`` tokens together. Sequence ids are the partition's number times 2**33 plus a count. A worker remembers
+    the ids of ``cache_words`` words in a task (about 175 bytes each) and of ``idle_words`` between tasks.
     """
     fields = _FIELDS + ([("ids", pa.binary())] if emit_ids else [])
     schema, end = pa.schema(fields), np.array([end_id], "<u4").tobytes()
@@ -246,14 +256,14 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
 
         tokenizer = None
         for b in batches:
-            tokenizer = tokenizer or worker_tokenizer(tokenizer_path)
+            tokenizer = tokenizer or worker_tokenizer(tokenizer_path, cache_words)
             for some in _slices(b):
                 for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1)), strict=True):
                     rows.extend(map(row, packer.add(key, ids + end)))
                     if len(rows) > 4096:
                         yield flush()
-        if tokenizer:
-            tokenizer.forget(IDLE_WORDS)
+        tokenizer = None
+        rest_tokenizer(tokenizer_path, idle_words)
         rows.extend(map(row, packer.close()))
         if rows:
             yield flush()
