@@ -13,7 +13,16 @@ from textloom.llm import op3_line_dedup, op4_toxicity, op6_packing, op7_decontam
 from textloom.llm.common import stored, table
 
 
+#: Rows in a batch for Python workers: texts are long, and all stages share the executors' memory.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return op4_toxicity.reject(docs, op4_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -22,15 +31,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return op10_jaccard_join.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return op7_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op6_packing.pack(docs, op6_packing.tokenizer_file(), emit_ids=False)
+    _small_batches(spark)
+    # other stages share the workers: remember fewer words, and none when a task is done
+    return op6_packing.pack(docs, op6_packing.tokenizer_file(), emit_ids=False, cache_words=200_000, idle_words=0)
 
 
 STAGES = [
