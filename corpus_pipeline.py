@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     # other stages share the workers: remember fewer words, and none when a task is done
-    return op6_packing.pack(docs, op6_packing.tokenizer_file(), emit_ids=False, cache_words=200_000, idle_words=0)
+    return op6_packing.pack(docs, op6_packing.tokenizer_file(), emit_ids=False, cache_words=200_000, idle_words=0, lean=True)
 
 
 STAGES = [

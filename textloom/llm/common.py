@@ -83,18 +83,18 @@ def _c_library():
     return library if hasattr(library, "mallopt") and hasattr(library, "malloc_trim") else None
 
 
-def frugal(run):
+def frugal(run, block: int | None = 1 << 20):
     """A function over batches whose worker gives memory back to the system.
 
     Workers wait for later tasks of other stages, and what they keep counts against the executor. Blocks of a MiB or more go back
     as soon as they are free (the C library's own limit grows to 32 MiB, so that batches would stay), the rest when
-    a task is done. Other C libraries are left as they are.
+    a task is done. With another ``block``, or None for the library's own rule, less goes back and less time goes into it. Other C libraries are left as they are.
     """
 
     def wrapped(batches):
         library = _c_library()
-        if library:
-            library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        if library and block:
+            library.mallopt(-3, block)  # M_MMAP_THRESHOLD
             library.mallopt(-8, 1)  # M_ARENA_MAX
             pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)

@@ -38,7 +38,7 @@ BUFFER_TOKENS = 1 << 19
 #: Tokens in a step group.
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers in a task, and between tasks.
-CACHE_WORDS, IDLE_WORDS = 700_000, 150_000
+CACHE_WORDS, IDLE_WORDS = 1_500_000, 1_000_000
 #: Text whose words are looked up together.
 SLICE_BYTES = 3 << 20
 
@@ -225,12 +225,13 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 _DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group string"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID, emit_ids: bool = True, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS, cache_words: int = CACHE_WORDS, idle_words: int = IDLE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID, emit_ids: bool = True, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS, cache_words: int = CACHE_WORDS, idle_words: int = IDLE_WORDS, lean: bool = False) -> DataFrame:
     """Pieces of packed sequences, with their ids as little-endian bytes if ``emit_ids``.
 
     ``tier`` is the sequence's length; ``step_group`` names a group of sequences of one tier that hold
     ``group_tokens`` tokens together. Sequence ids are the partition's number times 2**33 plus a count. A worker remembers
-    the ids of ``cache_words`` words in a task (about 175 bytes each) and of ``idle_words`` between tasks.
+    the ids of ``cache_words`` words in a task (about 175 bytes each) and of ``idle_words`` between tasks; a ``lean`` one gives
+    blocks back at once, at some cost of time.
     """
     fields = _FIELDS + ([("ids", pa.binary())] if emit_ids else [])
     schema, end = pa.schema(fields), np.array([end_id], "<u4").tobytes()
@@ -257,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
         tokenizer = None
         for b in batches:
             tokenizer = tokenizer or worker_tokenizer(tokenizer_path, cache_words)
-            for some in _slices(b):
+            for some in _slices(b, SLICE_BYTES if lean else 2 * SLICE_BYTES):
                 for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1)), strict=True):
                     rows.extend(map(row, packer.add(key, ids + end)))
                     if len(rows) > 4096:
@@ -268,15 +269,15 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), _DDL + (", ids binary" if emit_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, 1 << 20 if lean else None), _DDL + (", ids binary" if emit_ids else ""))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch with about SLICE_BYTES of text together, one row at least."""
+def _slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``size`` bytes of text together, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 
