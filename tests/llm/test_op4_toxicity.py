@@ -54,6 +54,28 @@ def test_null_empty_long_and_clashing_columns(spark, model):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 3]
 
 
+def test_chance_hits_of_long_clean_texts_do_not_add_up(spark, model):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where((op.fold("doc_id", 5) == 0) & (op.F.col("toxic") == 0)).dropDuplicates(["doc_id"])
+    clean = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").orderBy("doc_id").collect() if r.text]
+    joined = "\n".join(clean).encode()
+    chance = min(model.weights, key=model.weights.get)
+    sparse = b"of the and so " * 1250 + chance + b" "  # one chance hit in 5,000 words, as in clean documents
+    assert len(model.judge(joined)[1]) > 3 and len(model.judge(sparse * 200)[1]) == 200
+    assert model.judge(joined)[0] < 0.5
+    assert [model.judge(sparse * k)[0] < 0.5 for k in (1, 4, 40, 200)] == [True] * 4
+    abuse = b"the idiot loser scum moron " * 2
+    assert model.judge(sparse * 200 + abuse)[0] >= 0.5 and model.judge((b"of the and so " * 500 + abuse) * 3)[0] >= 0.5
+
+
+def test_evidence_is_the_best_sum_statistic():
+    m = op.Model(rate=1.5, k=0.1)
+    scores, n = [3.0, 9.0, 8.0, 3.0], 1000
+    want = max(1.5 * sum(sorted(scores)[-r:]) - r * op.math.log(0.1 * n) + op.math.log(op.math.factorial(r)) for r in range(1, 5))
+    assert abs(m.evidence(scores, n) - want) < 1e-9
+    assert m.evidence([], n) == m.evidence([], 0) == 0 and m.evidence([3.0] * 50, 10**6) == 0
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     for rows in ([], [(1, None)], [(2, 1)], [(1, 1)]):

@@ -7,9 +7,11 @@ clean text falls.
 
 Scoring, of whole texts: the linear-time scan of Ruzzo and Tompa finds all maximal scoring segments. By the
 extreme-value law of such segments, K n exp(-lambda S) are expected by chance in n tokens; lambda solves
-the moment equation of the clean token scores, K is counted on clean documents. The evidence of a document is the
-sum statistic of its segments, lambda * sum(S) - ln(K n), or 0 if that is less, and a logistic curve turns it into
-a score from 0 to 1. Lambda, K and the curve are fitted on training rows scored without their own part of the counts.
+the moment equation of the clean token scores, K is the least with which no score of clean documents is more frequent
+than that. The evidence of a document is the sum statistic of its r best segments, lambda * sum(S) - r ln(K n) + ln(r!),
+for the r that makes it largest, or 0 if that is less: each segment has to pay for its own chance, so chance
+hits of long clean texts do not add up. A logistic curve turns it into a score from 0 to 1. Lambda, K and the
+curve are fitted on training rows scored without their own part of the counts.
 
 The model learns from at most ``TRAIN_ROWS`` labelled rows and holds at most ``MOST_TOKENS`` weights.
 
@@ -104,8 +106,13 @@ class Model:
                     hits.append((i, s))
         return segments(hits)
 
-    def evidence(self, total: float, n: int) -> float:
-        return max(0.0, self.rate * total - math.log(self.k * n)) if total else 0.0
+    def evidence(self, scores: list[float], n: int) -> float:
+        """Sum statistic of the best of the segment scores in n tokens."""
+        best = total = 0.0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            total += self.rate * s - math.log(self.k) - math.log(n) + math.log(r)
+            best = max(best, total)
+        return best
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(min(700.0, -(self.intercept + self.slope * evidence))))
@@ -113,7 +120,7 @@ class Model:
     def judge(self, text: bytes | None) -> tuple[float, list[tuple[int, int, float]]]:
         words = tokens_of(text)
         found = self.segments(words)
-        return self.probability(self.evidence(sum(s for _, _, s in found), len(words))), found
+        return self.probability(self.evidence([s for _, _, s in found], len(words))), found
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -186,9 +193,9 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         mid = (low + high) / 2
         low, high = (mid, high) if moment(mid) < 1 else (low, mid)
     model.rate = high
-    at = float(np.median(scores))
-    model.k = max(1, int((null >= at).sum())) / (tokens * math.exp(-model.rate * at))
-    x = np.array([model.evidence(sum(ss), n) for n, ss in zip(seen.n, seen.s, strict=True)])
+    falling = np.sort(scores)[::-1]
+    model.k = math.exp(min(700.0, float(np.max(np.log(np.arange(1, len(falling) + 1)) + model.rate * falling)) - math.log(tokens)))
+    x = np.array([model.evidence(ss, n) for n, ss in zip(seen.n, seen.s, strict=True)])
     model.intercept, model.slope = _logistic(x, seen.toxic.to_numpy(float))
 
 
