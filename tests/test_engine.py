@@ -31,6 +31,22 @@ def test_extract_documents(spark):
     assert got["e.zip"].n_parts == 2 and got["b.txt"].size == 5 and got["e.zip"]["class"] == "archive" and got[None].text == "raw"
 
 
+def test_vsd_beyond_a_mebibyte_keeps_its_tail(spark, tmp_path):
+    body = b"ab\x00\xe9\r\n" * 300_000 + b"tail"
+    want = "ab\r\n" * 300_000 + "tail"
+    rows = [("a.vsd", body), ("b.zip", packers.zipped({"c.vsd": body}))]
+    got = by_path(extract_documents(spark.createDataFrame(rows, "path string, content binary")).collect())
+    assert got["a.vsd"].text == want and got["b.zip"].text.rstrip("\n").endswith("tail") and got["b.zip"].text.count("ab\r\n") == 300_000
+    assert Registry().extract(202, body).text == want
+    docs = spark.createDataFrame([(1, "aé\x01\n" * 500_000 + "end"), (2, "short"), (3, "")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("printable_ascii_vsd", "vsd_text"):
+        sql = con.sql(base.ORACLES[name])
+        assert sorted(map(tuple, base.QUERIES[name](spark, str(tmp_path)).select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
 def test_override_and_own_extractor(spark):
     df = spark.createDataFrame([("x.bin", b"<p>a</p>")], "path string, content binary")
     assert extract_documents(df, file_type=1).first().text == "a"

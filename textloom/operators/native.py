@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import textnorm
 
-VSD_BYTES = 1 << 20
-
 
 def html_text(source: Column) -> Column:
     """Text of a page: comments, head, scripts and styles go, tags are spaces, references are decoded twice.
@@ -30,8 +28,8 @@ def plain_text(content: Column) -> Column:
 
 
 def vsd_text(content: Column) -> Column:
-    """Printable ASCII and line ends of the first MiB."""
-    return textnorm.printable_ascii(F.decode(F.substring(content, 1, VSD_BYTES), "ISO-8859-1"))
+    """Printable ASCII and line ends of the whole content."""
+    return textnorm.printable_ascii(F.decode(content, "ISO-8859-1"))
 
 
 def pdf_scrape(content: Column) -> Column:

@@ -20,6 +20,7 @@ from .xml import extract_xml
 
 log = logging.getLogger("textloom")
 Extractor = Callable[[bytes, str], Result]
+_NOT_PRINTABLE = bytes(b for b in range(256) if not (32 <= b <= 126 or b in (10, 13)))
 
 
 def extract_raw(data: bytes, name: str = "") -> Result:
@@ -31,7 +32,7 @@ def extract_text(data: bytes, name: str = "") -> Result:
 
 
 def extract_vsd(data: bytes, name: str = "") -> Result:
-    return Result(bytes(b for b in data[: 1 << 20] if 32 <= b <= 126 or b in (10, 13)).decode("ascii"), "vsd")
+    return Result(data.translate(None, _NOT_PRINTABLE).decode("ascii"), "vsd")
 
 
 _BY_NAME: dict[str, Extractor] = {
