@@ -45,8 +45,16 @@ def variants(rng, n, size, edits):
         yield " ".join(w)
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(op, "NEAR", 2)
+@pytest.mark.parametrize("hot", [2, 500])
+def test_classes_equal_brute_force(spark, monkeypatch, hot):
+    if hot == 2:  # every step is taken
+        monkeypatch.setattr(op, "HOT", 2)
+        monkeypatch.setattr(op, "NEAR", 3)
+        monkeypatch.setattr(op, "ROUNDS", 1)
+        monkeypatch.setattr(op, "MEETINGS", 0)
+        monkeypatch.setattr(op, "LEAST_MEETINGS", 0)
+    monkeypatch.setattr(op, "LEAST_FREQUENT", 50)
+    monkeypatch.setattr(op, "MOST_FREQUENT", 50)
     rng, texts = random.Random(5), [None, "", " \t", "Á b", "á b", "A b", "a  B"]
     for size, n in ((4, 5), (6, 8), (9, 12), (12, 14), (16, 14), (40, 30), (120, 30)):
         texts += variants(rng, n, size, max(1, size // 20))
@@ -76,12 +84,76 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_deduplicate_keeps_columns(spark):
-    df = spark.createDataFrame([(5, "a b c", "x"), (2, "a b c", "y"), (9, None, "z")], "doc_id long, text string, component_id string")
+def mixed(rng, n):
+    """Texts of 10 out of 60 passages that all share."""
+    passages = [" ".join(f"p{i}x{j}" for j in range(25)) for i in range(60)]
+    return [" ".join(rng.sample(passages, 10)) for _ in range(n)]
+
+
+def test_mixed_passages_equal_brute_force_and_grow_in_proportion(spark, monkeypatch):
+    seen = {}
+    possible = op._Join._possible
+
+    def count_pairs(self, pairs):
+        out = possible(self, pairs)
+        seen["pairs"] += pairs.count()
+        seen["possible"] += out.count()
+        return out
+
+    monkeypatch.setattr(op._Join, "_possible", count_pairs)
+    found = []
+    for n in (300, 600):
+        seen |= {"pairs": 0, "possible": 0}
+        texts = mixed(random.Random(n), n)
+        words = [t.split() for t in texts]
+        texts += [" ".join(["edited", *w[1:]]) for w in words[: n // 10]]
+        got = run(spark, list(enumerate(texts)))
+        assert got == brute(list(enumerate(texts)))
+        found.append(dict(seen))
+    postings = 60 * 330  # of the smaller run, at most
+    assert found[0]["pairs"] <= 2 * postings and found[1]["pairs"] <= 4 * postings
+    assert found[1]["possible"] <= 2.5 * found[0]["possible"] + 10
+
+
+def test_lists_of_many_classes_equal_brute_force(spark):
+    """Sets that agree on most shingles of a common part without being linked, so that all steps are taken."""
+    rng, texts = random.Random(3), []
+    common = " ".join(f"c{i}" for i in range(40))
+    for g in range(30):
+        own = " ".join(f"g{g}w{i}" for i in range(rng.choice([8, 10, 12, 14])))
+        texts += [common + " " + own, own + " " + common, common + " " + own + " z"]
+    texts = list(enumerate(texts))
+    assert run(spark, texts) == brute(texts)
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 12, 40, 200, 900])
+def test_linked_sets_share_a_part(n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    for _ in range(60):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        differ = rng.integers(0, n // 9 + 1)
+        t = np.unique(np.concatenate((s[rng.permutation(n)[: n - differ]], rng.integers(0, 1 << 63, rng.integers(0, differ + 1), dtype=np.uint64))))
+        if 5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t)) and len(t):
+            assert set(op._part_keys(s).tolist()) & set(op._part_keys(t).tolist())
+
+
+def test_deduplicate_keeps_one_row_of_each_class(spark):
+    df = spark.createDataFrame([(5, "a b c", "x", {"k": 1}), (2, "a b c", "y", {"k": 1}), (9, None, "z", None)], "doc_id long, text string, component_id string, row map<string,int>")
     out = op.deduplicate(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 9]
 
 
+@pytest.mark.parametrize("names", ["_gone string", "row string", "other string", "node string", "key string"])
+def test_deduplicate_by_row(spark, names):
+    x, y, z = "one text of this and that", "something else in quite other words", "a third text that nobody has seen"
+    rows = [(2, x, "p"), (5, x, "p"), (5, y, "p"), (7, z, "p"), (7, z, "p"), (None, z, "p"), (None, "q r s", "p"), (None, "q r s", "q"), (8, "", "p"), (8, "", "p"), (2, x, "q")]
+    out = op.deduplicate(spark.createDataFrame(rows, f"doc_id long, text string, {names}")).collect()
+    got = sorted(((r.doc_id, r.text) for r in out), key=repr)
+    assert got == sorted([(2, x), (5, y), (7, z), (None, "q r s"), (8, ""), (8, "")], key=repr)
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_required_overlap_and_prefix(n):
     for m in range(1, 60):

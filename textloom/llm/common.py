@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,66 +15,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (a local session, as in tests) a temporary one is set.
+    Where the session has none (a local session, as in tests) a temporary one is made.
     """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _temporary.get(sc.applicationId)
     if not found:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
+        found = _temporary[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        removed_at_end(spark, found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now and cut the lineage, by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Make a folder that is deleted when the driver's JVM ends, also after ``spark.stop()``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
 
+_homes: dict[tuple[str, str], str] = {}
 
-_written: list[tuple[SparkSession, str]] = []
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has, in this driver's part of the shared folder."""
+    shared = shared_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, shared)
+    if key not in _homes:
+        _homes[key] = f"{shared}/textloom-{uuid.uuid4().hex}"
+        removed_at_end(spark, _homes[key])
+    return f"{_homes[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`cut`, but as compressed Parquet: for larger tables.
+    """Compute now and cut the lineage, by compressed Parquet in the shared folder.
 
-    The table is removed when the driver ends; until then later reads, also after lost executors, find it.
+    Later reads, also after lost executors, find the table until :func:`dropped` or the end of the driver removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A small table by :func:`stored`."""
+    return stored(df, "cut")
 
 
-def dropped(df: DataFrame | None) -> None:
-    """Remove the files of a table made by :func:`stored` once nothing reads it any more."""
-    if df is not None:
-        names = df.inputFiles()
-        for item in list(_written):
-            if any(item[1].split(":", 1)[-1].lstrip("/") in f for f in names):
-                _remove(*item)
-                _written.remove(item)
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove the files of tables made by :func:`stored` once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "stored_path", None):
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            df.stored_path = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def with_settings(df: DataFrame, **settings) -> DataFrame:
+    """The same rows under settings of their own; the caller's session keeps its settings."""
+    jvm = df.sparkSession._jvm
+    session = SparkSession(df.sparkSession.sparkContext, df.sparkSession._jsparkSession.cloneSession())
+    for key, value in settings.items():
+        session.conf.set(key, value)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan()), session)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session is gone; the folder belongs to the cluster
-            return
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _c_library():
@@ -109,6 +133,6 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def crc_mod(column: str, n: int):
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
+def fold(doc_id: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dropped
+
+#: Edges up to which a round's minima are broadcast; beyond it adaptive execution splits what a hub has.
+BROADCAST_EDGES = 250_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has long columns a and b; the result has node and root (the smallest node that it reaches).
 
     Every node of an edge is in the result. Neighbours are only aggregated to their minimum, never gathered,
-    so the hub of a large group costs a row for each edge. Each round is cut by a reliable checkpoint.
+    so the hub of a large group costs a row for each edge. Each round is a stored table, and the table of the round before
+    is removed.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
     while True:
+        # a hub would be one task of a join that deals by nodes
+        sent = F.broadcast if state[0] <= BROADCAST_EDGES else lambda x: x
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         # every neighbour above a node joins the least of that node and its neighbours, and so does the node
-        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        large = now.join(sent(least.withColumnRenamed("u", "v")), "v").select("u", F.col("m").alias("v"))
         large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v")))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(sent(lowest), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        dropped(last)
         before, state = state, _state(now)
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

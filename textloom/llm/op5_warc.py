@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
-from .common import cut, frugal, shared_dir, table
+from .common import cut, frugal, new_path, table
 
 CHUNK_BYTES = 1 << 20
 BROADCAST_GROUPS = 200_000
@@ -216,9 +214,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/textloom/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    common._written.append((spark, path))
     return read(spark, path, with_payload=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
