@@ -5,7 +5,7 @@ import pytest
 from textloom.llm import op3_line_dedup as op
 
 
-def brute(rows, ratio=0.1, least=5):
+def brute(rows, ratio=0.1, least=2):
     pages, seen = Counter(), defaultdict(Counter)
     bare = lambda x: x.strip(" \t\r")
     for _, text, host in rows:
@@ -31,14 +31,22 @@ ROWS = (
 
 @pytest.mark.parametrize("most", [0, 1000])
 def test_brute_force(spark, most):
-    df = spark.createDataFrame([(*r, 5) for r in ROWS], "doc_id long, text string, source string, _lines int").drop("_lines")
+    df = spark.createDataFrame([(*r, 5) for r in ROWS], "doc_id long, text string, source string, lines_ int")
     got = [tuple(r) for r in op.clean_lines(df, broadcast_lines=most).collect()]
     assert sorted(got, key=repr) == brute(ROWS)
 
 
-def test_drop_boilerplate_keeps_columns(spark):
-    df = spark.createDataFrame([(*r, len(r[1] or ""), "q") for r in ROWS], "doc_id long, text string, source string, n_chars long, host string")
-    out = op.drop_boilerplate(df)
+def test_hosts_of_few_pages(spark):
+    rows = [(i, f"Menu\nown {i}", "b") for i in range(4)] + [(9, "Menu\nalone", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.clean_text) for r in op.clean_lines(df).collect()) == [(0, "own 0"), (1, "own 1"), (2, "own 2"), (3, "own 3"), (9, "Menu\nalone")]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("name", ["host", "host_", "_host", "lines_", "_lines", "salt_", "_salt", "salt__", "here_", "n"])
+def test_drop_boilerplate_keeps_columns(spark, name, most):
+    df = spark.createDataFrame([(*r, len(r[1] or ""), "q") for r in ROWS], f"doc_id long, text string, source string, n_chars long, {name} string")
+    out = op.drop_boilerplate(df, broadcast_lines=most)
     assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     rows = out.collect()
     assert sorted((r.doc_id, r.text) for r in rows if r.text is not None) == sorted((x[0], x[3]) for x in brute(ROWS) if x[3] is not None)
