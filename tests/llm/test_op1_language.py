@@ -12,9 +12,11 @@ def gram_set(text, letters):
 TEXTS = ["Abc ab! cab", "ß ñandú ab", "zzz", "aaa bbb" * 30, "a", "漢字 ab 𝔘x"]
 
 
+@pytest.mark.parametrize("table", [0, 1 << 22])
 @pytest.mark.parametrize("chunk", [7, 1 << 20])
-def test_codes_are_the_distinct_grams(monkeypatch, chunk):
+def test_codes_are_the_distinct_grams(monkeypatch, chunk, table):
     monkeypatch.setattr(op, "CHUNK", chunk)
+    monkeypatch.setattr(op, "TABLE", table)
     grams = op.Grams("abcñ")
     for x in TEXTS:
         a, sx = grams.codes(x), gram_set(x, "abcñ")
@@ -44,6 +46,43 @@ def test_one_product_equals_kernel_regression():
         assert np.allclose(direct, got, atol=1e-3)
 
 
+@pytest.mark.parametrize("table", [0, 1 << 22])
+def test_prediction_equals_brute_force_with_fewer_landmarks_than_texts(monkeypatch, table):
+    monkeypatch.setattr(op, "LANDMARKS", 2)
+    monkeypatch.setattr(op, "TABLE", table)
+    texts = ["the and of to", "der die und das", "le la et les", "and the of it", "und der ist", "et la des", "of a the", "das ist die", "les et des"]
+    names = ["en", "de", "fr"] * 3
+    model = op.fit(texts, names)
+    marks = [gram_set(t, set(model.letters)) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    chosen = range(6)
+    values, vectors = np.linalg.eigh(np.array([[kernel(marks[a], marks[b]) for b in chosen] for a in chosen]))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    f = np.array([[kernel(m, marks[b]) for b in chosen] for m in marks]) @ root
+    y = np.where(np.array(names)[:, None] == np.array(["de", "en", "fr"])[None], 1.0, -1.0)
+    w = np.linalg.solve(f.T @ f + op.RIDGE * len(texts) * np.eye(6), f.T @ y)
+    tests = ["the of der", "la les and xyz", None, "12", "das und", "et"]
+    for t, (name, score) in zip(tests, model.predictor()(tests), strict=True):
+        if t in (None, "12"):
+            assert (name, score) == ("und", 0.0)
+            continue
+        v = np.array([kernel(gram_set(t, set(model.letters)), marks[b]) for b in chosen]) @ root @ w
+        assert name == ["de", "en", "fr"][int(v.argmax())]
+        assert abs(score - 1 / np.exp(op.SHARPNESS * (v - v.max())).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("text", ["½ ²", "①", "Ⅷ", "12 !?", "_", "٣"])
+def test_numbers_are_no_letters(text):
+    model = op.fit(["the and of to", "der die und das"], ["en", "de"])
+    assert model.predictor()([text, text + " the"]) [0] == ("und", 0.0) and not op.has_letter(text) and op.has_letter(text + "a")
+
+
+def test_all_letters_are_told_apart():
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 400))
+    model = op.fit([many[:200], many[200:]], ["a", "b"])
+    assert len(model.letters) == 400 and [x for x, _ in model.predictor()([many[150:190], many[210:260]])] == ["a", "b"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

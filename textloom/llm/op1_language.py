@@ -6,8 +6,11 @@ language, give Nystrom features K(x, landmarks) K(landmarks)^-1/2, on which one-
 is solved. For prediction the chain of matrices is one: a batch of texts is a presence matrix over the landmarks'
 n-grams, multiplied by n-grams x languages and divided by the norms of the texts.
 
-Texts are lower-cased; letters are told apart if they are among the most frequent of the training texts, all other
-characters are one sign. The model learns from at most ``PER_LANGUAGE`` whole texts of each language.
+Texts are lower-cased; all letters of the training texts are told apart, all other characters are one sign. A letter is what
+Unicode classes as one (L): digits, other numbers and marks are none.
+
+The model learns from a sample: at most ``PER_LANGUAGE`` whole texts of each language, of at most ``MOST_CHARS`` code points each, of
+the ``MOST_LANGUAGES`` languages with most texts. Longer texts teach nothing, but are predicted whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; where nothing can be learned every
 text is; repeated rows each give a row; a null doc_id counts as the empty text in the fold rule; ties go to the
@@ -25,49 +28,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import fold, frugal, table
 
 #: Training texts and landmarks of each language, chosen by a hash of the text.
 PER_LANGUAGE, LANDMARKS = 500, 40
-#: Longer texts are not learned from, so that the sample is bounded in bytes too.
-MOST_CHARS = 100_000
-LONGEST, LETTERS, RIDGE, SHARPNESS = 3, 126, 1e-3, 5.0
+#: Longer texts are not learned from, and of so many languages, so that the sample is bounded in bytes too.
+MOST_CHARS, MOST_LANGUAGES = 100_000, 200
+LONGEST, RIDGE, SHARPNESS = 3, 1e-3, 5.0
+#: Codes of n-grams up to which a table of all of them is kept.
+TABLE = 1 << 22
 UNKNOWN = "und"
 #: Code points that are turned into n-grams at a time, and texts in a product.
 CHUNK, BATCH = 1 << 20, 64
 
 _LETTER = re.compile(r"[^\W\d_]")
-_SIZE = 128
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a code point of class L; the pattern also finds numbers."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 class Grams:
     """Codes of the distinct n-grams of a text; sign 0 is any character but the known letters."""
 
     def __init__(self, letters: str):
-        self.signs = np.zeros(0x110000, np.uint8)
-        self.signs[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1, dtype=np.uint8)
-        self.total = sum(_SIZE**k for k in range(1, LONGEST + 1))
-        self.last = np.zeros(self.total, np.int32)
+        self.signs, self.size = np.zeros(0x110000, np.int32), len(letters) + 1
+        self.signs[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.total = sum(self.size**k for k in range(1, LONGEST + 1))
+        self.last = np.zeros(self.total, np.int32) if self.total <= TABLE else None
 
     def codes(self, text: str) -> np.ndarray:
-        signs = self.signs[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        signs = self.signs[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32 if self.last is not None else np.int64)
         parts = []
         for at in range(0, max(1, len(signs)), CHUNK):
             some, base = signs[at : at + CHUNK + LONGEST - 1], 0
             codes = [some]
             gram = some
             for k in range(1, LONGEST):
-                base += _SIZE**k
-                gram = gram[:-1] * _SIZE + some[k:]
+                base += self.size**k
+                gram = gram[:-1] * self.size + some[k:]
                 codes.append(gram + base)
             parts.append(self._distinct(np.concatenate(codes)))
         return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
     def _distinct(self, codes: np.ndarray) -> np.ndarray:
+        if self.last is None:
+            return np.unique(codes)
         order = np.arange(len(codes), dtype=np.int32)
         self.last[codes] = order
         return codes[self.last[codes] == order]
 
+    def columns(self, grams: np.ndarray):
+        """A function from codes to their places in ``grams`` (ascending), or its length for others."""
+        if self.last is not None:
+            column = np.full(self.total, len(grams), np.int32)
+            column[grams] = np.arange(len(grams), dtype=np.int32)
+            return column.__getitem__
+
+        def look_up(codes: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+            return np.where(grams[at] == codes, at, len(grams))
+
+        return look_up
+
 
 @dataclass
 class Model:
@@ -80,8 +104,7 @@ class Model:
         if not self.languages:
             return lambda texts: [(UNKNOWN, 0.0)] * len(texts)
         source = Grams(self.letters)
-        column = np.full(source.total, len(self.grams), np.int32)
-        column[self.grams] = np.arange(len(self.grams), dtype=np.int32)
+        column = source.columns(self.grams)
         weights = np.vstack([self.weights, np.zeros((1, len(self.languages)))]).astype(np.float32)
         presence = np.zeros((BATCH, len(weights)), np.float32)
 
@@ -89,17 +112,18 @@ class Model:
             out: list[tuple[str, float]] = []
             for at in range(0, len(texts), BATCH):
                 some, norms = texts[at : at + BATCH], np.ones(BATCH)
+                known = [has_letter(t) for t in some]
                 presence[:] = 0
                 for i, t in enumerate(some):
-                    if t and _LETTER.search(t):
+                    if known[i]:
                         codes = source.codes(t)
-                        presence[i, column[codes]] = 1
+                        presence[i, column(codes)] = 1
                         norms[i] = len(codes) ** 0.5
                 values = (presence[: len(some)] @ weights).astype(float) / norms[: len(some), None]
                 best = values.argmax(1)
                 shares = np.exp(SHARPNESS * (values - values.max(1, keepdims=True)))
                 scores = 1 / shares.sum(1)
-                out += [(self.languages[b], float(s)) if t and _LETTER.search(t) else (UNKNOWN, 0.0) for t, b, s in zip(some, best, scores, strict=True)]
+                out += [(self.languages[b], float(s)) if k else (UNKNOWN, 0.0) for k, b, s in zip(known, best, scores, strict=True)]
             return out
 
         return predict
@@ -110,10 +134,8 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     names = sorted(set(languages))
     if not names:
         return Model("", [], np.zeros(0, np.int32), np.zeros((0, 0)))
-    frequent = Counter()
-    for t in texts:
-        frequent.update(c for c in t.lower() if c.isalpha())
-    letters = "".join(sorted(c for c, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
+    frequent = {c for t in texts for c in set(t.lower()) if c.isalpha()}
+    letters = "".join(sorted(frequent))
     source = Grams(letters)
     sets = [source.codes(t) for t in texts]
     taken: Counter = Counter()
@@ -123,14 +145,13 @@ def fit(texts: list[str], languages: list[str]) -> Model:
             taken[name] += 1
             landmarks.append(i)
     grams = np.unique(np.concatenate([sets[i] for i in landmarks]))
-    column = np.full(source.total, -1, np.int32)
-    column[grams] = np.arange(len(grams), dtype=np.int32)
+    column = source.columns(grams)
 
     def presence(some):
         x = np.zeros((len(some), len(grams)), np.float32)
         for row, s in enumerate(some):
-            at = column[s]
-            x[row, at[at >= 0]] = 1
+            at = column(s)
+            x[row, at[at < len(grams)]] = 1
         return x
 
     z = presence([sets[i] for i in landmarks]) / np.sqrt([len(sets[i]) for i in landmarks])[:, None].astype(np.float32)
@@ -141,24 +162,23 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     target = np.where(np.array(languages)[:, None] == np.array(names)[None], 1.0, -1.0)
     ridge = RIDGE * len(texts) * np.eye(len(landmarks))
     solved = np.linalg.solve(features.T @ features + ridge, features.T @ target)
-    return Model(letters, names, grams.astype(np.int32), z.T @ (root @ solved))
-
-
-def fold(doc_id: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+    return Model(letters, names, grams, z.T @ (root @ solved))
 
 
 def train(docs: DataFrame, held_out: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows with a language for which ``held_out`` (by default: remainder 2 modulo 4) is false."""
     known = docs.where(F.col("lang").isNotNull() & ~(fold("doc_id", 4) == 2 if held_out is None else held_out))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order, space = F.xxhash64(F.lit(1), "text"), 1 << 40
+    usable = known.where((F.char_length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
+    # copies of a text are one
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r.n for r in counts.collect()}
     if not counts:
         return fit([], [])
-    order, space = F.xxhash64(F.lit(1), "text"), 1 << 40
-    rates = F.create_map(*[x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(space, int(space * (1.5 * per_language + 20) / n))))])
-    usable = known.where((F.char_length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}")).where(F.pmod(order, F.lit(space)) < F.element_at(rates, F.col("lang")))
-    rows = usable.select("lang", "text", order.alias("o")).distinct().orderBy("o", "lang").limit(2 * per_language * len(counts) + 1000).collect()
+    rates = F.create_map(*[x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(space, int(space * (1.5 * per_language + 20) / max(1, n)))))])
+    chosen = usable.where(F.pmod(order, F.lit(space)) < F.element_at(rates, F.col("lang")))
+    rows = chosen.select("lang", "text", order.alias("o")).distinct().orderBy("o", "lang").limit(2 * per_language * len(counts) + 1000).collect()
+    rows = [r for r in rows if has_letter(r.text)]
     taken: Counter = Counter()
     kept = []
     for r in rows:
