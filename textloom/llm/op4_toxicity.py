@@ -1,17 +1,20 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training, on labelled rows only: token weights are log-odds of toxic against clean documents under an
-informative Dirichlet prior, which is the token's share in all of them. Near copies count as one document. A
-token whose log-odds are large and significant scores them, any other token costs ``DRIFT``, so a random walk over
-clean text falls.
+informative Dirichlet prior, which is the token's share in all of them, moved ``SIGNIFICANT`` standard errors towards zero, so that
+what a few documents happen to hold weighs nothing. Near copies count as one document. Every token scores its
+weight, of either sign, less ``DRIFT``, so a random walk over clean text falls.
 
 Scoring, of whole texts: the linear-time scan of Ruzzo and Tompa finds all maximal scoring segments. By the
-extreme-value law of such segments, K n exp(-lambda S) are expected by chance in n tokens; lambda solves
+extreme-value law of such segments, E = K n exp(-lambda S) are expected by chance in n tokens; lambda solves
 the moment equation of the clean token scores, K is the least with which no score of clean documents is more frequent
-than that. The evidence of a document is the sum statistic of its r best segments, lambda * sum(S) - r ln(K n) + ln(r!),
-for the r that makes it largest, or 0 if that is less: each segment has to pay for its own chance, so chance
-hits of long clean texts do not add up. A logistic curve turns it into a score from 0 to 1. Lambda, K and the
-curve are fitted on training rows scored without their own part of the counts.
+than that. Passages are the segments with an E of at most ``MOST_EXPECTED``. The evidence of a document is the sum statistic of
+its r best segments, lambda * sum(S) - r ln(K n) + ln(r!), for the r that makes it largest, or 0 if that is less: each segment
+has to pay for its own chance, so chance hits of long clean texts do not add up. A logistic curve turns it into a
+score from 0 to 1. Lambda, K and the curve are fitted on training rows scored without their own part of the counts.
+
+``PRIOR``, ``SIGNIFICANT``, ``DRIFT`` and ``ECHO`` are round values that have not been tuned for this form of the score;
+``MOST_EXPECTED`` is a usual level of significance. The rows with remainder 0 modulo 5 only test.
 
 The model learns from at most ``TRAIN_ROWS`` labelled rows and holds at most ``MOST_TOKENS`` weights.
 
@@ -28,17 +31,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bytes_of, cut, frugal, table
+from .common import bytes_of, cut, fold, frugal, table
 
 #: Labelled rows that training may use, chosen by a hash of their ids.
 TRAIN_ROWS = 40_000
 #: Weights that the model may hold, the most significant ones.
 MOST_TOKENS = 60_000
-DRIFT, PRIOR, SIGNIFICANT, LARGE, LEAST = 0.5, 20.0, 1.5, 3.0, 1.5
+DRIFT, PRIOR, SIGNIFICANT = 0.5, 20.0, 1.5
+#: Odds are those of documents that have a token, so echoes of it near by say nothing new.
+ECHO = 64
+#: Segments that are expected by chance at the score of a passage.
+MOST_EXPECTED = 0.05
+
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -48,24 +56,24 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def weight(y1: float, y0: float, n1: float, n0: float) -> float:
-    """Log-odds of a token in y1 of n1 toxic and y0 of n0 clean documents; 0 if small or not significant."""
+def weights(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-odds of tokens in y1 of n1 toxic and y0 of n0 clean documents, moved towards zero by standard errors."""
     prior = (y1 + y0) / (n1 + n0) * PRIOR + 0.01
-    odds = math.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - math.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    return odds if y1 >= LEAST and odds > LARGE and odds > SIGNIFICANT * math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)) else 0.0
+    odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
+    error = SIGNIFICANT * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+    return np.sign(odds) * np.maximum(0.0, np.abs(odds) - error)
 
 
-def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments [start, end) with their scores, given ascending positions of positive scores.
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments [start, end) of token scores, with their scores. Linear time (Ruzzo and Tompa).
 
-    Every position between hits costs ``drift``. Linear time over hits (Ruzzo and Tompa).
+    Only tokens of a positive score are visited; what lies between them is a difference of running totals.
     """
     stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, earlier with less before
-    total, last = 0.0, 0
-    for at, score in hits:
-        before = total - drift * (at - last)
-        total, last = before + score, at + 1
-        start, left = at, before
+    sums = np.cumsum(scores)
+    hits = np.flatnonzero(scores > 0)
+    for at, total, score in zip(hits.tolist(), sums[hits].tolist(), scores[hits].tolist(), strict=True):
+        start, left = at, total - score
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][2] >= left:
@@ -90,21 +98,30 @@ class Model:
     slope: float = 0.0
 
     def __post_init__(self):
-        self.weights = {t: w for t, (y1, y0) in self.counts.items() if (w := weight(y1, y0, self.n1, self.n0))}
-
-    def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        known = self.weights
-        return segments([(i, known[w]) for i, w in enumerate(words) if w in known])
-
-    def segments_without(self, words: list[bytes], toxic: int) -> list[tuple[int, int, float]]:
-        """As if a training row with this label had not been counted."""
-        known, hits = self.counts, []
-        for i, w in enumerate(words):
-            if w in known:
-                y1, y0 = known[w]
-                if s := weight(max(0.0, y1 - toxic), max(0.0, y0 + toxic - 1), self.n1, self.n0):
-                    hits.append((i, s))
-        return segments(hits)
+        y1, y0 = (np.array([c[i] for c in self.counts.values()], float) for i in (0, 1))
+        found = weights(y1, y0, self.n1, self.n0).tolist()
+        self.weights = {t: w for t, w in zip(self.counts, found, strict=True) if w}
+
+    def without(self, toxic: int) -> dict[bytes, float]:
+        """Weights as if a training row with this label had not been counted."""
+        y1, y0 = (np.array([c[i] for c in self.counts.values()], float) for i in (0, 1))
+        found = weights(np.maximum(0.0, y1 - toxic), np.maximum(0.0, y0 + toxic - 1), self.n1, self.n0).tolist()
+        return {t: w for t, w in zip(self.counts, found, strict=True) if w}
+
+    @staticmethod
+    def scores(words: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+        """Token scores; a token that stands less than ``ECHO`` tokens before adds no odds again."""
+        found = np.fromiter((known.get(w, 0.0) for w in words), float, len(words))
+        last: dict[bytes, int] = {}
+        for at in np.flatnonzero(found > 0).tolist():
+            if at - last.get(words[at], -ECHO) < ECHO:
+                found[at] = 0
+            last[words[at]] = at
+        return found - DRIFT
+
+    def expected(self, score: float, n: int) -> float:
+        """Segments of this score that n clean tokens have by chance."""
+        return math.exp(min(700.0, math.log(self.k) + math.log(max(1, n)) - self.rate * score))
 
     def evidence(self, scores: list[float], n: int) -> float:
         """Sum statistic of the best of the segment scores in n tokens."""
@@ -118,14 +135,10 @@ class Model:
         return 1 / (1 + math.exp(min(700.0, -(self.intercept + self.slope * evidence))))
 
     def judge(self, text: bytes | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score of a text, and its passages."""
         words = tokens_of(text)
-        found = self.segments(words)
-        return self.probability(self.evidence([s for _, _, s in found], len(words))), found
-
-
-def fold(doc_id: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+        found = segments(self.scores(words, self.weights))
+        return self.probability(self.evidence([s for _, _, s in found], len(words))), [x for x in found if self.expected(x[2], len(words)) <= MOST_EXPECTED]
 
 
 def _examples(batches):
@@ -146,55 +159,86 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, held
     order = F.xxhash64(F.lit(4), "doc_id")
     share = min(1.0, 1.1 * train_rows / n)
     chosen = usable.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(order).limit(train_rows) if n > train_rows else usable
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic"))
-    bags = rows.mapInArrow(frugal(_examples), "toxic int, key bigint, bag array<binary>")
-    bags = cut(bags.withColumn("w", 1 / F.count("*").over(Window.partitionBy("key", "toxic"))))
-    sums = {r.toxic: r.w for r in bags.groupBy("toxic").agg(F.sum("w").alias("w")).collect()}
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    # of rows with one id one text teaches, so the sample keeps its bound
+    rows = cut(labelled.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"))
+    bags = cut(rows.mapInArrow(frugal(_examples), "toxic int, key bigint, bag array<binary>"))
+    # no more groups than training rows
+    groups = bags.groupBy("key", "toxic").agg((1 / F.count("*")).alias("w"))
+    bags = bags.join(F.broadcast(groups), ["key", "toxic"])
+    sums = {r.toxic: r.w for r in groups.groupBy("toxic").agg(F.count("*").cast("double").alias("w")).collect()}
     n1, n0 = sums.get(1, 0.0), sums.get(0, 0.0)
     if not n1 or not n0:
         return Model()
     counts = bags.select(F.explode("bag").alias("t"), "toxic", "w").groupBy("t").agg(F.sum(F.col("w") * F.col("toxic")).alias("y1"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("y0"))
-    # what may weigh, also with one clean document less
+    # tokens whose odds are more than their error, also with one clean document less
     rarest = F.greatest(F.col("y0") - 1, F.lit(0.0))
-    prior = (F.col("y1") + rarest) / (n1 + n0) * PRIOR + 0.01
-    odds = F.log((F.col("y1") + prior) / (n1 + PRIOR - F.col("y1") - prior)) - F.log((rarest + prior) / (n0 + PRIOR - rarest - prior))
-    top = counts.where(F.col("y1") >= LEAST).withColumn("s", odds).where(F.col("s") > LARGE).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (rarest + prior)))
-    top = top.where(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "t").limit(MOST_TOKENS).toPandas()
+    z = F.greatest(_z(F.col("y1"), F.col("y0"), n1, n0), _z(F.col("y1"), rarest, n1, n0))
+    top = counts.withColumn("z", z).where(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "t").limit(MOST_TOKENS).toPandas()
     model = Model({bytes(t): (float(y1), float(y0)) for t, y1, y0 in zip(top["t"], top["y1"], top["y0"], strict=True)}, n1, n0)
     _calibrate(model, rows)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Set lambda, K and the curve; what is collected is bounded by the training rows."""
+def _z(y1: Column, y0: Column, n1: float, n0: float) -> Column:
+    """Log-odds in standard errors, without their sign."""
+    prior = (y1 + y0) / (n1 + n0) * PRIOR + 0.01
+    odds = F.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - F.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
+    return F.abs(odds) / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
-    def scan(batches):
-        for b in batches:
-            n, found = [], []
-            for t, toxic in zip(bytes_of(b.column(0)), b.column(1).to_pylist(), strict=True):
-                words = tokens_of(t)
-                n.append(len(words))
-                found.append([s for _, _, s in model.segments_without(words, toxic)])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "s"])
 
-    seen = rows.mapInArrow(frugal(scan), "toxic int, n bigint, s array<double>").toPandas()
-    clean = seen[seen.toxic == 0]
-    tokens = max(1, int(clean.n.sum()))
-    null = np.array([s for ss in clean.s for s in ss], float)
-    share, scores = (len(null) + 0.5) / (tokens + 1), np.append(null, 2 * LARGE)
+#: Token scores are counted in steps of this size.
+STEP = 1 / 64
+
+
+def rate_of(scores: np.ndarray, counts: np.ndarray) -> float:
+    """Lambda of a distribution of token scores: the positive root of mean(exp(lambda * score)) = 1, at most 64."""
+    share = counts / counts.sum()
 
     def moment(rate: float) -> float:
-        return share * float(np.mean(np.exp(np.minimum(rate * scores, 500)))) + (1 - share) * math.exp(-rate * DRIFT)
+        return float(share @ np.exp(np.minimum(rate * scores, 500)))
 
-    low, high = 1e-6, 1.0
+    low, high = 1e-6, 1e-2
     while moment(high) < 1 and high < 64:
-        high *= 2
+        low, high = high, high * 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if moment(mid) < 1 else (low, mid)
-    model.rate = high
+    return high
+
+
+def k_of(scores: np.ndarray, tokens: int, rate: float) -> float:
+    """The least K with which no score of clean segments is more frequent than K n exp(-lambda S)."""
     falling = np.sort(scores)[::-1]
-    model.k = math.exp(min(700.0, float(np.max(np.log(np.arange(1, len(falling) + 1)) + model.rate * falling)) - math.log(tokens)))
+    return math.exp(min(700.0, float(np.max(np.log(np.arange(1, len(falling) + 1)) + rate * falling)) - math.log(tokens)))
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Set lambda, K and the curve; what is collected is bounded by the training rows."""
+
+    def scan(batches):
+        known = [model.without(0), model.without(1)]
+        for b in batches:
+            n, found, seen, counts = [], [], [], []
+            for t, toxic in zip(bytes_of(b.column(0)), b.column(1).to_pylist(), strict=True):
+                words = tokens_of(t)
+                scores = model.scores(words, known[toxic])
+                n.append(len(words))
+                found.append([s for _, _, s in segments(scores)])
+                values, k = np.unique(np.round(scores / STEP).astype(np.int64), return_counts=True)
+                seen.append([] if toxic else values.tolist())
+                counts.append([] if toxic else k.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(seen, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "n", "s", "seen", "counts"])
+
+    found = cut(rows.mapInArrow(frugal(scan), "toxic int, n bigint, s array<double>, seen array<bigint>, counts array<bigint>"))
+    steps = found.select(F.explode(F.arrays_zip("seen", "counts")).alias("x")).groupBy("x.seen").agg(F.sum("x.counts").alias("k")).toPandas()
+    seen = found.select("toxic", "n", "s").toPandas()
+    clean = seen[seen.toxic == 0]
+    null = np.array([s for ss in clean.s for s in ss], float)
+    # one token as toxic as any, so that lambda and K have a bound where clean text has no hit
+    largest = max(model.weights.values(), default=DRIFT + 1) - DRIFT
+    model.rate = rate_of(np.append(steps["seen"] * STEP, largest).astype(float), np.append(steps["k"], 1).astype(float))
+    model.k = k_of(np.append(null, largest), max(1, int(clean.n.sum())), model.rate)
     x = np.array([model.evidence(ss, n) for n, ss in zip(seen.n, seen.s, strict=True)])
     model.intercept, model.slope = _logistic(x, seen.toxic.to_numpy(float))
 
