@@ -1,5 +1,6 @@
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -30,6 +31,14 @@ def test_html(source, text):
     assert extract_html(source.encode()).text == text
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a b="', "<!--", "<script>", "</script ", '<a b=">" ', "<div>x", "<", "<!", "&"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_hostile_html_takes_linear_time(piece, end):
+    start = time.process_time()
+    extract_html((piece * (1_000_000 // len(piece)) + end).encode())
+    assert time.process_time() - start < 4
+
+
 @pytest.mark.parametrize(
     "source,text,method",
     [

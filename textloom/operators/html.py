@@ -4,73 +4,59 @@ from __future__ import annotations
 
 import html
 import re
-from html.parser import HTMLParser
 
 from textloom.functions import textnorm
 
+from .htmltokens import END, START, TEXT, tokens
 from .result import Result
 
 #: Skipped subtrees, and what may stand in a head.
 SKIPPED = frozenset(("script", "style", "head", "meta", "link"))
+#: Elements that hold no markup.
+RAW = frozenset(("script", "style"))
 HEAD_ONLY = frozenset(("base", "link", "meta", "title", "style", "script", "noscript", "template", "basefont", "bgsound", "noframes"))
 
 
-#: A tag that the document ends in is no text.
-_CUT_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*\Z")
-
-
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.segments, self.held, self.skip, self.head, self.body, self.title = [], [], 0, False, False, False
-
-    def flush(self):
-        if self.held:
-            text = textnorm.py_trim_space("".join(self.held))
-            if text:
-                self.segments.append(text)
-            self.held.clear()
-
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        if tag == "head":
-            self.head = True
-        elif tag not in HEAD_ONLY and tag != "html":
-            self.head, self.body = False, True
-        self.title = tag == "title" and not self.body
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag == "br" and not self.head:
-            self.segments.append(" ")
-
-    def handle_startendtag(self, tag, attrs):
-        self.flush()
-        if tag == "br" and not self.head:
-            self.segments.append(" ")
-
-    def handle_endtag(self, tag):
-        self.flush()
-        self.title = False
-        if tag == "head":
-            self.head = False
-        elif tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-
-    def handle_data(self, data):
-        if not self.skip and not self.head and not self.title:
-            self.held.append(data)
-            self.body = self.body or not data.isspace()
-
-    def handle_comment(self, data):
-        self.flush()
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
+_CUT_TAG = re.compile(r"<[/!]?[A-Za-z]")
 
 
 def extract_html(data: bytes, name: str = "") -> Result:
-    reader = _Reader()
-    reader.feed(_CUT_TAG.sub("", data.decode("utf-8", "replace")))
-    reader.close()
-    reader.flush()
-    text = html.unescape(" ".join(reader.segments))
+    """Text segments outside head, script and style, in linear time."""
+    source = data.decode("utf-8", "replace")
+    # a tag that the document ends in is no text
+    if m := _CUT_TAG.search(source, source.rfind(">") + 1):
+        source = source[: m.start()]
+    segments: list[str] = []
+    held: list[str] = []
+    head = body = title = False
+
+    def flush():
+        if held:
+            text = textnorm.py_trim_space(html.unescape("".join(held)))
+            if text:
+                segments.append(text)
+            held.clear()
+
+    for kind, value, attributes in tokens(source, RAW):
+        if kind == TEXT:
+            if not head and not title:
+                held.append(value)
+                body = body or not value.isspace()
+            continue
+        flush()
+        if kind == END:
+            title = False
+            if value == "head":
+                head = False
+        elif kind == START:
+            if not attributes.endswith("/"):
+                if value == "head":
+                    head = True
+                elif value not in HEAD_ONLY and value != "html":
+                    head, body = False, True
+                title = value == "title" and not body
+            if value == "br" and not head:
+                segments.append(" ")
+    flush()
+    text = html.unescape(" ".join(segments))
     return Result(textnorm.py_trim_space(textnorm.py_collapse_ws(textnorm.py_strip_invisible(text))), "html")
