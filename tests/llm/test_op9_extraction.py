@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,7 +65,7 @@ def test_pages_of_the_table(spark, model):
     same = 0
     pages = rows.collect()
     for r in pages:
-        same += got[r.page_id] == "\n\n".join(b.text for b in op.blocks(r.html) if any(e[0] == "article" for e in b.path))
+        same += got[r.page_id] == "\n\n".join(b.text for b in op.blocks(r.html) if op._hash("article") in b.path)
     assert len(got) == len(pages) and same >= 0.99 * len(pages)
 
 
@@ -85,10 +87,59 @@ def test_blocks(source, texts):
     assert [b.text for b in op.blocks(source)] == texts
 
 
+def hashed(*tokens):
+    return tuple(sorted({op._hash(t) for t in tokens}))
+
+
 def test_paths_and_links():
     one, two, three = op.blocks('<div class="a-b x" id=main><p>t <a href=1>link</a></p></div><table><tr><td>u<td>v')
-    assert one.path == (("div", "a", "b", "x", "main"), ("p",)) and one.link == 4
-    assert two.path == (("table",), ("tr",), ("td",)) == three.path
+    assert one.path == hashed("div", "a", "b", "x", "main", "p", "0:p", "1:div") and one.link == 4
+    assert two.path == hashed("table", "tr", "td", "0:td", "1:tr", "2:table") == three.path
+
+
+def test_deep_paths_are_whole():
+    found = op.blocks('<div class="nav">' + "<section>" * 250 + "x" + "</section>" * 250 + "y</div><p>" + "<b>" * 300 + '<a href="1">z</a>' + "</b>" * 300 + "</p>w")
+    assert [b.text for b in found] == ["x", "y", "z", "w"] and op._hash("nav") in found[0].path and found[1].path == hashed("div", "nav", "0:div")
+    assert [b.link for b in found] == [0, 0, 1, 0] and found[3].path == ()
+
+
+def test_formulas_and_objects_are_text():
+    source = "<article><p>Sum is <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> and <object>fallback</object> <noscript>n</noscript> <iframe>i</iframe> <svg><text>s</text></svg>.</p></article>"
+    assert [b.text for b in op.blocks(source)] == ["Sum is a+b and fallback n i s."]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a b="', "<!--", "<script>", "</script ", '<a b=">" ', "<div>x", "<p><b>", "<a x='>", "</x>", "<", "<!", "&"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_hostile_pages_take_linear_time(piece, end):
+    start = time.process_time()
+    op.blocks(piece * (300_000 // len(piece)) + end)
+    assert time.process_time() - start < 3
+
+
+def test_labels_equal_a_plain_step_by_step_network():
+    model = op.Labeller().start(7)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def one_way(xs, wx, wh, b):
+        h, c, out = [0.0] * op.HIDDEN, [0.0] * op.HIDDEN, []
+        for x in xs:
+            z = [sum(x[i] * wx[i, j] for i in range(len(x))) + sum(h[i] * wh[i, j] for i in range(op.HIDDEN)) + b[j] for j in range(4 * op.HIDDEN)]
+            gates = [[f(v) for v in z[g * op.HIDDEN : (g + 1) * op.HIDDEN]] for g, f in enumerate((sigmoid, sigmoid, sigmoid, math.tanh))]
+            c = [f * old + i * g for i, f, g, old in zip(gates[0], gates[1], gates[3], c, strict=True)]
+            h = [o * math.tanh(v) for o, v in zip(gates[2], c, strict=True)]
+            out.append(h)
+        return out
+
+    pages = [op.blocks(x) for x in ("<p>one two. three</p><div class=nav><a href=1>Home</a></div>x", "<h1>T</h1><p>a b c, d</p>", "", "<td>1")]
+    for page_, found in zip(pages, model.label(pages), strict=True):
+        xs = []
+        for i, b in enumerate(page_):
+            p, words, shares = op.features([page_])
+            xs.append([*(p[i] @ w["ep"]), *(words[i] @ w["ew"]), *shares[i]])
+        forth, back = one_way(xs, w["fx"], w["fh"], w["fb"]), one_way(xs[::-1], w["bx"], w["bh"], w["bb"])[::-1]
+        want = [sigmoid(float(np.dot([*f, *g, *x], w["o"][:, 0]) + w["ob"][0])) for f, g, x in zip(forth, back, xs, strict=True)]
+        assert np.allclose(found, want, atol=1e-4)
 
 
 def test_odd_rows(spark, model):

@@ -9,11 +9,13 @@ The model is trained here, on generated pages of many layouts (``page_generator`
 for each page; the generator's seed and ``TRAIN_PAGES`` bound it. It sees no label of any table.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two line feeds.
-Comments, scripts, styles, templates and titles are never text.
+Comments, scripts, styles, templates and titles are never text. Everything else is left to the labeller: formulas (math),
+drawings (svg), object, iframe and noscript stand in their line like other words. Reading a page is linear in its size,
+whatever it holds.
 
 Defined cases: null and empty pages have the empty text; text outside any element is a block of its own; elements that are
-never closed end with the page or where HTML ends them; repeated rows each give a row; extra columns are ignored. At most
-the nearest ``DEPTH`` elements of a path are looked at.
+never closed end with the page or where HTML ends them; repeated rows each give a row; extra columns are ignored. The whole path
+of a block is looked at, however deep it is.
 """
 
 from __future__ import annotations
@@ -22,29 +24,32 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.operators.htmltokens import END, OTHER, TEXT, tokens
+
 from .common import frugal, table
 from .page_generator import page
 
 TRAIN_PAGES, EPOCHS, SEED = 1500, 9, 11
-PATHS, WORDS, DEPTH, HIDDEN = 1024, 512, 16, 20
+PATHS, WORDS, HIDDEN = 1024, 512, 20
 PATH_SIZE, WORD_SIZE, SHARES = 24, 12, 9
 
 #: HTML's void elements, those whose content is not text, and those that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template title noscript svg math iframe object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style template title".split())
+INLINE = frozenset("math svg object noscript iframe a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose own elements all stand inside the line.
+FOREIGN = frozenset(("math", "svg"))
 #: What an opening tag ends: paragraphs, and items of its own kind within its list or table.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,111 +57,114 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, ...], ...]
+    path: tuple[int, ...]  # hashed tokens of the elements above
     link: int  # characters within links
 
 
+def _hash(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATHS
+
+
+class _Path:
+    """The open elements: places of each tag, and how often each hashed token stands above a block."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.counts: Counter = Counter()
+        self.above: list[str] = []  # tags that stand outside lines
+        self.foreign = 0  # open formulas and drawings
+        self.known: tuple[int, ...] | None = None
+
+    def tokens(self) -> tuple[int, ...]:
+        if self.known is None:
+            self.known = tuple(sorted({*self.counts, *(_hash(f"{k}:{t}") for k, t in enumerate(self.above[:-4:-1]))}))
+        return self.known
+
+    def open(self, tag: str, names: tuple[str, ...], inline: bool) -> None:
+        hashed = () if inline else tuple({_hash(x) for x in (tag, *names)})
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, hashed))
+        self.foreign += tag in FOREIGN
+        if hashed:
+            self.counts.update(hashed)
+            self.above.append(tag)
+            self.known = None
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag, hashed = self.stack.pop()
+            self.places[tag].pop()
+            self.foreign -= tag in FOREIGN
+            if hashed:
+                for x in hashed:
+                    self.counts[x] -= 1
+                    if not self.counts[x]:
+                        del self.counts[x]
+                self.above.pop()
+                self.known = None
+
+    def find(self, tag: str, stop: tuple[str, ...] = ()) -> int:
+        """The place of the nearest open element with this tag, or -1 if there is none or a stop is nearer."""
+        found = self.places.get(tag)
+        if not found or any((p := self.places.get(s)) and p[-1] > found[-1] for s in stop):
+            return -1
+        return found[-1]
+
+
 def blocks(source: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []  # tag, then names from class, id and role
-    parts: list[str] = []
-    link = links = 0
+    path, parts = _Path(), []
+    link = 0
 
     def flush():
         nonlocal link
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE)[-DEPTH:], link))
+                out.append(Block(text, path.tokens(), link))
             parts.clear()
         link = 0
 
-    def close(at: int):
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[at:])
-        del stack[at:]
-
-    def find(tag: str, stop: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-            if stack[i][0] == tag:
-                return i
-            if stack[i][0] in stop:
-                return -1
-        return -1
-
-    at, n = 0, len(source)
-    while at < n:
-        i = source.find("<", at)
-        if i < 0:
-            i = n
-        if i > at:
-            parts.append(source[at:i])
-            if links:
-                link += i - at
-        if i == n:
-            break
-        if source.startswith("<!--", i):
-            end = source.find("-->", i + 4)
-            at = n if end < 0 else end + 3
-            continue
-        if source.startswith(("<!", "<?"), i):
-            end = source.find(">", i)
-            at = n if end < 0 else end + 1
-            continue
-        m = _TAG.match(source, i) or _LOOSE.match(source, i)
-        if not m:
-            parts.append("<")
-            at = i + 1
+    for kind, tag, attributes in tokens(source, SILENT):
+        if kind == TEXT:
+            parts.append(tag)
+            if path.places.get("a"):
+                link += len(tag)
             continue
-        at, tag = m.end(), m[2].lower()
-        if m[1]:
-            if tag not in INLINE:
-                flush()
-            if (k := find(tag)) >= 0:
-                close(k)
+        if kind == OTHER or tag in SILENT:
             continue
-        if tag in SILENT:
-            if m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+        inline = tag in INLINE or path.foreign > 0
+        if not inline:
+            flush()
+        if kind == END:
+            if (k := path.find(tag)) >= 0:
+                path.close(k)
             continue
         if tag == "br":
             parts.append(" ")
-        if tag not in INLINE:
-            flush()
-            if tag in ENDS_P and (k := find("p", ("article", "section", "div", "td", "li", "body"))) >= 0:
-                close(k)
-            if tag in ITEMS and (k := find(tag, ITEMS[tag])) >= 0:
-                close(k)
-        if tag not in VOID:
-            names = tuple(x for g in _NAMES.findall(m[3]) for x in _WORD.findall("".join(g).lower())) if m[3] and "=" in m[3] else ()
-            stack.append((tag, *names))
-            links += tag == "a"
+        if not inline:
+            if tag in ENDS_P and (k := path.find("p", ("article", "section", "div", "td", "li", "body"))) >= 0:
+                path.close(k)
+            if tag in ITEMS and (k := path.find(tag, ITEMS[tag])) >= 0:
+                path.close(k)
+        if tag not in VOID and not (path.foreign and attributes.endswith("/")):
+            names = tuple(x for g in _NAMES.findall(attributes) for x in _WORD.findall("".join(g).lower())) if attributes and "=" in attributes else ()
+            path.open(tag, names, inline)
     flush()
     return out
 
 
-def _path_ids(path: tuple[tuple[str, ...], ...]) -> list[int]:
-    tokens = {x for element in path for x in element} | {f"{k}:{e[0]}" for k, e in enumerate(path[:-4:-1])}
-    return sorted({zlib.crc32(t.encode()) % PATHS for t in tokens})
-
-
-def features(pages: list[list[Block]], paths: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Path bags, word bags and shares of all blocks of some pages, in a row."""
     n = sum(map(len, pages))
     p, w, s = np.zeros((n, PATHS), np.float32), np.zeros((n, WORDS), np.float32), np.zeros((n, SHARES), np.float32)
-    paths = {} if paths is None else paths
     row = 0
     for some in pages:
         for i, b in enumerate(some):
-            ids = paths.get(b.path)
-            if ids is None:
-                if len(paths) > 20_000:
-                    paths.clear()
-                ids = paths[b.path] = _path_ids(b.path)
-            p[row, ids] = 1 / len(ids) ** 0.5
+            if b.path:
+                p[row, b.path] = 1 / len(b.path) ** 0.5
             words = b.text.lower().encode().split()
             counts = np.bincount([zlib.crc32(x) % WORDS for x in words], minlength=WORDS)
             w[row] = counts / np.sqrt((counts * counts).sum() or 1)
@@ -252,7 +260,7 @@ class Labeller:
         dx = fx[0] + bx[0] + dh[:, 2 * HIDDEN :]
         return {"o": hidden.T @ d, "ob": d.sum(0), "fx": fx[1], "fh": fx[2], "fb": fx[3], "bx": bx[1], "bh": bx[2], "bb": bx[3], "ep": bags[0].T @ dx[:, :PATH_SIZE], "ew": bags[1].T @ dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE]}
 
-    def label(self, pages: list[list[Block]], paths: dict | None = None) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """The probability of each block of each page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         full = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i]))
@@ -263,7 +271,7 @@ class Labeller:
                 to += 1
             some = [pages[i] for i in full[at:to]]
             lengths = [len(b) for b in some]
-            found, _ = self.run(features(some, paths), lengths)
+            found, _ = self.run(features(some), lengths)
             for i, part in zip(full[at:to], np.split(found, np.cumsum(lengths)[:-1]), strict=True):
                 out[i] = part
             at = to
@@ -280,8 +288,8 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED, rate
         examples.append((found, np.array([marks.get(b.text, 0) for b in found], np.float32)))
     examples = [e for e in examples if e[0]]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    step, paths = 0, {}
-    cached = {i: features([e[0]], paths) for i, e in enumerate(examples)}
+    step = 0
+    cached = {i: features([e[0]]) for i, e in enumerate(examples)}
     for epoch in range(epochs):
         # pages of like length together, in another order each time
         order = sorted(range(len(examples)), key=lambda i: len(examples[i][0]) * rng.uniform(0.8, 1.25))
@@ -317,12 +325,12 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches):
-        model_, paths = shared.value, {}
+        model_ = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
                 cut = [blocks(h) if h else [] for h in some.column(2).to_pylist()]
-                texts = ["\n\n".join(x.text for x, y in zip(bs, found, strict=True) if y >= 0.5) for bs, found in zip(cut, model_.label(cut, paths), strict=True)]
+                texts = ["\n\n".join(x.text for x, y in zip(bs, found, strict=True) if y >= 0.5) for bs, found in zip(cut, model_.label(cut), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in cut], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
     return pages.select("page_id", "url", "html").mapInArrow(frugal(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint, n_blocks bigint")
