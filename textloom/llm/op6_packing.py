@@ -5,8 +5,11 @@ is left of each document is routed to the smallest context-size tier that holds
 the longest to the shortest: a piece opens a sequence of its tier, the gap takes the longest waiting
 pieces of the same or shorter tiers that fit, and where none fits the shortest waiting piece is cut to fill it
 exactly. Pieces that fill no sequence wait for the next documents of the same partition; at its end they fill
-sequences of falling tier sizes, and only the last one is padded. Sequences of one tier are dealt to step
-groups of equally many tokens.
+sequences of falling tier sizes, and what is less than the shortest tier is cut into powers of two, so nothing is padded.
+Sequences of one tier are dealt to step groups of equally many tokens within a partition, whose last group of a tier is shorter.
+
+Ids come word by word where the tokenizer file states the splitting that :class:`WordTokenizer` knows; another tokenizer encodes
+whole texts, with equal results and more time.
 
 Partitions are packed alone, without a shuffle, so a task holds at most ``BUFFER_TOKENS`` waiting tokens and
 one document. Every id lies in exactly one piece.
@@ -17,6 +20,7 @@ taken in input order; extra columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -28,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import frugal, table
 
@@ -43,6 +48,14 @@ CACHE_WORDS, IDLE_WORDS = 1_500_000, 1_000_000
 SLICE_BYTES = 3 << 20
 
 
+#: The normalizer and the splitting that word by word encoding needs.
+KNOWN_SPLIT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 #: How the tokenizer splits ASCII words; a fixed value, given by its file.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -64,6 +77,13 @@ class WordTokenizer:
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    @staticmethod
+    def knows(path: str) -> bool:
+        """Whether a tokenizer splits as this class does: lower-case words whose last part is marked, by the pattern it names."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        return spec["model"].get("end_of_word_suffix") == "</w>" and (spec.get("normalizer"), spec.get("pre_tokenizer")) == KNOWN_SPLIT
+
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -136,7 +156,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def worker_tokenizer(path: str, cache_words: int) -> WordTokenizer:
     """One tokenizer for each worker process, so that later tasks find the words of earlier ones."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path) if WordTokenizer.knows(path) else TextTokenizer(path)
     _tokenizers[path].most = cache_words
     return _tokenizers[path]
 
@@ -149,6 +169,22 @@ def rest_tokenizer(path: str, words: int) -> None:
         _tokenizers[path].forget(words)
 
 
+class TextTokenizer:
+    """Ids of whole texts, by the tokenizer alone."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), 0
+
+    def forget(self, most: int) -> None:
+        pass
+
+    def encode(self, texts) -> list[bytes]:
+        texts = [t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Packer:
     """Online packing of one partition; yields (key, start, ids, total, sequence, offset, tier)."""
 
@@ -208,7 +244,7 @@ class Packer:
         yield from self._round()
         rest, left = self.waiting[::-1], self.tokens
         while rest:
-            tier = next((t for t in reversed(self.tiers) if t <= left), self.most)
+            tier = next((t for t in reversed(self.tiers) if t <= left), 1 << (left.bit_length() - 1))
             pieces, gap = [], min(tier, left)
             left -= gap
             while gap:
@@ -221,8 +257,8 @@ class Packer:
         self.waiting = []
 
 
-_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_group", pa.string())]
-_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group string"
+_FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_group", pa.string())]
+_DDL = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group string"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID, emit_ids: bool = True, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS, cache_words: int = CACHE_WORDS, idle_words: int = IDLE_WORDS, lean: bool = False) -> DataFrame:
@@ -233,7 +269,8 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
     the ids of ``cache_words`` words in a task (about 175 bytes each) and of ``idle_words`` between tasks; a ``lean`` one gives
     blocks back at once, at some cost of time.
     """
-    fields = _FIELDS + ([("ids", pa.binary())] if emit_ids else [])
+    kind = docs.schema["doc_id"].dataType
+    fields = [("doc_id", to_arrow_type(kind)), *_FIELDS] + ([("ids", pa.binary())] if emit_ids else [])
     schema, end = pa.schema(fields), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -269,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run, 1 << 20 if lean else None), _DDL + (", ids binary" if emit_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, 1 << 20 if lean else None), f"doc_id {kind.simpleString()}, " + _DDL + (", ids binary" if emit_ids else ""))
 
 
 def _slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
