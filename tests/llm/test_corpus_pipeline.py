@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from tokenizers import Tokenizer
 
@@ -11,6 +13,13 @@ from .test_op6_packing import check_whole
 from .test_op10_jaccard_join import brute as classes_brute
 
 
+def test_settings_stay_as_they_are(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() and spark.conf.get(name) == before and rows.sparkSession.conf.get(name) == before
+
+
 def test_every_stage_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -21,7 +30,8 @@ def test_every_stage_against_brute_force(spark):
         out = stored(stage(spark, docs, sf), "test")
         after = out.collect()
         if name == "packing":
-            check_whole(after, {r.doc_id: r.text for r in before}, Tokenizer.from_file(op6_packing.tokenizer_file()), 8)
+            check_whole(after, {r.doc_id: r.text for r in before}, Tokenizer.from_file(op6_packing.tokenizer_file()), 0)
+            assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in after)
             break
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         ids = sorted(r.doc_id for r in after)

@@ -54,7 +54,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_homes[key]}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
     """Compute now and cut the lineage, by compressed Parquet in the shared folder.
 
     Later reads, also after lost executors, find the table until :func:`dropped` or the end of the driver removes it.
@@ -62,7 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = (reader or spark).read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
