@@ -205,7 +205,7 @@ def test_encrypted_and_unknown_methods():
 
 
 def test_sevenzip_empty_and_branch_filter():
-    assert sevenzip.entries(sevenzip.SIGNATURE + b"\0\x04" + b"\0" * 24) == []
+    assert list(sevenzip.entries(sevenzip.SIGNATURE + b"\0\x04" + b"\0" * 24)) == []
     assert sevenzip._decoded(b"\x03", b"\x00", bytes([1, 1, 1]), 3) == bytes([1, 2, 3])
     assert sevenzip._decoded(b"\x03\x03\x01\x03", b"", b"plain bytes" * 10000, 110000) == b"plain bytes" * 10000
 
@@ -217,3 +217,34 @@ def test_registry():
     assert own.register(1, lambda data, name: Result("mine", "own"), override=True) and own.extract(1, b"<p>x").text == "mine"
     assert Registry().extract(33, b"raw").method == "raw"
     assert Registry().safely(2, None).error == "no content"
+
+
+def test_what_was_read_before_a_limit_or_damage_stays():
+    six = {f"{i}.txt": b"text %d" % i for i in range(6)}
+    r = Registry(Limits(entries=5)).safely(21, packers.zipped(six))
+    assert [t for _, t in r.parts] == [f"text {i}" for i in range(5)] and "too many" in r.error and "text 4" in r.text
+    r = Registry(Limits(expanded_bytes=10)).safely(18, packers.tar(six))
+    assert [t for _, t in r.parts] == ["text 0"] and "limit" in r.error
+    whole = packers.gz(bytes(range(256)) * 4000 + b"end")
+    r = Registry().safely(19, whole[: len(whole) // 2])
+    assert r.error and len(r.text) > 10
+    r = Registry(Limits(expanded_bytes=100)).safely(19, packers.gz(b"a" * 1000))
+    assert "limit" in r.error and "a" * 100 in r.text and "a" * 101 not in r.text
+    bad = {f"{i:02}.pdf": b"no pdf" for i in range(15)}
+    assert Registry().safely(21, packers.zipped(bad)).error.count(".pdf: ") == 15
+
+
+def test_long_operand_lists_are_whole():
+    from textloom.operators import pdf
+
+    class Page(pdf.Document):
+        def __init__(self):
+            pass
+
+        def get(self, x):
+            return x
+
+        def contents(self, page):
+            return b"BT " + b"1 " * 20_000 + b"(kept) Tj ET"
+
+    assert pdf.page_text(Page(), {}) == "kept\n"

@@ -1,7 +1,8 @@
 """Archives: entries in walk order, nested archives to a depth, and the folded text of all of them.
 
 Each file is a header line with its path, its text and a blank line. Entries are ordered by the parts of their paths, as a
-walk through folders would meet them. What cannot be read is an error of its entry, unless ``fail_fast``.
+walk through folders would meet them. What cannot be read is an error of its entry, unless ``fail_fast``. Where an archive is damaged
+or goes beyond a limit, what has been read stays, and an entry of the empty path tells the error.
 """
 
 from __future__ import annotations
@@ -39,23 +40,25 @@ class Entry:
     error: str | None
 
 
-def _expand(unpack, data: bytes, limit: int, kind: str) -> bytes:
-    """All members of a compressed stream, up to a limit."""
+def _expand(unpack, data: bytes, limit: int, kind: str) -> tuple[bytes, str | None]:
+    """All members of a compressed stream up to a limit, and what ended it early."""
     out = bytearray()
     try:
         while data:
             one = unpack()
             out += one.decompress(data, limit + 1 - len(out))
             if len(out) > limit:
-                raise ExtractError(f"{kind}: expands beyond the limit")
+                return bytes(out[:limit]), f"{kind}: expands beyond the limit"
             if not one.eof:
-                raise ExtractError(f"{kind}: the stream is cut off")
+                return bytes(out), f"{kind}: the stream is cut off"
             data = one.unused_data.lstrip(b"\0") if kind != "bz2" else one.unused_data
             if data and not out:
                 break
     except (zlib.error, lzma.LZMAError, OSError, EOFError) as e:
-        raise ExtractError(f"{kind}: {e}") from e
-    return bytes(out)
+        if not out:
+            raise ExtractError(f"{kind}: {e}") from e
+        return bytes(out), f"{kind}: {e}"
+    return bytes(out), None
 
 
 def _gzip_name(data: bytes) -> str:
@@ -72,17 +75,23 @@ def _without(name: str, suffix: str) -> str:
     return base[: -len(suffix)] if base.lower().endswith(suffix) and len(base) > len(suffix) else base
 
 
-def files(kind: str, data: bytes, name: str, limits: Limits) -> list[tuple[str, bytes, str | None]]:
-    """Sanitized path, content and error of each file; a later file of the same path replaces the earlier one."""
+def files(kind: str, data: bytes, name: str, limits: Limits) -> tuple[list[tuple[str, bytes, str | None]], str | None]:
+    """Sanitized path, content and error of each file, and what ended the reading early; a later file of the same path replaces the
+    earlier one."""
     found: list[tuple[str, bytes, str | None]] = []
+    stop = None
     if kind == "zip":
         box = Container(data, limits)
         for n in box.names():
+            if len(found) >= limits.entries:
+                stop = "zip: too many entries"
+                break
             try:
                 found.append((n, box.read(n), None))
             except ExtractError as e:
                 if "limit" in str(e):
-                    raise
+                    stop = str(e)
+                    break
                 found.append((n, b"", str(e)))
     elif kind == "tar":
         left = limits.expanded_bytes
@@ -90,28 +99,41 @@ def files(kind: str, data: bytes, name: str, limits: Limits) -> list[tuple[str,
             with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
                 for m in t:
                     if len(found) >= limits.entries:
-                        raise ExtractError("tar: too many entries")
+                        stop = "tar: too many entries"
+                        break
                     if m.isreg():
                         left -= m.size
                         if left < 0:
-                            raise ExtractError("tar: expands beyond the limit")
+                            stop = "tar: expands beyond the limit"
+                            break
                         found.append((m.name, t.extractfile(m).read(), None))
         except (tarfile.TarError, EOFError, ValueError) as e:
-            raise ExtractError(f"tar: {e}") from e
+            if not found:
+                raise ExtractError(f"tar: {e}") from e
+            stop = f"tar: {e}"
     elif kind == "gz":
         inner = _gzip_name(data) or (DEFAULT_TAR if name.lower().endswith("tar.gz") else DEFAULT_TEXT)
-        found.append((inner, _expand(lambda: zlib.decompressobj(31), data, limits.expanded_bytes, "gz"), None))
+        raw, stop = _expand(lambda: zlib.decompressobj(31), data, limits.expanded_bytes, "gz")
+        found.append((inner, raw, None))
     elif kind == "bz2":
-        found.append((_without(name, ".bz2"), _expand(bz2.BZ2Decompressor, data, limits.expanded_bytes, "bz2"), None))
+        raw, stop = _expand(bz2.BZ2Decompressor, data, limits.expanded_bytes, "bz2")
+        found.append((_without(name, ".bz2"), raw, None))
     elif kind == "xz":
-        found.append((_without(name, ".xz"), _expand(lambda: lzma.LZMADecompressor(memlimit=1 << 30), data, limits.expanded_bytes, "xz"), None))
+        raw, stop = _expand(lambda: lzma.LZMADecompressor(memlimit=1 << 30), data, limits.expanded_bytes, "xz")
+        found.append((_without(name, ".xz"), raw, None))
     elif kind == "7z":
-        found += [(n, raw, None) for n, raw in (rar_entries(data) if data.startswith(b"Rar!") else sevenzip.entries(data, limits))]
+        try:
+            for n, raw in rar_entries(data) if data.startswith(b"Rar!") else sevenzip.entries(data, limits):
+                found.append((n, raw, None))
+        except ExtractError as e:
+            if not found:
+                raise
+            stop = str(e)
     elif kind == "rar":
         found += rar.entries(data)
     else:
         raise ExtractError(f"no archive: {kind}")
-    return [(p, raw, e) for p, (raw, e) in {py_sanitize_path(n): (raw, e) for n, raw, e in found}.items() if p]
+    return [(p, raw, e) for p, (raw, e) in {py_sanitize_path(n): (raw, e) for n, raw, e in found}.items() if p], stop
 
 
 def rar_entries(data: bytes) -> list[tuple[str, bytes]]:
@@ -128,15 +150,13 @@ def walk(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(),
         raise ExtractError("archives are nested too deeply")
     left = limits.expanded_bytes
     try:
-        found = files(kind, data, name, limits)
+        found, stop = files(kind, data, name, limits)
     except ExtractError:
         raise
     except Exception as e:  # damaged or hostile bytes fail in many ways
         raise ExtractError(f"{kind}: {type(e).__name__}: {e}") from e
     for path, raw, error in _ordered(found):
         left -= len(raw)
-        if left < 0:
-            raise ExtractError(f"{kind}: expands beyond the limit")
         code = filetypes.detect(path)
         inner = filetypes.EXTRACTORS.get(code)
         if error is None and inner in KINDS:
@@ -156,11 +176,16 @@ def walk(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(),
         if fail_fast:
             raise ExtractError(f"{path}: {error}")
         yield Entry((*above, path), code, "", inner or "raw", error)
+    if stop and fail_fast:
+        raise ExtractError(stop)
+    if stop:
+        yield Entry((*above, ""), filetypes.UNKNOWN, "", kind, stop)
 
 
 def fold(entries: list[Entry], depth: int = 0) -> str:
     """The text of an archive: a block for each file, the folded text of an inner archive being its text."""
     out, i = [], 0
+    entries = [e for e in entries if e.path[-1] or len(e.path) > depth + 1]
     while i < len(entries):
         e = entries[i]
         if len(e.path) == depth + 1:
@@ -177,8 +202,8 @@ def fold(entries: list[Entry], depth: int = 0) -> str:
 
 def extract_archive(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(), fail_fast: bool = False) -> Result:
     found = list(walk(kind, data, name, extract, limits, fail_fast))
-    errors = [f"{'!'.join(e.path)}: {e.error}" for e in found if e.error]
-    return Result(fold(found), kind, [("!".join(e.path), e.text) for e in found], "; ".join(errors[:10]) or None)
+    errors = [f"{'!'.join(filter(None, e.path))}: {e.error}" if any(e.path) else e.error for e in found if e.error]
+    return Result(fold(found), kind, [("!".join(e.path), e.text) for e in found if e.path[-1]], "; ".join(errors) or None)
 
 
 __all__ = ["Entry", "extract_archive", "files", "fold", "walk"]

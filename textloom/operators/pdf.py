@@ -305,8 +305,6 @@ def page_text(doc: Document, page: dict) -> str:
             break
         if not isinstance(v, Word):
             stack.append(v)
-            if len(stack) > 10_000:
-                stack.clear()
             continue
         if v == "Tf" and len(stack) >= 2 and isinstance(stack[-2], Name):
             name = str(stack[-2])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import bz2
 import lzma
 import struct
@@ -164,7 +166,7 @@ def _decoded(kind: bytes, p: bytes, raw: bytes, size: int) -> bytes:
     raise ExtractError(f"7z: coder {kind.hex()} is not supported")
 
 
-def entries(data: bytes, limits: Limits = Limits()) -> list[tuple[str, bytes]]:
+def entries(data: bytes, limits: Limits = Limits()) -> Iterator[tuple[str, bytes]]:
     """Names and content of the files of an archive."""
     if data[:6] != SIGNATURE or len(data) < 32:
         raise ExtractError("no 7z signature")
@@ -201,23 +203,31 @@ def entries(data: bytes, limits: Limits = Limits()) -> list[tuple[str, bytes]]:
         else:
             r.take(r.number())
     contents: list[bytes] = []
+    stop = None
     if streams:
         at, packed = 32 + streams["start"], iter(streams["packed"])
         for folder, sizes in zip(streams["folders"], streams["sizes"], strict=True):
             if folder["packed"] != 1:
                 raise ExtractError("7z: folders with several packed streams are not supported")
             raw_size = next(packed)
-            out = _unpacked(folder, data[at : at + raw_size], left)
+            try:
+                out = _unpacked(folder, data[at : at + raw_size], left)
+            except ExtractError as e:
+                stop = e
+                break
             left -= len(out)
             at += raw_size
             start = 0
             for s in sizes:
                 contents.append(out[start : start + s])
                 start += s
-    out, full, blank = [], iter(contents), iter(empty_file)
+    full, blank = iter(contents), iter(empty_file)
     for name, none in zip(names, empty, strict=False):
         if not none:
-            out.append((name, next(full, b"")))
+            content = next(full, None)
+            if content is not None or not stop:
+                yield name, content or b""
         elif next(blank, False):
-            out.append((name, b""))
-    return out
+            yield name, b""
+    if stop:
+        raise stop

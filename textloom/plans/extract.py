@@ -14,7 +14,7 @@ from textloom.operators.registry import Registry
 from textloom.operators.result import ExtractError
 
 #: Types whose text is an expression: no Python runs for them.
-NATIVE_TYPES = (2, 4, 5, 202)
+NATIVE_TYPES = (2, 4, 5, 202, *sorted({*filetypes.TYPES.values(), filetypes.UNKNOWN} - filetypes.EXTRACTORS.keys()))
 _FOUND = "text string, method string, n_parts int, error string"
 _ENTRY = pa.schema([("path", pa.string()), ("entry_path", pa.list_(pa.string())), ("depth", pa.int32()), ("file_type", pa.int32()), ("text", pa.string()), ("size", pa.int64()), ("method", pa.string()), ("error", pa.string())])
 _ENTRY_DDL = "path string, entry_path array<string>, depth int, file_type int, text string, size bigint, method string, error string"
@@ -62,7 +62,8 @@ def extract_documents(files: DataFrame, file_type: int | None = None, registry:
 def archive_entries(files: DataFrame, file_type: int | None = None, registry: Registry | None = None) -> DataFrame:
     """One row for each file in each archive: path, entry_path (a part for each level), depth, file_type, text, size, method, error.
 
-    Rows leave an archive as they are read. An archive that cannot be opened is one row without an entry.
+    The entries of an archive are read within the limits, then leave in walk order. An archive that cannot be opened is one row
+    without an entry; one that is damaged or beyond a limit gives what was read and a row that tells the error.
     """
     own = registry or Registry()
     code = F.lit(file_type).cast("int") if file_type else filetypes.detect_type(F.col("path"))
