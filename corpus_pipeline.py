@@ -10,19 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import op3_line_dedup, op4_toxicity, op6_packing, op7_decontamination, op10_jaccard_join
-from textloom.llm.common import stored, table
+from textloom.llm.common import dropped, stored, table, with_settings
 
 
-#: Rows in a batch for Python workers: texts are long, and all stages share the executors' memory.
-BATCH_ROWS = 1000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+#: Texts are long, and all stages share the executors' memory: fewer rows in a batch for Python workers.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    docs = with_settings(docs, **SMALL)
     return op4_toxicity.reject(docs, op4_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -31,19 +27,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return op10_jaccard_join.deduplicate(docs)
+    return op10_jaccard_join.deduplicate(with_settings(docs, **SMALL))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return op7_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return op7_decontamination.decontaminate(with_settings(docs, **SMALL), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    """Pieces with their token ids: what a model is trained on."""
     # other stages share the workers: remember fewer words, and none when a task is done
-    return op6_packing.pack(docs, op6_packing.tokenizer_file(), emit_ids=False, cache_words=200_000, idle_words=0, lean=True)
+    return op6_packing.pack(with_settings(docs, **SMALL), op6_packing.tokenizer_file(), cache_words=200_000, idle_words=0, lean=True)
 
 
 STAGES = [
@@ -61,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}", spark)
+        dropped(before)
     return docs
