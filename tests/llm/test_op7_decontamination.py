@@ -44,3 +44,31 @@ def test_shared_prefixes_shift_safely():
     spans, found = op.WuManber([("i", b"a a b"), ("j", b"b")], 3).find(words)
     assert spans == [(2, 5), (5, 8)] or spans == [(2, 8)]
     assert found == {"i", "j"}
+
+
+def test_tables_are_small_and_time_does_not_depend_on_buckets():
+    import time
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = [b"w%d" % i for i in range(30)]  # few words: buckets of thousands of patterns
+    items = [(str(i), b" ".join(rng.choices(words, k=200))) for i in range(1500)]
+    tracemalloc.start()
+    matcher = op.WuManber(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert peak < 60 * size + (40 << 20)
+    doc = rng.choices(words, k=20_000)
+    start = time.process_time()
+    spans, found = matcher.find(doc + items[7][1].split())
+    assert time.process_time() - start < 3 and "7" in found and (20_000, 20_200) in [(max(a, 20_000), b) for a, b in spans]
+
+
+def test_long_texts_are_cut_at_words(monkeypatch):
+    text = b"ab cd  ef gh ij " * 50
+    want = op._words(text)
+    monkeypatch.setattr(op.shingles, "CHUNK", 64)
+    got = next(iter(op._hashed([text])))
+    assert all((x == y).all() for x, y in zip(want, got, strict=True))
+    assert [len(h) for _, _, h in op._hashed([b"", b"a", b"  ", text, b"b c"])] == [0, 1, 0, 250, 2]

@@ -1,9 +1,13 @@
 """Benchmark decontamination by Wu-Manber search over word sequences.
 
-The alphabet is words and a block is two of them. For each pattern length m a shift table tells how far a
-window may be moved when a block stands at its end (m - 1 for blocks in no pattern), so that nearly every
-position of a clean document is skipped; blocks that end a pattern have shift 0 and name a bucket of
-patterns, which are compared directly.
+The alphabet is words and a block is two of them. For each pattern length m a shift table, addressed by the hash of
+a block, tells how far a window may be moved when that block stands at its end (m - 1 for blocks in no pattern), so that nearly
+every position of a clean document is skipped. Blocks that end a pattern have shift 0: the window there is looked for
+among the patterns of its bucket, which are ordered by the hash of their suffix and what comes before it, so the time does not
+depend on the size of a bucket; what is found is compared word by word.
+
+All tables are arrays: some 30 bytes a word of the benchmark. A benchmark beyond ``MAX_PATTERN_BYTES`` is searched part by part over
+stored rows; the driver and each worker hold one part at a time, and parts only store what they hit.
 
 Defined cases: a null text has no words; an item with fewer words than the window is one shorter window, an
 item without words has none; item ids are distinct values as strings (null: the empty string), so repeated
@@ -15,16 +19,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, frugal, table
+from . import shingles
+from .common import bytes_of, frugal, stored, table
 
 WINDOW = 13
-#: Benchmark text that one table of patterns may hold; a larger benchmark is searched table after table.
-MAX_PATTERN_BYTES = 16 << 20
+#: Benchmark text that one table of patterns may hold; a larger benchmark is searched part by part.
+MAX_PATTERN_BYTES = 8 << 20
 MIN_SHARE_INVERSE = 20
 
 _FOLD = bytes(
@@ -38,52 +45,143 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, ends and hashes of the words of each text, which has no separators but spaces; many short ones at a time."""
+    group, size = [], 0
+
+    def flush():
+        if group:
+            starts, ends, hashes = _words(b" ".join(group))
+            bounds = np.cumsum([0, *(len(g) + 1 for g in group)])
+            cuts = np.searchsorted(starts, bounds)
+            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                yield starts[x:y] - bounds[k], ends[x:y] - bounds[k], hashes[x:y]
+            group.clear()
+
+    for t in texts:
+        if size + len(t) > shingles.CHUNK:
+            yield from flush()
+            size = 0
+        if len(t) > shingles.CHUNK:
+            at, found = 0, []
+            for piece in shingles._pieces(t):
+                starts, ends, hashes = _words(piece)
+                found.append((starts + at, ends + at, hashes))
+                at += len(piece)
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            continue
+        group.append(t)
+        size += len(t)
+    yield from flush()
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(text, np.uint8)
+    starts, hashes = shingles.word_hashes(data)
+    inside = np.concatenate((data != 0x20, [False]))
+    return starts, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1, hashes
+
+
+def _blocks(hashes: np.ndarray, block: int) -> np.ndarray:
+    """For each word the hash of the block that it ends."""
+    if block == 1:
+        return hashes
+    return shingles.mix(np.concatenate((hashes[:1] * 0, hashes[:-1])) * np.uint64(3) + hashes)
+
+
+class _Group:
+    """The patterns of one length: windows of the benchmark's words that start at ``at``, each of an item."""
+
+    def __init__(self, m: int, at: np.ndarray, item: np.ndarray, hashes: np.ndarray):
+        self.m, self.block = m, min(2, m)
+        blocks = _blocks(hashes, self.block)
+        bits = max(8, (4 * len(at)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shift = np.full(1 << bits, m - self.block + 1, np.uint8)
+        for j in range(self.block, m + 1):  # ends of blocks, falling shifts
+            self.shift[(blocks[at + j - 1] & self.mask).astype(np.int64)] = m - j
+        keys = self.windows(hashes, at)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.item = keys[order], at[order].astype(np.int32), item[order].astype(np.int32)
+        self.same: dict[int, list[tuple[bytes, list[int]]]] = {}
+
+    def windows(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at some places: of the suffix block, and of what comes before it."""
+        total = np.zeros(len(at), np.uint64)
+        for j in range(self.m):
+            total = shingles.mix(total + hashes[at + j])
+        return total
+
+    def ends(self, hashes: np.ndarray) -> list[int]:
+        """Where a window of a text may end, by the shifts."""
+        if len(hashes) < self.m:
+            return []
+        step = self.shift[(_blocks(hashes, self.block) & self.mask).astype(np.int64)].tolist()
+        i, n, out = self.m - 1, len(step), []
+        while i < n:
+            if step[i]:
+                i += step[i]
+            else:
+                out.append(i)
+                i += 1
+        return out
+
+
 class WuManber:
     """Search for word sequences, grouped by length."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        patterns: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                patterns.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(item)
-        self.groups = [self._tables(m, by) for m, by in sorted(patterns.items())]
-
-    @staticmethod
-    def _tables(m: int, by: dict[tuple[bytes, ...], set[str]]):
-        block = min(2, m)
-        shift: dict = {}
-        buckets: dict = {}
-        for pattern, items in by.items():
-            for j in range(block, m + 1):
-                key = pattern[j - block : j] if block == 2 else pattern[j - 1]
-                shift[key] = min(shift.get(key, m), m - j)
-            buckets.setdefault(pattern[-2:] if block == 2 else pattern[-1], []).append((list(pattern), items))
-        return m, block, shift, buckets
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        texts = [b" ".join(words_of(t)) for _, t in items]
+        self.names, self.text = [i for i, _ in items], b" ".join(t for t in texts if t)
+        sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        found = list(_hashed([self.text])) if self.text else []
+        self.starts, self.ends, hashes = found[0] if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
+        first = np.cumsum(sizes) - sizes
+        self.groups = []
+        for m in sorted({min(window, n) for n in sizes.tolist() if n}):
+            those = np.flatnonzero(sizes >= m if m == window else sizes == m)
+            counts = sizes[those] - m + 1
+            ends = np.cumsum(counts)
+            at = np.arange(ends[-1]) + np.repeat(first[those] - ends + counts, counts)
+            self.groups.append(_Group(m, at, np.repeat(those, counts), hashes))
+
+    def _entries(self, group: _Group, run: int) -> list[tuple[bytes, list[int]]]:
+        """The different patterns with one hash, which starts at ``run``, each with its items."""
+        if run not in group.same:
+            texts: dict[bytes, set[int]] = {}
+            for k in range(run, int(np.searchsorted(group.keys, group.keys[run], "right"))):
+                at = group.at[k]
+                texts.setdefault(self.text[self.starts[at] : self.ends[at + group.m - 1]], set()).add(int(group.item[k]))
+            group.same[run] = [(t, sorted(x)) for t, x in texts.items()]
+        return group.same[run]
+
+    def search(self, text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Ascending, disjoint spans [start, end) of hit words, and the items found."""
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
-        n = len(words)
-        for m, block, shift, buckets in self.groups:
-            i, default, get = m - 1, m - block + 1, shift.get
-            while i < n:
-                key = (words[i - 1], words[i]) if block == 2 else words[i]
-                step = get(key, default)
-                if step:
-                    i += step
-                    continue
-                start = i - m + 1
-                here = words[start : i + 1]
-                for pattern, items in buckets[key]:
+        for g in self.groups:
+            last = g.ends(hashes)
+            if not last:
+                continue
+            at = np.array(last) - g.m + 1
+            keys = g.windows(hashes, at)
+            runs = np.searchsorted(g.keys, keys)
+            runs[runs == len(g.keys)] = 0
+            hit = np.flatnonzero(g.keys[runs] == keys)
+            for i, run in zip(at[hit].tolist(), runs[hit].tolist(), strict=True):
+                here = b" ".join(text[starts[i] : ends[i + g.m - 1]].split())
+                for pattern, items in self._entries(g, run):
                     if pattern == here:
-                        spans.append((start, i + 1))
-                        found |= items
-                i += 1
+                        spans.append((i, i + g.m))
+                        found.update(self.names[x] for x in items)
         return _union(spans), found
 
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """As :meth:`search`, for words."""
+        text = b" ".join(words)
+        return self.search(text, *next(iter(_hashed([text])))) if words else ([], set())
+
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -95,67 +193,68 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pattern_tables(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The benchmark in parts of a checked size."""
+def _parts(benchmark: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct items, and in how many parts of a checked size they are searched."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
-    parts = -(-size // max_bytes) or 1
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield [(r.i, r.t.encode()) for r in part.collect()]
+    return rows, -(-size // max_bytes) or 1
 
 
-def _searching(tables, window: int):
-    """A function over bytes, for worker processes; the tables are built once in each."""
+def _part(rows: DataFrame, k: int, parts: int) -> list[tuple[str, bytes | None]]:
+    part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+    return [(r.i, r.t.encode()) for r in part.collect()]
 
-    def search():
-        matchers = [WuManber(t, window) for t in tables]
 
-        def one(text: bytes | None):
-            words = words_of(text)
-            spans, found = [], set()
-            for m in matchers:
-                s, f = m.find(words)
-                spans += s
-                found |= f
-            return len(words), _union(spans), found
+def _searched(matcher: WuManber, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Number of words, spans and items of each text."""
+    folded = [t.translate(_FOLD) if t else b"" for t in texts]
+    for text, (starts, ends, hashes) in zip(folded, _hashed(folded), strict=True):
+        spans, found = matcher.search(text, starts, ends, hashes) if len(hashes) else ([], set())
+        yield len(hashes), spans, found
 
-        return one
 
-    return search
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = "spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _spans(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": x, "end": y} for x, y in spans]
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """doc_id, n_words, spans of hit words, items: one row for each row of ``docs``.
 
-    Each part of the benchmark is one pass over rows that carry the text and what was found before, so the
-    patterns that a worker holds at once are bounded and no shuffle is needed.
+    A benchmark of one part needs one pass and no shuffle. Of a larger one each part is a pass over stored rows that
+    stores its hits, which are gathered by row: a row's hits are no longer than the row.
     """
-    df = docs.select("doc_id", "text", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    tables = list(_pattern_tables(benchmark, max_pattern_bytes))
+    items, parts = _parts(benchmark, max_pattern_bytes)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    for k, items in enumerate(tables):
-        last = k == len(tables) - 1
-        df = df.mapInArrow(frugal(_finder(items, window, last)), f"doc_id {id_type}, " + ("n_words bigint" if last else "text string") + ", spans array<struct<start:bigint,end:bigint>>, items array<string>")
-    return df
+    rows = docs.select("doc_id", "text")
+    if parts == 1:
+        return rows.mapInArrow(frugal(_finder(_part(items, 0, 1), window)), f"doc_id {id_type}, n_words bigint, {_SPANS}")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = [stored(rows.select("row", "text").mapInArrow(frugal(_finder(_part(items, k, parts), window)), f"row bigint, n_words bigint, {_SPANS}").where("size(spans) > 0").drop("n_words"), "hits") for k in range(parts)]
+    hits = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = rows.join(hits, "row", "left").select("doc_id", "text", F.coalesce(F.flatten("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+
+    def merge(batches):
+        for b in batches:
+            n = [len(words_of(t)) for t in bytes_of(b.column(1))]
+            spans = [_spans(_union([(d["start"], d["end"]) for d in s])) for s in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, _SPAN), b.column(3)], names=["doc_id", "n_words", "spans", "items"])
 
+    return both.mapInArrow(frugal(merge), f"doc_id {id_type}, n_words bigint, {_SPANS}")
 
-def _finder(items, window: int, last: bool):
-    make = _searching([items], window)
 
+def _finder(items, window: int):
     def run(batches):
-        one = make()
+        matcher = WuManber(items, window)
         for b in batches:
-            counts, spans, names = [], [], []
-            for text, s0, i0 in zip(bytes_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                n, s, f = one(text)
-                counts.append(n)
-                spans.append([{"start": x, "end": y} for x, y in (_union(s + [(d["start"], d["end"]) for d in s0]) if s0 else s)])
-                names.append(sorted(f | set(i0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()) if last else b.column(1), pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words" if last else "text", "spans", "items"])
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                found = list(_searched(matcher, bytes_of(some.column(1))))
+                columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([_spans(s) for _, s, _ in found], _SPAN), pa.array([sorted(f) for _, _, f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=["doc_id", "n_words", "spans", "items"])
 
     return run
 
@@ -169,23 +268,24 @@ def overlap_columns(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    tables = list(_pattern_tables(benchmark, max_pattern_bytes))
-    if len(tables) > 1:  # one pass cannot hold all patterns: judge by id and text, then filter
+    items, parts = _parts(benchmark, max_pattern_bytes)
+    if parts > 1:  # one pass cannot hold all patterns: whole rows go through the search
         names = docs.columns
-        rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
-        found = overlap_columns(find_overlaps(rows.select(F.col("row").alias("doc_id"), "text"), benchmark, window, max_pattern_bytes))
+        rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc_id"), docs["text"].alias("text"))
+        found = overlap_columns(find_overlaps(rows, benchmark, window, max_pattern_bytes))
         return found.where(~F.col("contaminated")).select(*[F.col("doc_id").getField(c).alias(c) for c in names])
-    make, at = _searching(tables, window), docs.columns.index("text")
+    items, at = _part(items, 0, 1), docs.columns.index("text")
 
     def run(batches):
-        one = make()
+        matcher = WuManber(items, window)
         for b in batches:
-            keep = []
-            for text in bytes_of(b.column(at)):
-                n, spans, _ = one(text)
-                hit = sum(y - x for x, y in spans)
-                keep.append(not (hit and hit * MIN_SHARE_INVERSE >= n))
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, b.num_rows, 1000):
+                some = b.slice(start, 1000)
+                keep = []
+                for n, spans, _ in _searched(matcher, bytes_of(some.column(at))):
+                    hit = sum(y - x for x, y in spans)
+                    keep.append(not (hit and hit * MIN_SHARE_INVERSE >= n))
+                yield some.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(frugal(run), docs.schema)
 
