@@ -38,18 +38,21 @@ def test_round_trip(spark, tmp_path, least, chunk):
     assert got == brute(rows, least) and not any(r.error for r in table)
     parts = {}
     for r in table:
-        parts.setdefault((r.record_id, r.page_id), []).append(r)
+        parts.setdefault(r.record_id, []).append(r)
         assert r.chunk_bytes <= chunk
-    if len({k for k, _ in rows}) == len(rows):
-        texts = dict(rows)
-        for (_, k), rs in parts.items():
-            rs.sort(key=lambda r: r.chunk)
-            if rs[0].record_type == "response":
-                assert b"".join(bytes(r.payload) for r in rs) == (texts[k] or "").encode()
-                seen = b""
-                for r in rs:
-                    seen += bytes(r.payload)
-                    assert r.payload_digest == digest(seen) and r.payload_bytes == len(seen)
+    assert len(parts) == len(rows) and len({(r.record_id, r.chunk) for r in table}) == len(table)
+    payloads = []
+    for rs in parts.values():
+        rs.sort(key=lambda r: r.chunk)
+        assert [r.chunk for r in rs] == list(range(1, len(rs) + 1)) and [r.last for r in rs] == [False] * (len(rs) - 1) + [True]
+        if rs[0].record_type == "response":
+            seen = b""
+            for r in rs:
+                seen += bytes(r.payload)
+                assert r.payload_digest == digest(seen) and r.payload_bytes == len(seen)
+            payloads.append((rs[0].page_id, seen))
+    kept = {(k, d) for k, _, d, kind, _ in brute(rows, least) if kind == "response"}
+    assert sorted(map(repr, payloads)) == sorted(repr((k, b)) for k, b in ((k, (h or "").encode()) for k, h in rows) if (k, digest(b)) in kept)
 
 
 def test_archives_are_valid_warc(spark, tmp_path):
@@ -72,10 +75,39 @@ def test_small_windows_and_members(window):
     block = op._HTTP.encode() + b"pay\r\n\r\nload"
     record = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 7\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:WRONG\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
     for data in (gzip.compress(record) * 3, gzip.compress(record * 3)):
-        rows = list(op.parse(data, window=window))
+        rows = list(op.parse(op.unzipped(data, window), window=window))
         assert [r["payload"] for r in rows] == [b"pay\r\n\r\nload"] * 3 and rows[0]["error"] == "payload digest differs"
 
 
+def test_foreign_records_are_chunked(spark, tmp_path):
+    """One record of another writer, without segments, whose payload is longer than a chunk."""
+    payload = bytes(range(256)) * 40
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"x:1", b"x:2")))
+    table = op.read(spark, str(tmp_path), chunk_bytes=1000).collect()
+    for name in ("urn:x:1", "urn:x:2"):
+        rows = sorted((r for r in table if r.record_id == name), key=lambda r: r.chunk)
+        assert b"".join(bytes(r.payload) for r in rows) == payload and [r.chunk_bytes for r in rows] == [1000] * 10 + [240]
+        assert rows[-1].payload_digest == digest(payload) and rows[-1].last and not any(r.error for r in rows)
+
+
+def test_damaged_archives_are_error_rows(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(k, "http://a", os.urandom(3000).hex()) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    op.write(df, f"{tmp_path}/w")
+    whole = next(tmp_path.glob("w/*.gz"))
+    data = whole.read_bytes()
+    (tmp_path / "w/cut.gz").write_bytes(data[: len(data) // 2])
+    (tmp_path / "w/noise.gz").write_bytes(data[:20000] + b"\0" * 500 + data[20500:])
+    (tmp_path / "w/other.gz").write_bytes(gzip.compress(b"no archive\r\n\r\n"))
+    rows = op.read(spark, f"{tmp_path}/w").collect()
+    good = [r for r in rows if r.error is None and r.last]
+    assert sum(1 for r in rows if r.error) >= 3 and len({r.archive for r in rows}) == 4
+    assert {r.page_id for r in good} == set(range(40)) and len(good) < 120
+    assert all(r.payload_digest == digest(bytes(r.payload)) for r in good)
+
+
 def test_empty_table(spark, tmp_path):
     op.write(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert op.read(spark, f"{tmp_path}/w").count() == 0

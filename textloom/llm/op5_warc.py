@@ -1,21 +1,23 @@
 """WARC archives by way of a chunked record table.
 
 Writing: each page is one logical record. Of records with equal payloads of at least ``least_bytes`` bytes the one
-with the largest page_id is the response, the others revisit it. A payload longer than ``chunk_bytes`` becomes a
-segment record and continuation records, one row each, so no block is larger than a chunk. Rows are written by
-Spark's text writer with the record terminator as line separator: gzip archives in any store, one for each input
-partition, committed as Spark commits files.
+with the largest page_id is the response, the others revisit it. A payload longer than ``chunk_bytes`` is cut into slices, of
+which a segment record and continuation records are made, one row each, so no block is larger than a chunk and no row
+but the page's own holds a whole payload. Rows are written by Spark's text writer with the record terminator as line
+separator: gzip archives in any store, one for each input partition, committed as Spark commits files.
 
-Reading: each archive is decompressed in small windows and parsed as a stream. A row is a record identifier, a chunk
-number and the chunk, with the digest of the payload up to and with it; the last chunk's digest is that of the
-whole payload, which is never held. A digest that differs from the declared one is reported in ``error``.
+Reading: Spark's text reader decompresses archives as streams and hands on their lines, which are parsed in order: neither
+an archive nor a record is ever held. A row is a record identifier, a chunk number and a chunk of at most ``chunk_bytes``, with the
+digest of the payload up to and with it; the last chunk's digest is that of the whole payload. A digest that
+differs from the declared one is reported in ``error``; an archive that is damaged or ends early gives what could be read and a row
+that has only ``archive`` (a hash of its path) and ``error``.
 
 The group of equal payloads is only aggregated to its largest id. Responses of groups are broadcast up to
 ``BROADCAST_GROUPS`` rows; beyond it they are joined by digest, where adaptive execution splits a hot digest.
 
 Defined cases: a null or empty payload is empty; a null page_id counts as the smallest and is null again when read, and
 is the response of its group only if no record there has an id; among repeated rows with the largest id each
-is a response; CR and LF in a URL are percent-encoded, a null URL is left out; an empty table writes archives
+is a response; records of repeated ids have identifiers of their own, and no revisit names one of several; CR and LF in a URL are percent-encoded, a null URL is left out; an empty table writes archives
 without records; extra columns are ignored.
 """
 
@@ -25,7 +27,9 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +65,22 @@ def records(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYT
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload")))
     groups = rows.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("digest", "n", "first")
-    groups = cut(groups)
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    rows = rows.join(groups, ["digest", "n"], "left")
+    # ids that several rows have: these rows are told apart by their place in the table
+    ids = pages.groupBy("page_id").agg(F.count("*").alias("k")).where("k > 1").select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("own"), F.lit(True).alias("shared"))
+    ids = _sent(cut(ids))
+    groups = groups.withColumn("own", F.col("first").cast("string")).join(ids, "own", "left").select("digest", "n", "first", F.col("shared").alias("first_shared"))
+    groups = _sent(cut(groups))
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("own", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    rows = rows.join(groups, ["digest", "n"], "left").join(ids, "own", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.withColumn("refers_to", refers).withColumn("chunks", F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") / chunk_bytes))).cast("int"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
-    name = F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("url", F.lit("")), F.col("digest"))))
-    origin, revisit, more = _urn(name), F.col("refers_to").isNotNull(), F.col("chunk") > 1
-    part = F.substring(F.col("payload"), (F.col("chunk") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))
+    name = F.concat(F.lit("page:"), F.col("own"), F.when(F.col("shared"), F.concat(F.lit(":"), F.col("place").cast("string"))).otherwise(""))
+    origin = _urn(name)
+    # slices first, so that the payload is not copied into each row
+    piece = lambda i: F.struct(i.alias("chunk"), F.substring(F.col("payload"), (i - 1) * chunk_bytes + 1, F.lit(chunk_bytes)).alias("part"))
+    pieces = F.when(F.col("refers_to").isNotNull(), F.array(F.struct(F.lit(1).alias("chunk"), F.lit(b"").alias("part")))).otherwise(F.transform(F.sequence(F.lit(1), F.col("chunks")), piece))
+    rows = rows.select("page_id", "url", "n", "digest", "refers_to", "first_shared", "chunks", name.alias("name"), origin.alias("origin"), F.explode(pieces).alias("piece")).select("*", "piece.chunk", "piece.part").drop("piece")
+    name, origin, revisit, more, part = F.col("name"), F.col("origin"), F.col("refers_to").isNotNull(), F.col("chunk") > 1, F.col("part")
     block = F.when(more, part).when(revisit, F.lit(_HTTP).cast("binary")).otherwise(F.concat(F.lit(_HTTP).cast("binary"), part))
     split = F.col("chunks") > 1
     head = F.concat(
@@ -81,7 +91,7 @@ def records(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYT
         F.when(more, "").otherwise("\r\nContent-Type: application/http; msgtype=response"),
         _field("X-Page-ID", F.col("page_id")),
         F.when(more, "").otherwise(F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n").cast("string"))),
-        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\nWARC-Refers-To: "), _urn(F.concat(F.lit("page:"), F.col("refers_to").cast("string"))), F.lit("\r\nX-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}"), _field("WARC-Refers-To", F.when(F.col("first_shared").isNull(), _urn(F.concat(F.lit("page:"), F.col("refers_to").cast("string"))))), F.lit("\r\nX-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))).otherwise(""),
         F.when(split, F.concat(F.lit("\r\nWARC-Segment-Number: "), F.col("chunk").cast("string"))).otherwise(""),
         F.when(more, F.concat(F.lit("\r\nWARC-Segment-Origin-ID: "), origin)).otherwise(""),
         F.when(more & (F.col("chunk") == F.col("chunks")), F.concat(F.lit("\r\nWARC-Segment-Total-Length: "), (F.col("n") + len(_HTTP)).cast("string"))).otherwise(""),
@@ -90,39 +100,43 @@ def records(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYT
     return rows.select("page_id", "chunk", F.concat(head.cast("binary"), block).cast("string").alias("value"))
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small
+
+
 def write(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write gzip archives into a new folder."""
     records(pages, least_bytes, chunk_bytes).select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def unzipped(content: bytes, window: int = WINDOW) -> Iterator[bytes]:
+    """The bytes of a gzip archive of any number of members, window by window; damage raises ``zlib.error`` or ``EOFError``."""
+    data = memoryview(content)
+    at, unpack = 0, zlib.decompressobj(31)
+    while at < len(data) or unpack.unconsumed_tail:
+        some = unpack.unconsumed_tail or data[at : at + window]
+        at += 0 if unpack.unconsumed_tail else len(some)
+        if out := unpack.decompress(some, window):
+            yield out
+        if unpack.eof:
+            at -= len(unpack.unused_data)
+            unpack = zlib.decompressobj(31)
+    if out := unpack.flush():
+        yield out
+
+
 class _Stream:
-    """Lines and exact lengths of bytes from a gzip archive (of any number of members), window by window."""
+    """Lines and exact lengths of bytes from an iterator of bytes."""
 
-    def __init__(self, content, window: int = WINDOW):
-        self.content, self.at, self.window = memoryview(content), 0, window
-        self.unpack, self.buffer = zlib.decompressobj(31), bytearray()
+    def __init__(self, parts: Iterator[bytes], window: int = WINDOW):
+        self.parts, self.window, self.buffer = parts, window, bytearray()
 
     def _more(self) -> bool:
-        while True:
-            out = self.unpack.decompress(self.unpack.unconsumed_tail, self.window) if self.unpack.unconsumed_tail else b""
-            if not out and self.unpack.eof and self.unpack.unused_data:
-                rest = self.unpack.unused_data
-                self.at -= len(rest)
-                self.unpack = zlib.decompressobj(31)
-                continue
-            if not out:
-                some = self.content[self.at : self.at + self.window]
-                if not some:
-                    out = self.unpack.flush() if not self.unpack.eof else b""
-                    self.buffer += out
-                    return bool(out)
-                if self.unpack.eof:
-                    self.unpack = zlib.decompressobj(31)
-                self.at += len(some)
-                out = self.unpack.decompress(some, self.window)
-            if out:
-                self.buffer += out
-                return True
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        self.buffer += part
+        return True
 
     def line(self) -> bytes | None:
         """Up to the next CRLF, without it; None at the end."""
@@ -146,77 +160,113 @@ class _Stream:
             yield part
 
 
-def parse(content, with_payload: bool = True, window: int = WINDOW) -> Iterator[dict]:
-    """Rows of the chunked record table of one archive."""
-    stream = _Stream(content, window)
+_NOTHING = {"record_id": None, "chunk": None, "page_id": None, "record_type": None, "refers_to": None, "payload": None, "chunk_bytes": None, "last": None, "payload_bytes": None, "payload_digest": None, "archive": None, "error": None}
+
+
+def parse(parts: Iterator[bytes], with_payload: bool = True, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
+    """Rows of the chunked record table of one archive, given its decompressed bytes; the last one tells of damage."""
+    try:
+        yield from _records(_Stream(iter(parts), window), with_payload, chunk_bytes)
+    except (EOFError, ValueError, zlib.error) as e:
+        yield _NOTHING | {"error": f"archive: {e}"}
+
+
+def _records(stream: _Stream, with_payload: bool, chunk_bytes: int) -> Iterator[dict]:
     origin: dict = {}
     while (first := stream.line()) is not None:
         if not first:
             continue
+        if not first.startswith(b"WARC/"):
+            raise ValueError("a record starts without its version")
         head: dict[str, str] = {}
         while line := stream.line():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        kind, number = head.get("warc-type", ""), int(head.get("warc-segment-number", 1))
-        left, body, size = int(head.get("content-length", 0)), bytearray(), 0
-        if number == 1:
-            origin = {"head": head, "digest": hashlib.sha1(), "bytes": 0, "http": head.get("content-type", "").startswith("application/http")}
+        if line is None:
+            raise EOFError("the archive ends inside a record")
+        number, left = int(head.get("warc-segment-number", 1)), int(head["content-length"] if "content-length" in head else "no length")
+        lost = None
+        if number == 1 or not origin or head.get("warc-segment-origin-id") != origin["head"].get("warc-record-id"):
+            lost = "continuation without its start" if number > 1 else None
+            start = head if number == 1 else head | {"warc-record-id": head.get("warc-segment-origin-id", ""), "warc-payload-digest": ""}
+            origin = {"head": start, "digest": hashlib.sha1(), "bytes": 0, "chunk": number - 1, "http": number == 1 and head.get("content-type", "").startswith("application/http")}
+        start, split = origin["head"], "warc-segment-number" in head
+        revisit = start.get("warc-type") == "revisit"
+        ends = not split or "warc-segment-total-length" in head
+        body, size, before = bytearray(), 0, bytearray()
+
+        def row(last: bool, size: int, body: bytes, lost: str | None = lost, start: dict = start, revisit: bool = revisit, origin: dict = origin) -> dict:
+            origin["chunk"] += 1
+            digest, declared = base64.b32encode(origin["digest"].digest()).decode(), start.get("warc-payload-digest", "").removeprefix("sha1:")
+            return {
+                "record_id": start.get("warc-record-id", "").strip("<>"), "chunk": origin["chunk"], "page_id": int(start["x-page-id"]) if "x-page-id" in start else None, "record_type": start.get("warc-type", ""),
+                "refers_to": int(start["x-refers-to-page-id"]) if "x-refers-to-page-id" in start else None, "payload": body if with_payload and not revisit else None, "chunk_bytes": size, "last": last,
+                "payload_bytes": int(start["x-payload-length"]) if revisit and "x-payload-length" in start else origin["bytes"], "payload_digest": declared if revisit else digest, "archive": None,
+                "error": lost or ("payload digest differs" if last and not revisit and declared and digest != declared else None),
+            }
+
         for part in stream.take(left):
             if origin["http"]:  # what comes before the blank line is not payload
-                body += part
-                cut_ = body.find(b"\r\n\r\n")
+                before += part
+                cut_ = before.find(b"\r\n\r\n")
                 if cut_ < 0:
                     continue
-                part, origin["http"] = bytes(body[cut_ + 4 :]), False
-                body.clear()
-            origin["digest"].update(part)
-            size += len(part)
-            if with_payload:
-                body += part
-        start, origin["bytes"] = origin["head"], origin["bytes"] + size
-        digest, declared = base64.b32encode(origin["digest"].digest()).decode(), start.get("warc-payload-digest", "").removeprefix("sha1:")
-        split = "warc-segment-number" in head
-        last = not split or "warc-segment-total-length" in head
-        revisit = start.get("warc-type") == "revisit"
-        yield {
-            "record_id": start.get("warc-record-id", "").strip("<>"), "chunk": number, "page_id": int(start["x-page-id"]) if "x-page-id" in start else None, "record_type": start.get("warc-type", kind),
-            "refers_to": int(start["x-refers-to-page-id"]) if "x-refers-to-page-id" in start else None, "payload": bytes(body) if with_payload and not revisit else None, "chunk_bytes": size, "last": last,
-            "payload_bytes": int(start["x-payload-length"]) if revisit else origin["bytes"], "payload_digest": declared if revisit else digest,
-            "error": "payload digest differs" if last and not revisit and declared and digest != declared else None,
-        }
-
-
-_ROW = pa.schema([("record_id", pa.string()), ("chunk", pa.int32()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("chunk_bytes", pa.int64()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
-_DDL = "record_id string, chunk int, page_id bigint, record_type string, refers_to bigint, payload binary, chunk_bytes bigint, last boolean, payload_bytes bigint, payload_digest string, error string"
-
-
-def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+                part, origin["http"] = bytes(before[cut_ + 4 :]), False
+                before.clear()
+            while part:
+                if size == chunk_bytes:
+                    yield row(False, size, bytes(body))
+                    body.clear()
+                    size = 0
+                some, part = part[: chunk_bytes - size], part[chunk_bytes - size :]
+                origin["digest"].update(some)
+                origin["bytes"] += len(some)
+                size += len(some)
+                if with_payload:
+                    body += some
+        yield row(ends, size, bytes(body))
+
+
+_ROW = pa.schema([("record_id", pa.string()), ("chunk", pa.int32()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("chunk_bytes", pa.int64()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.int64()), ("error", pa.string())])
+_DDL = "record_id string, chunk int, page_id bigint, record_type string, refers_to bigint, payload binary, chunk_bytes bigint, last boolean, payload_bytes bigint, payload_digest string, archive bigint, error string"
+
+
+def read(spark: SparkSession, path: str, with_payload: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives in a folder.
 
     ``payload_bytes`` and ``payload_digest`` of a row are those of the payload up to and with its chunk; for a revisit
     they are the declared ones of the payload that it refers to.
     """
 
-    def run(batches):
+    def pieces(batches):
         for b in batches:
-            for content in b.column(0):
-                rows, held = [], 0
-                for row in parse(content.as_buffer(), with_payload):
-                    rows.append(row)
-                    held += len(row["payload"] or b"")
-                    if len(rows) >= 1000 or held > 4 * CHUNK_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, _ROW)
-                        rows, held = [], 0
-                if rows:
+            lines, archives = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(np.diff(archives)) + 1).tolist(), len(archives)]
+            for x, y in zip([0, *ends], ends, strict=False):
+                if y > x:
+                    yield int(archives[x]), b"\n".join(lines.slice(x, y - x).to_pylist()) + b"\n"
+
+    def run(batches):
+        for archive, some in groupby(pieces(batches), key=lambda x: x[0]):
+            rows, held = [], 0
+            for row in parse((part for _, part in some), with_payload, chunk_bytes=chunk_bytes):
+                rows.append(row | {"archive": archive})
+                held += len(row["payload"] or b"")
+                if len(rows) >= 1000 or held > 4 * CHUNK_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, _ROW)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(frugal(run), _DDL)
+    # a stream that cannot be read on ends there, and its parser tells so
+    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("archive")).mapInArrow(frugal(run), _DDL)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path, with_payload=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, with_payload=False).where("last or error is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 QUERIES = {"op5_warc": op5_warc}
@@ -227,6 +277,6 @@ d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 f AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d)
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM f"""
 }
