@@ -63,7 +63,7 @@ MEETINGS, LEAST_MEETINGS = 32, 100_000
 #: Rounds of pivots in the lists of prefixes, and the growth of the pivots of a list from round to round.
 ROUNDS, MORE = 3, 4
 #: Shingles among which a task looks for frequent ones at a time, and the count that makes one a candidate.
-SPAN, OFTEN = 1_500_000, 3
+SPAN, OFTEN = 500_000, 3
 
 
 def required(n: int, m: int) -> int:

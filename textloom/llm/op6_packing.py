@@ -45,7 +45,9 @@ GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers in a task, and between tasks.
 CACHE_WORDS, IDLE_WORDS = 1_500_000, 1_000_000
 #: Text whose words are looked up together.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES, LEAN_BYTES = 3 << 20, 2 << 20
+#: Pieces that leave a task together.
+FLUSH_ROWS = 1024
 
 
 #: The normalizer and the splitting that word by word encoding needs.
@@ -153,10 +155,10 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def worker_tokenizer(path: str, cache_words: int) -> WordTokenizer:
+def worker_tokenizer(path: str, cache_words: int, by_word: bool) -> WordTokenizer | TextTokenizer:
     """One tokenizer for each worker process, so that later tasks find the words of earlier ones."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path) if WordTokenizer.knows(path) else TextTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path) if by_word else TextTokenizer(path)
     _tokenizers[path].most = cache_words
     return _tokenizers[path]
 
@@ -271,6 +273,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
     """
     kind = docs.schema["doc_id"].dataType
     fields = [("doc_id", to_arrow_type(kind)), *_FIELDS] + ([("ids", pa.binary())] if emit_ids else [])
+    by_word = WordTokenizer.knows(tokenizer_path)  # the file is read here, once, and not by every worker
     schema, end = pa.schema(fields), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -294,11 +297,11 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
 
         tokenizer = None
         for b in batches:
-            tokenizer = tokenizer or worker_tokenizer(tokenizer_path, cache_words)
-            for some in _slices(b, SLICE_BYTES if lean else 2 * SLICE_BYTES):
+            tokenizer = tokenizer or worker_tokenizer(tokenizer_path, cache_words, by_word)
+            for some in _slices(b, LEAN_BYTES if lean else 2 * SLICE_BYTES):
                 for key, ids in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1)), strict=True):
                     rows.extend(map(row, packer.add(key, ids + end)))
-                    if len(rows) > 4096:
+                    if len(rows) > FLUSH_ROWS:
                         yield flush()
         tokenizer = None
         rest_tokenizer(tokenizer_path, idle_words)
