@@ -14,7 +14,7 @@ from textloom.llm.common import dropped, stored, table, with_settings
 
 
 #: Texts are long, and all stages share the executors' memory: fewer rows in a batch for Python workers.
-SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids: what a model is trained on."""
     # other stages share the workers: remember fewer words, and none when a task is done
-    return op6_packing.pack(with_settings(docs, **SMALL), op6_packing.tokenizer_file(), cache_words=200_000, idle_words=0, lean=True)
+    return op6_packing.pack(with_settings(docs, **SMALL), op6_packing.tokenizer_file(), cache_words=100_000, idle_words=0, lean=True)
 
 
 STAGES = [
