@@ -331,21 +331,21 @@ class _Join:
         long = members.where(F.col("k") > NEAR)
         pivots = long.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos")), "order").alias("p")).select("key", "p.*")
         star = long.drop("k").join(_some_or_all(pivots, pivots.count()), "key")
-        return lists.where("k = 2").select("a", "b").unionByName(self._pairs(short.where("node < mnode"))).unionByName(self._pairs(star)).distinct(), long.drop("k")
+        return lists.where("k = 2").select("a", "b").unionByName(self._pairs(short.where("node < mnode"))).unionByName(self._pairs(star)).distinct(), self._stored(long.drop("k").distinct(), "long")
 
     @staticmethod
     def _pairs(met: DataFrame) -> DataFrame:
         return met.where("node != mnode").where(_FILTER).select(F.least("node", "mnode").alias("a"), F.greatest("node", "mnode").alias("b"))
 
-    def _several(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+    def _several(self, rooted: DataFrame) -> DataFrame:
         """Lists that hold several classes, with their largest class."""
-        rows = self._rooted(members, roots).groupBy("key", "root").agg(F.count("*").alias("k"), F.max("smaller").alias("any"))
+        rows = rooted.groupBy("key", "root").agg(F.count("*").alias("k"), F.max("smaller").alias("any"))
         rows = rows.groupBy("key").agg(F.max_by("root", "k").alias("main"), F.count("*").alias("classes"), F.max("any").alias("any"), F.sum("k").alias("size"))
         return self._stored(rows.where("classes > 1 and any").select("key", "main", "size"), "several")
 
     @staticmethod
     def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-        return members.distinct().join(_some_or_all(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return members.join(_some_or_all(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def _texts_of(self, nodes: DataFrame) -> DataFrame:
         """Texts whose sets are these nodes, one for each; others may come with them."""
@@ -364,7 +364,10 @@ class _Join:
             return possible
         nodes = self._nodes(possible)
         members = self._texts_of(nodes).mapInArrow(frugal(_emit(lambda s: s, "members")), "node bigint, members array<bigint>")
-        members = members.join(_some_or_all(nodes, nodes.count()), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+        n = nodes.count()
+        members = self._stored(members.join(_some_or_all(nodes, n), "node", "left_semi"), "members")
+        if members.count() > n:  # copies that different tasks met
+            members = members.groupBy("node").agg(F.first("members").alias("members"))
         second = _with_nodes(possible, "b", members.select(F.col("node").alias("b"), F.col("members").alias("y")))
         both = _with_nodes(second, "a", members.select(F.col("node").alias("a"), F.col("members").alias("x")))
         shared = F.size(F.array_intersect("x", "y"))
@@ -388,8 +391,9 @@ class _Join:
         members (key, node) of other classes that have not been pivots then: None if there are none."""
         met, pivots, rounds = None, 1, 0
         while True:
-            lists = self._several(members, roots)
-            open_ = self._rooted(members, roots).join(_some_or_all(lists, lists.count()), "key")
+            rooted = self._rooted(members, roots)
+            lists = self._several(rooted)
+            open_ = self._stored(rooted.join(_some_or_all(lists, lists.count()), "key"), "open")
             left = open_.where("root != main")
             if met is not None:
                 left = left.join(met, ["key", "node"], "left_anti")
