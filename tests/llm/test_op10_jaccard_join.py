@@ -45,14 +45,14 @@ def variants(rng, n, size, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("hot", [2, 500])
-def test_classes_equal_brute_force(spark, monkeypatch, hot):
-    if hot == 2:  # every step is taken
+@pytest.mark.parametrize("hot, least", [(2, 0), (2, 5000), (500, 100000)])
+def test_classes_equal_brute_force(spark, monkeypatch, hot, least):
+    if hot == 2:  # every step is taken, and all that is left meets at once or in rounds
         monkeypatch.setattr(op, "HOT", 2)
         monkeypatch.setattr(op, "NEAR", 3)
         monkeypatch.setattr(op, "ROUNDS", 1)
         monkeypatch.setattr(op, "MEETINGS", 0)
-        monkeypatch.setattr(op, "LEAST_MEETINGS", 0)
+        monkeypatch.setattr(op, "LEAST_MEETINGS", least)
     monkeypatch.setattr(op, "LEAST_FREQUENT", 50)
     monkeypatch.setattr(op, "MOST_FREQUENT", 50)
     rng, texts = random.Random(5), [None, "", " \t", "Á b", "á b", "A b", "a  B"]

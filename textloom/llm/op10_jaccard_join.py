@@ -191,6 +191,9 @@ _ORDER = "shiftleft(cast(least(before, 1000000) as bigint), 40) | (node & 109951
 _FILTER = "5 * least(n, m) >= 4 * greatest(n, m) and 9 * (1 + least(n - 1 - pos, m - 1 - mpos)) >= 4 * (n + m)"
 #: A member may be the smaller of two that link: what is left after its position can hold eight ninths of it.
 _SMALLER = "9 * (n - pos) >= 8 * n"
+#: Where all that have not met do so: of two that are pivots one goes to the other, and two that share the key before this one have met, or
+#: meet, in that key's list. Positions there are lower, so it leaves no less room for a link.
+_ONCE = "(root = main or node < mnode) and coalesce(prev != mprev, true)"
 #: Members of x that y cannot have: bits that only x has, the longer bitmap being folded to the other's length.
 _ONLY = "aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (t, c) -> t + c)"
 _FOLDED = "if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"
@@ -249,6 +252,12 @@ def _emit(value, name: str):
     return run
 
 
+def _keys(rows: DataFrame, keys: str, *columns: str) -> DataFrame:
+    """A row for each key: its position and the key before it, null for the first."""
+    each = F.transform(keys, lambda key, i: F.struct(i.alias("pos"), key.alias("key"), F.get(keys, i - 1).alias("prev")))
+    return rows.select(*columns, F.inline(each))
+
+
 def _some_or_all(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
@@ -293,7 +302,7 @@ class _Join:
         post = self._stored(self.texts.select("text").mapInArrow(frugal(_posting(self.frequent, self.rank, self.small)), "node bigint, n int, rare int, subsets array<bigint>, prefix array<bigint>, sketch array<bigint>"), "postings")
         self.postings = post.agg(F.sum(F.size("prefix"))).first()[0] or 0
         self.sketches = post.select("node", "n", "sketch")
-        pairs, members = self._scanned(post.select("node", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("before", F.col("pos")))
+        pairs, members = self._scanned(_keys(post, "prefix", "node", "n").withColumn("before", F.col("pos")))
         roots = stored(components(self._subset_links(post).unionByName(self._tested(pairs))), "roots")
         roots, unmet = self._rounds(members, roots, ROUNDS)
         several = None if unmet is None else self._stored(members.join(unmet.select("key").distinct(), "key", "left_semi").select("node").distinct(), "nodes")
@@ -302,7 +311,7 @@ class _Join:
             rows = self._texts_of(several).mapInArrow(frugal(_emit(_part_keys, "keys")), "node bigint, keys array<bigint>").join(some, "node", "left_semi")
             rare = post.join(some, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.min("rare").alias("before"))
             rows = self._stored(rows.join(rare, "node"), "parts")
-            pairs, members = self._scanned(rows.select("node", "n", F.lit(0).alias("pos"), "before", F.explode("keys").alias("key")))
+            pairs, members = self._scanned(_keys(rows, "keys", "node", "n", "before").withColumn("pos", F.lit(0)))
             roots, _ = self._rounds(members, self._merged(roots, self._tested(pairs)))
         dropped(*self.held)
         return roots
@@ -318,19 +327,19 @@ class _Join:
         return rows.join(pivots, "key").where("a != node").select("a", F.col("node").alias("b"))
 
     def _scanned(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of the members of each list (node, key, before), all of short ones and those with the pivot of longer ones, and
+        """Pairs of the members of each list (node, key, before, prev), all of short ones and those with the pivot of longer ones, and
         the members of the longer ones. The pivot has the least of ``before``."""
         lists = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.max(F.expr(_SMALLER)).alias("any"))
         lists = self._stored(lists.where("a < b and any").select("key", "k", "a", "b"), "lists")
         more = lists.where("k > 2").select("key", "k")
-        packed = rows.select("key", "node", F.expr("shiftleft(cast(n as bigint), 32) | pos").alias("place"), F.expr(_ORDER).alias("order"))
-        members = self._stored(packed.join(_some_or_all(more, more.count()), "key").select("key", "k", "node", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "order"), "members")
+        packed = rows.select("key", "node", "prev", F.expr("shiftleft(cast(n as bigint), 32) | pos").alias("place"), F.expr(_ORDER).alias("order"))
+        members = self._stored(packed.join(_some_or_all(more, more.count()), "key").select("key", "k", "node", "prev", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "order"), "members")
         members = members.withColumn("smaller", F.expr(_SMALLER))
         short = members.where(F.col("k") <= NEAR).groupBy("key").agg(F.collect_set(F.struct("node", "n", "pos")).alias("x"))
         short = short.select(F.explode("x").alias("p"), "x").select("p.*", F.explode("x").alias("q")).select("node", "n", "pos", F.col("q.node").alias("mnode"), F.col("q.n").alias("m"), F.col("q.pos").alias("mpos"))
         long = members.where(F.col("k") > NEAR)
         pivots = long.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos")), "order").alias("p")).select("key", "p.*")
-        star = long.drop("k").join(_some_or_all(pivots, pivots.count()), "key")
+        star = long.drop("k", "prev").join(_some_or_all(pivots, pivots.count()), "key")
         return lists.where("k = 2").select("a", "b").unionByName(self._pairs(short.where("node < mnode"))).unionByName(self._pairs(star)).distinct(), self._stored(long.drop("k").distinct(), "long")
 
     @staticmethod
@@ -405,9 +414,12 @@ class _Join:
                 return roots, None
             last = meetings <= max(LEAST_MEETINGS, MEETINGS * self.postings)
             dealt = F.col("node") if last else F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-            here = left.groupBy("key", dealt.alias("r")).agg(F.min_by(F.struct(F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("mroot")), "order").alias("p"))
+            here = left.groupBy("key", dealt.alias("r")).agg(F.min_by(F.struct(F.col("node").alias("mnode"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("mroot"), F.col("prev").alias("mprev")), "order").alias("p"))
             here = self._stored(here.select("key", "p.*"), "pivots")
-            pairs = self._pairs(open_.join(_some_or_all(here, here.count()), "key").where("root != mroot")).distinct()
+            meeting = open_.join(_some_or_all(here, here.count()), "key").where("root != mroot")
+            if last:
+                meeting = meeting.where(_ONCE)
+            pairs = self._pairs(meeting).distinct()
             roots = self._merged(roots, self._tested(pairs))
             if last:
                 return roots, None
