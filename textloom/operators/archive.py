@@ -20,7 +20,7 @@ from textloom.functions import filetypes
 from textloom.functions.paths import py_sanitize_path
 
 from . import rar, sevenzip
-from .result import ExtractError, Limits, Result
+from .result import ExtractError, LimitError, Limits, Result
 from .zipped import Container
 
 #: The block of an entry, and names for what has none.
@@ -88,10 +88,10 @@ def files(kind: str, data: bytes, name: str, limits: Limits) -> tuple[list[tuple
                 break
             try:
                 found.append((n, box.read(n), None))
+            except LimitError as e:
+                stop = str(e)
+                break
             except ExtractError as e:
-                if "limit" in str(e):
-                    stop = str(e)
-                    break
                 found.append((n, b"", str(e)))
     elif kind == "tar":
         left = limits.expanded_bytes
@@ -144,25 +144,36 @@ def _ordered(found):
     return sorted(found, key=lambda x: x[0].split("/"))
 
 
-def walk(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(), fail_fast: bool = False, above: tuple[str, ...] = ()) -> Iterator[Entry]:
-    """Leaves of an archive and of those in it, in walk order. ``extract`` takes (type, bytes, name)."""
+@dataclass
+class _Rest:
+    """What all levels of an archive may still expand to and hold together."""
+
+    expanded_bytes: int
+    entries: int
+
+
+def walk(kind: str, data: bytes, name: str, extract, limits: Limits = Limits(), fail_fast: bool = False, above: tuple[str, ...] = (), rest: _Rest | None = None) -> Iterator[Entry]:
+    """Leaves of an archive and of those in it, in walk order. ``extract`` takes (type, bytes, name).
+
+    The limits hold for all levels together: what one inner archive expands to is not there for the next.
+    """
     if len(above) >= limits.depth:
-        raise ExtractError("archives are nested too deeply")
-    left = limits.expanded_bytes
+        raise LimitError("archives are nested too deeply")
+    rest = rest or _Rest(limits.expanded_bytes, limits.entries)
     try:
-        found, stop = files(kind, data, name, limits)
+        found, stop = files(kind, data, name, Limits(limits.depth, rest.expanded_bytes, rest.entries))
     except ExtractError:
         raise
     except Exception as e:  # damaged or hostile bytes fail in many ways
         raise ExtractError(f"{kind}: {type(e).__name__}: {e}") from e
+    rest.expanded_bytes -= sum(len(raw) for _, raw, _ in found)
+    rest.entries -= len(found)
     for path, raw, error in _ordered(found):
-        left -= len(raw)
         code = filetypes.detect(path)
         inner = filetypes.EXTRACTORS.get(code)
         if error is None and inner in KINDS:
-            below = Limits(limits.depth, max(0, left), limits.entries)
             try:
-                yield from walk(inner, raw, path, extract, below, fail_fast, (*above, path))
+                yield from walk(inner, raw, path, extract, limits, fail_fast, (*above, path), rest)
                 continue
             except ExtractError as e:
                 error = str(e)

@@ -9,6 +9,10 @@ class ExtractError(ValueError):
     """The bytes are not what their type says, or go beyond a limit."""
 
 
+class LimitError(ExtractError):
+    """What was asked for goes beyond a limit."""
+
+
 @dataclass
 class Result:
     """Text of a document, the way it was found, and its parts (pages, sheets, slides, entries)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-from .result import ExtractError, Limits
+from .result import ExtractError, LimitError, Limits
 
 
 class Container:
@@ -28,6 +28,6 @@ class Container:
         except Exception as e:  # damaged data, unknown methods, encryption: all are errors of this entry
             raise ExtractError(f"zip: {name}: {e}") from e
         if len(data) > self.left:
-            raise ExtractError("zip: expands beyond the limit")
+            raise LimitError("zip: expands beyond the limit")
         self.left -= len(data)
         return data

@@ -39,22 +39,22 @@ def extract_text(file_type: Column, content: Column, path: Column, registry: Reg
     return extract(file_type, content, path)
 
 
-def extract_documents(files: DataFrame, file_type: int | None = None, registry: Registry | None = None) -> DataFrame:
-    """path, file_type, class, method, text, size, n_parts, error for each row of ``files`` (path, content).
+def extract_documents(files: DataFrame, file_type: int | None = None, registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to ``keep`` and path, file_type, class, method, text, size, n_parts, error for each row of ``files`` (path, content).
 
     The type comes from the path unless ``file_type`` overrides it. Bytes of native types never reach a Python worker.
     There is no shuffle: a file is a row, and an archive is expanded within its row.
     """
     own = registry or Registry()
     code = F.lit(file_type).cast("int") if file_type else filetypes.detect_type(F.col("path"))
-    rows = files.select("path", "content", code.alias("file_type"))
+    rows = files.select(*keep, "path", "content", code.alias("file_type"))
     is_native = F.col("file_type").isin([t for t in NATIVE_TYPES if t not in own.own])
     simple = F.when(is_native & (F.col("file_type") == 202), native.vsd_text(F.col("content"))).when(is_native, native.plain_text(F.col("content")))
     found = extract_text(F.col("file_type"), F.when(~is_native, F.col("content")), F.col("path"), own)
     rows = rows.withColumn("simple", simple).withColumn("r", found)
     text = F.coalesce("simple", "r.text", F.lit(""))
     return rows.select(
-        "path", "file_type", filetypes.type_class(F.col("file_type")).alias("class"), F.coalesce("r.method", filetypes.extractor_name(F.col("file_type"))).alias("method"), text.alias("text"), textnorm.byte_length(text).alias("size"),
+        *keep, "path", "file_type", filetypes.type_class(F.col("file_type")).alias("class"), F.coalesce("r.method", filetypes.extractor_name(F.col("file_type"))).alias("method"), text.alias("text"), textnorm.byte_length(text).alias("size"),
         F.coalesce("r.n_parts", F.lit(1)).alias("n_parts"), F.when(F.col("content").isNull(), "no content").otherwise(F.col("r.error")).alias("error"),
     )
 

@@ -15,9 +15,11 @@ from textloom.functions import binary, filetypes, paths, textnorm
 from textloom.operators import native, ooxml, rtf
 from textloom.operators.registry import Registry
 from textloom.operators.result import Result
+from textloom.sources import archives, shared
 
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
+from .walk import fold_offsets, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -415,6 +417,44 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_entries(rows, by="part")
 
 
+#: Bytes of a part of an archive: small, so that the test tables' archives have several.
+PART = 1 << 18
+
+
+def _written_archives(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder of archives that hold all documents, as many as there are tasks that write."""
+    folder = shared.new_path(spark, kind)
+    archives.register(spark)
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("entry"), F.col("text").cast("binary").alias("content"))
+    files.write.format("archive").option("kind", kind).mode("append").save(folder)
+    return folder
+
+
+def _in_parts(kind: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = walk(spark, _written_archives(spark, sf_dir, kind), part_bytes=PART)
+        name = F.element_at("entry_path", 1)
+        return rows.select(F.regexp_extract(name, r"^d/(-?\d+)\.txt$", 1).cast("bigint").alias("doc_id"), name.alias("path"), "text", "size", "method", "error")
+
+    run.__name__ = f"{kind}_parts"
+    query("SELECT doc_id, concat('d/', doc_id, '.txt') AS path, text, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'text' AS method, CAST(NULL AS VARCHAR) AS error FROM documents")(run)
+
+
+_in_parts("zip")
+_in_parts("tar")
+
+_BLOCK_OF = "'=== 文件名: /' || name || ' ===' || chr(10) || chr(10) || text || chr(10) || chr(10)"
+
+
+@query(f"SELECT doc_id, CAST(coalesce(sum(octet_length(encode(block))) OVER (ORDER BY string_split(name, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", CAST(octet_length(encode(block)) AS BIGINT) AS length, sha256(block) AS block_sha256 FROM (SELECT doc_id, name, {_BLOCK_OF} AS block FROM (SELECT *, concat(source, '/', doc_id % 7, '/', doc_id, '.txt') AS name FROM documents))")
+def fold_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of one archive: where each block starts in the folded text."""
+    name = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = _table(spark, sf_dir, "documents").select(F.lit("all").alias("archive"), F.array(name).alias("entry_path"), "text")
+    doc_id = F.regexp_extract(F.element_at("entry_path", 1), r"(-?\d+)\.txt$", 1).cast("bigint")
+    return fold_offsets(files).select(doc_id.alias("doc_id"), "offset", "length", F.sha2("block", 256).alias("block_sha256"))
+
+
 @query(f"SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode({_HTML}))) AS BIGINT) AS bytes FROM pages")
 def extracted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and bytes of text over a whole table."""
