@@ -1,7 +1,14 @@
+import html
+import random
+import time
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import filetypes, paths, textnorm
+from textloom.operators import native
+from textloom.operators.html import extract_html
 from textloom.operators.rtf import DESTINATIONS
 
 NAMES = [("A.TAR.GZ", 20), ("xtar.gz", 20), ("a.tar.bz2", 24), (".gz", 19), ("n.", 114), ("a.b/c", 114), ("none", 114), ("", 114), ("x.md", 6), ("x.tgz", 114), ("x.htm", 114), ("x.HTML", 1), ("k.key", 17), ("z.z", 30), ("i.svg", 36), ("b.bmp", 404), ("a/b.c/d.docx", 8), ("x.vsd", 202), ("x.yaml", 114)]
@@ -35,9 +42,45 @@ def test_expressions_equal_functions(spark):
 
 
 def test_unescape(spark):
-    df = spark.createDataFrame([("&amp;lt; &eacute;&#x41;&#66; &nope;",), (None,)], "t string")
-    assert [r[0] for r in df.select(textnorm.unescape(F.col("t"))).collect()] == ["&lt; éAB &nope;", None]
-    assert df.select(textnorm.unescape_fixed(textnorm.unescape_fixed(F.lit("&amp;lt;")))).first()[0] == "<"
+    rng = random.Random(2)
+    texts = [f"a&{n}b &{n[:-1]} &{n}" for n in html5]
+    texts += [f"&#{n};&#x{n:x}; &#X{n:X} &#0{n}z" for n in (*range(400), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFDF0, 0xFEFF, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**25)]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&notit;", "&amp;lt;", "&a&b&", "&copycopy&nbsp", "&" + "n" * 40 + ";"]
+    texts += ["".join(rng.choice(["&", "#", "x", "12", "amp", "lt", ";", " ", "not", "é", "\n", "<"]) for _ in range(rng.randrange(12))) for _ in range(1000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", textnorm.unescape(F.col("t")).alias("u"))
+    assert [(r.t, r.u) for r in df.collect()] == [(t, html.unescape(t)) for t in texts] + [(None, None)]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    long = spark.createDataFrame([("&amp;" * 200_000,)], "t string").select(F.length(textnorm.unescape(F.col("t"))))
+    assert long.first()[0] == 200_000
+
+
+PIECES = ["<a=", "</", "<p>", "</p>", "<head>", "</head>", "<title>", "</title>", "<script>", "</script>", "<style>", "</style >", "<!--", "-->", "--!>", "<!-->", "<!doctype html>", "<?x", "</ x>", "</>", '<a b="x>y">', "<a b='>'>", '<a b="', "'", '"', ">", "<", "x", "y &amp;amp; z", " ", "\n", "<meta a>", "<noscript>", "</noscript>", "<br/>", "<title/>", "\x85", " ", "\0", "<template>", "</template>", "= ", "<p = '", "&lt;", "1 < 2", "<html>", "<body>"]
+
+
+def test_html_by_expressions_equals_the_tokenizer(spark):
+    rng = random.Random(7)
+    pages = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(16))) for _ in range(5000)]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "p string").select(native.html_text(F.col("p"))).collect()]
+    assert got == [extract_html(p.encode()).text for p in pages]
+
+
+def test_html_by_hand(spark):
+    cases = {
+        "<title>t</title><p>a": "a", "<head><title>t<p>a</title>b": "b", "<head>text<p>x": "text x", "<meta a><p title='a > b'>x</p>": "x",
+        "<article><p>one</p><!--><p>two</p></article>": "one two", "<!-- x --!><p>two</p><!-- y -->": "two", "a<!--->b": "a b", "<!-- a": "",
+        "<p>a</ b>c</>d": "a c d", "<body><title>in body</title>": "in body", "<head><noscript><p>no</p></noscript></head><noscript>yes</noscript>": "yes",
+        "<script>'</script'</script>a<SCRIPT>b</Script >c": "a c", "<p>a<a href='": "a", "1 < 2 <3": "1 < 2 <3", "&amp;lt;b&amp;gt;": "<b>", "a<br>b": "a b", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert [r[0] for r in df.select(native.html_text(F.col("p"))).collect()] == list(cases.values())
+    assert [extract_html(k.encode()).text for k in cases] == list(cases.values())
+
+
+@pytest.mark.parametrize("page", ["<meta>" * 200_000, "<" * 200_000, '<a b="' * 100_000, "<!--" * 100_000 + ">", "<script>" * 100_000, "<a b='\">" * 100_000, "<a" * 200_000 + ">", " " * 400_000, "</" * 200_000 + ">", "<a b=\">\" " * 100_000 + ">", "<a b=\">\" " * 100_000, "<meta b='>' " * 100_000])
+def test_hostile_pages_take_linear_time(spark, page):
+    start = time.perf_counter()
+    assert spark.createDataFrame([(page,)], "p string").select(native.html_text(F.col("p"))).first()[0] == extract_html(page.encode()).text
+    assert time.perf_counter() - start < 20
 
 
 PATHS = ["../../x", "/a/../../b", "a//b/./c/", "", ".", "a\\..\\b", "..", "a/b/../../.."]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import html
+import json
 import re
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +15,6 @@ INVISIBLE_MARKDOWN = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}\x{200B}-\x{
 SPACES = r"[\t\n\f\r \x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 SPACES_MARKDOWN = r"[\t\f\x{0B}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+"
 WHITE_SPACE = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: References that the native decoder knows, the ampersand last.
-REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-
 
 def _python(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern))
@@ -27,12 +24,17 @@ _INVISIBLE, _INVISIBLE_MD, _SPACES, _SPACES_MD, _WHITE = map(_python, (INVISIBLE
 _TRIM = re.compile(rf"\A(?:{_WHITE.pattern})|(?:{_WHITE.pattern})\Z")
 
 
+_WHITE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if _WHITE.fullmatch(c))
+
+
 def strip_invisible(text: Column, markdown: bool = False) -> Column:
     return F.regexp_replace(text, INVISIBLE_MARKDOWN if markdown else INVISIBLE, "")
 
 
 def collapse_ws(text: Column, markdown: bool = False) -> Column:
-    return F.regexp_replace(text, SPACES_MARKDOWN if markdown else SPACES, " ")
+    # a single space stays as it is: most white space is, and each match costs
+    white = (SPACES_MARKDOWN if markdown else SPACES).removesuffix("+")
+    return F.regexp_replace(text, rf"{white}{{2,}}|(?! ){white}", " ")
 
 
 def collapse_newlines(text: Column, to: str = " ") -> Column:
@@ -41,7 +43,7 @@ def collapse_newlines(text: Column, to: str = " ") -> Column:
 
 def trim_space(text: Column) -> Column:
     """Without Unicode white space at both ends; Spark's own trim takes spaces only."""
-    return F.regexp_replace(F.regexp_replace(text, "^" + WHITE_SPACE, ""), WHITE_SPACE + r"\z", "")
+    return F.trim(text, F.lit(_WHITE_CHARACTERS))
 
 
 def clean_line(text: Column) -> Column:
@@ -53,26 +55,84 @@ def printable_ascii(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x20-\x7E\n\r]", "")
 
 
-def unescape_fixed(text: Column) -> Column:
-    """Character references of a fixed set; :func:`unescape` knows all of them."""
-    for name, sign in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
-
-
 def byte_length(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
+#: HTML's names of characters, from the standard library; those without a semicolon may stand in front of other letters.
+_NAMES = html5
+_SHORT = sorted((n for n in _NAMES if not n.endswith(";")), key=len, reverse=True)
+#: What may follow an ampersand: a number, or up to 32 characters that may be a name.
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <#;]{1,32};?)"
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name, or null, by a map of maps, so that a look-up meets the names of one first letter only."""
+    letters: dict[str, dict[str, str]] = {}
+    for k, v in _NAMES.items():
+        letters.setdefault(k[0], {})[k] = v
+    # one literal, which the optimizer reads once
+    by_letter = F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,string>>")
+    return by_letter[F.left(name, F.lit(1))][name]
+
+
+def code_point(n: Column) -> Column:
+    """The character of a code point; Spark's own ``char`` knows 256."""
+    mark = F.lit("﻿")
+    return F.when(n == 0xFEFF, mark).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+
+def _numbered(name: Column) -> Column:
+    """The character that a number stands for, by HTML's rules for what is no character."""
+    is_hex = F.substring(name, 2, 1).isin("x", "X")
+    written = F.when(is_hex, F.substring(name, 3, 40)).otherwise(F.substring(name, 2, 40))
+    digits = F.ltrim(F.rtrim(written, F.lit(";")), F.lit("0"))
+
+    def value(d: Column) -> Column:
+        # longer numbers are beyond Unicode
+        known = F.when(is_hex & (F.length(d) <= 6), F.conv(d, 16, 10).cast("int")).when(~is_hex & (F.length(d) <= 7), d.cast("int"))
+        return F.when(d == "", 0).otherwise(F.coalesce(known, F.lit(0x110000)))
+
+    return let(let(digits, value), _character)
+
+
+def let(x: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _character(n: Column) -> Column:
+    # numbers of 128 to 159 mean the code page of old Windows
+    old = {i: bytes([i]).decode("cp1252", "replace").replace("�", chr(i)) for i in range(128, 160)}
+    windows = F.array(*(F.lit(old[i]) for i in sorted(old)))
+    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    broken = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(broken, "�").when(n.between(128, 159), F.get(windows, n - 128)).when(nothing, "").otherwise(code_point(n))
+
+
+def _replaced(name: Column) -> Column:
+    """What a possible reference (without its ampersand) stands for, or null."""
+    short = F.regexp_extract(name, "^(?:" + "|".join(_SHORT) + ")", 0)
+    in_front = F.when(short != "", F.concat(_named(short), F.substring(name, F.length(short) + 1, F.length(name))))
+    return F.when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(F.coalesce(_named(name), in_front))
+
+
 def unescape(text: Column) -> Column:
-    """All character references of HTML, in Arrow batches; no SQL function does this."""
+    """All character references of HTML, named and numbered, decoded once, by expressions.
 
+    A text is split at its ampersands; what follows one is looked up whole, then, as HTML says, by the longest name at its
+    start that needs no semicolon. What is no reference stays.
+    """
+    return let(text, _unescaped)
 
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
 
-    return decode(text)
+def _unescaped(text: Column) -> Column:
+    pieces = F.split(text, "&")
+    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(F.regexp_extract(p, _REFERENCE, 0).alias("name"), p.alias("piece")))
+    known = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["piece"].alias("piece"), F.when(x["name"] != "", _replaced(x["name"])).alias("value")))
+    rest = lambda x: F.substring(x["piece"], F.length(x["name"]) + 1, F.length(x["piece"]))
+    out = F.transform(known, lambda x: F.when(x["value"].isNull(), F.concat(F.lit("&"), x["piece"])).otherwise(F.concat(x["value"], rest(x))))
+    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.concat(F.substring_index(text, "&", 1), F.array_join(out, "")))
 
 
 def py_strip_invisible(text: str, markdown: bool = False) -> str:

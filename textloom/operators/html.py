@@ -3,32 +3,30 @@
 from __future__ import annotations
 
 import html
-import re
 
 from textloom.functions import textnorm
 
 from .htmltokens import END, START, TEXT, tokens
 from .result import Result
 
-#: Skipped subtrees, and what may stand in a head.
-SKIPPED = frozenset(("script", "style", "head", "meta", "link"))
-#: Elements that hold no markup.
+#: Elements that hold no markup, and those that hold none before the body begins.
 RAW = frozenset(("script", "style"))
-HEAD_ONLY = frozenset(("base", "link", "meta", "title", "style", "script", "noscript", "template", "basefont", "bgsound", "noframes"))
-
-
-_CUT_TAG = re.compile(r"<[/!]?[A-Za-z]")
+HEAD_RAW = frozenset(("title", "noscript", "template", "noframes"))
+#: Other tags that may stand before the body.
+HEAD_TAGS = frozenset(("html", "head", "base", "link", "meta", "basefont", "bgsound"))
 
 
 def extract_html(data: bytes, name: str = "") -> Result:
-    """Text segments outside head, script and style, in linear time."""
-    source = data.decode("utf-8", "replace")
-    # a tag that the document ends in is no text
-    if m := _CUT_TAG.search(source, source.rfind(">") + 1):
-        source = source[: m.start()]
+    """Text segments outside head, script and style, in linear time.
+
+    The head ends where HTML says, marked or not: at the first text that is no white space, or the first tag that belongs to no head. A tag
+    that the page ends in, be it within a quoted value, is no text.
+    """
+    source = data.decode("utf-8", "replace").replace("\0", "")
     segments: list[str] = []
     held: list[str] = []
-    head = body = title = False
+    raw = {*RAW, *HEAD_RAW}
+    body = False
 
     def flush():
         if held:
@@ -37,26 +35,19 @@ def extract_html(data: bytes, name: str = "") -> Result:
                 segments.append(text)
             held.clear()
 
-    for kind, value, attributes in tokens(source, RAW):
+    for kind, value, _ in tokens(source, raw, lenient=False):
         if kind == TEXT:
-            if not head and not title:
+            body = body or bool(value.strip(" \t\n\f\r"))
+            if body:
+                raw -= HEAD_RAW
                 held.append(value)
-                body = body or not value.isspace()
             continue
         flush()
-        if kind == END:
-            title = False
-            if value == "head":
-                head = False
-        elif kind == START:
-            if not attributes.endswith("/"):
-                if value == "head":
-                    head = True
-                elif value not in HEAD_ONLY and value != "html":
-                    head, body = False, True
-                title = value == "title" and not body
-            if value == "br" and not head:
-                segments.append(" ")
+        if kind == END and value == "head":
+            raw.discard("noscript")
+        if kind == START and not body and value not in raw and value not in HEAD_TAGS:
+            body = True
+            raw -= HEAD_RAW
     flush()
     text = html.unescape(" ".join(segments))
     return Result(textnorm.py_trim_space(textnorm.py_collapse_ws(textnorm.py_strip_invisible(text))), "html")

@@ -6,23 +6,26 @@ import re
 from collections.abc import Iterator
 
 #: A tag up to the ``>`` that is in no quoted value; values are quoted after an equals sign only.
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[^>=]++|=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)([^>]*+)>")
+#: A tag as HTML has it: up to the end of the page if nothing ends it before.
+_TO_END = re.compile(r"""<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[^>=]++|=[ \t\n\f\r]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|=)*+)(?:>|\Z)""")
+#: What ends a comment after ``<!--``; the first two right behind it only.
+_COMMENT = re.compile(r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))")
 TEXT, START, END, OTHER = "text", "start", "end", "other"
 
 
-def tokens(source: str, raw: frozenset[str]) -> Iterator[tuple[str, str, str]]:
+def tokens(source: str, raw: frozenset[str] | set[str], lenient: bool = True) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) of a page, in order.
 
-    Elements named in ``raw`` hold no markup: what is between them is left out. Comments, declarations and instructions are of kind
-    other. A ``<`` that opens no tag is text, as is a tag that the page ends in. A raw element or a comment without an
-    end goes on to the end of the page.
+    Elements named in ``raw``, which may change on the way, hold no markup: what is between them is left out. Comments (which end as HTML
+    says, also at ``--!>``), declarations, instructions and end tags without a name are of kind other. A ``<`` that opens no tag is text. A raw element or a comment without an end goes on to the end of the page.
 
-    Nothing is scanned again and again: no tag is looked for after the last ``>``, and once a tag runs to the end of the page within
-    quotes, tags end at the first ``>``.
+    A tag that runs to the end of the page, be it within quotes, ends the page, as HTML says. If ``lenient``, such a tag is text after
+    the last ``>``, and before it, from the first tag on that runs to the end within quotes, tags end at the first ``>``. So nothing is scanned again and again.
     """
-    at, n, last = 0, len(source), source.rfind(">")
-    tag = _TAG
+    at, n = 0, len(source)
+    last, tag = (source.rfind(">"), _TAG) if lenient else (n, _TO_END)
     while at < n:
         i = source.find("<", at)
         if i < 0 or i > last and not source.startswith("<!--", i):
@@ -31,13 +34,12 @@ def tokens(source: str, raw: frozenset[str]) -> Iterator[tuple[str, str, str]]:
         if i > at:
             yield TEXT, source[at:i], ""
         if source.startswith("<!--", i):
-            end = source.find("-->", i + 4)
             yield OTHER, "", ""
-            at = n if end < 0 else end + 3
+            at = _COMMENT.match(source, i).end()
             continue
-        if source.startswith(("<!", "<?"), i):
+        if source.startswith(("<!", "<?"), i) or source.startswith("</", i) and i + 2 < n and not (source[i + 2].isascii() and source[i + 2].isalpha()):
             yield OTHER, "", ""
-            at = source.find(">", i) + 1
+            at = source.find(">", i) + 1 or n
             continue
         m = tag.match(source, i)
         if not m and tag is _TAG and source[i + 1 : i + 3].lstrip("/")[:1].isalpha():

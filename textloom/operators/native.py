@@ -8,17 +8,48 @@ from pyspark.sql import functions as F
 from textloom.functions import textnorm
 
 
+_WS = r"[ \t\n\f\r]"
+#: The rest of a tag: up to the ``>`` that is in no quoted value, or to the end of the page.
+_REST = rf"""(?:[^>=]++|={_WS}*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))|=)*+(?:>|\z)"""
+_NAME_ENDS = r"(?=[ \t\n\f\r/>])"
+_TAG = rf"[a-z][^ \t\n\f\r/>]*+{_REST}"
+_COMMENT = r"<!--(?:-?>|(?s:.*?)(?:--!?>|\z))"
+#: Declarations, instructions and end tags without a name; they end at the first ``>``.
+_OTHER = r"<[!?][^>]*+(?:>|\z)|</(?![a-zA-Z]|\z)[^>]*+(?:>|\z)"
+
+
+def _raw(names: str, group: int) -> str:
+    """Elements that hold no markup, with all that is in them; without an end tag they go on to the end of the page."""
+    return rf"<({names}){_NAME_ENDS}{_REST}(?<!/>)(?s:.*?)(?:</\{group}(?![a-zA-Z0-9])[^>]*+>|\z)"
+
+
+_SCRIPT = "script|style"
+_TEXTLESS = "title|template|noframes"
+
+
+def _before_body(raw: str, group: int) -> str:
+    """All that may stand before the body; a ``noscript`` only as long as the head has not been closed."""
+    plain = rf"<(?:html|head|base|link|meta|basefont|bgsound|{raw}){_NAME_ENDS}{_REST}"
+    return rf"(?:{_WS}|{_COMMENT}|{_OTHER}|{_raw(raw, group)}|</(?!head{_NAME_ENDS}){_TAG}|{plain})*+"
+
+
+_HEAD = rf"(?i)\A{_before_body(f'{_SCRIPT}|{_TEXTLESS}|noscript', 1)}(?:</head{_REST}{_before_body(f'{_SCRIPT}|{_TEXTLESS}', 2)})*+"
+_MARKUP = rf"(?i){_COMMENT}|{_OTHER}|{_raw(_SCRIPT, 1)}|</?{_TAG}"
+
+
 def html_text(source: Column) -> Column:
-    """Text of a page: comments, head, scripts and styles go, tags are spaces, references are decoded twice.
+    """Text of a page's body outside scripts and styles; markup is space, references are decoded twice.
 
-    Equal to the tree-building extractor for pages whose markup is regular; a ``>`` in an attribute or
-    a script that names its own end tag is for :mod:`textloom.operators.html`.
+    Right in general, as :mod:`textloom.operators.html` is: values in quotes may hold ``>``, comments end as HTML says, the head ends at
+    the first thing that belongs to no head, raw elements end at their own end tag, a tag that the page ends in is no text.
+    Each expression passes over the page once; possessive repetition keeps hostile pages linear and off the stack.
     """
-    text = F.regexp_replace(source, r"(?is)<!--.*?-->", " ")
-    for tag in ("head", "script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[/!]?[A-Za-z][^>]*>", " ")
-    text = textnorm.unescape_fixed(textnorm.unescape_fixed(text))
+    source = F.replace(source, F.lit("\0"), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(source, _HEAD, ""), _MARKUP, "\0")
+    text = textnorm.unescape(text)
+    # ends of segments are trimmed of more kinds of white space than are collapsed
+    white = textnorm.WHITE_SPACE.removesuffix("+")
+    text = textnorm.unescape(F.regexp_replace(text, rf"\x00(?:\x00|{white})*+|{white}++\x00(?:\x00|{white})*+", " "))
     return textnorm.trim_space(textnorm.collapse_ws(textnorm.strip_invisible(text)))
 
 

@@ -14,7 +14,7 @@ from textloom.operators.registry import Registry
 from textloom.operators.result import ExtractError
 
 #: Types whose text is an expression: no Python runs for them.
-NATIVE_TYPES = (2, 4, 5, 202, *sorted({*filetypes.TYPES.values(), filetypes.UNKNOWN} - filetypes.EXTRACTORS.keys()))
+NATIVE_TYPES = (1, 2, 4, 5, 202, *sorted({*filetypes.TYPES.values(), filetypes.UNKNOWN} - filetypes.EXTRACTORS.keys()))
 _FOUND = "text string, method string, n_parts int, error string"
 _ENTRY = pa.schema([("path", pa.string()), ("entry_path", pa.list_(pa.string())), ("depth", pa.int32()), ("file_type", pa.int32()), ("text", pa.string()), ("size", pa.int64()), ("method", pa.string()), ("error", pa.string())])
 _ENTRY_DDL = "path string, entry_path array<string>, depth int, file_type int, text string, size bigint, method string, error string"
@@ -39,23 +39,30 @@ def extract_text(file_type: Column, content: Column, path: Column, registry: Reg
     return extract(file_type, content, path)
 
 
-def extract_documents(files: DataFrame, file_type: int | None = None, registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_documents(files: DataFrame, file_type: int | None = None, registry: Registry | None = None, keep: tuple[str, ...] = (), with_bytes: bool = False) -> DataFrame:
     """The columns to ``keep`` and path, file_type, class, method, text, size, n_parts, error for each row of ``files`` (path, content).
 
-    The type comes from the path unless ``file_type`` overrides it. Bytes of native types never reach a Python worker.
+    The type comes from the path unless ``file_type`` overrides it. ``with_bytes`` adds ``bytes``: for types that are passed on as they are
+    (txt, csv, json and all without an extractor) the content unchanged, UTF-8 or not, and the bytes of the text for all
+    others; ``size`` is then their length. Bytes of native types never reach a Python worker.
     There is no shuffle: a file is a row, and an archive is expanded within its row.
     """
     own = registry or Registry()
     code = F.lit(file_type).cast("int") if file_type else filetypes.detect_type(F.col("path"))
     rows = files.select(*keep, "path", "content", code.alias("file_type"))
     is_native = F.col("file_type").isin([t for t in NATIVE_TYPES if t not in own.own])
-    simple = F.when(is_native & (F.col("file_type") == 202), native.vsd_text(F.col("content"))).when(is_native, native.plain_text(F.col("content")))
+    plain = native.plain_text(F.col("content"))
+    passed = is_native & ~F.col("file_type").isin(1, 202)
+    simple = F.when(passed, plain).when(is_native & (F.col("file_type") == 1), native.html_text(plain)).when(is_native, native.vsd_text(F.col("content")))
     found = extract_text(F.col("file_type"), F.when(~is_native, F.col("content")), F.col("path"), own)
     rows = rows.withColumn("simple", simple).withColumn("r", found)
     text = F.coalesce("simple", "r.text", F.lit(""))
+    kept = F.coalesce(F.when(passed, F.col("content")), text.cast("binary"))
+    size = textnorm.byte_length(kept if with_bytes else text)
     return rows.select(
-        *keep, "path", "file_type", filetypes.type_class(F.col("file_type")).alias("class"), F.coalesce("r.method", filetypes.extractor_name(F.col("file_type"))).alias("method"), text.alias("text"), textnorm.byte_length(text).alias("size"),
+        *keep, "path", "file_type", filetypes.type_class(F.col("file_type")).alias("class"), F.coalesce("r.method", filetypes.extractor_name(F.col("file_type"))).alias("method"), text.alias("text"), size.alias("size"),
         F.coalesce("r.n_parts", F.lit(1)).alias("n_parts"), F.when(F.col("content").isNull(), "no content").otherwise(F.col("r.error")).alias("error"),
+        *([kept.alias("bytes")] if with_bytes else []),
     )
 
 

@@ -70,6 +70,54 @@ def html_text_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(_table(spark, sf_dir, "pages"), "page_id", 1, F.col("html").cast("binary"))
 
 
+_CLEAN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{textnorm.INVISIBLE}', '', 'g'), '{textnorm.SPACES}', ' ', 'g'), '^{textnorm.WHITE_SPACE}', ''), '{textnorm.WHITE_SPACE}$', '')"
+_IN_HEAD = """<!DOCTYPE html>
+<HTML lang="a>b"><!-- > --!><meta name='d' content='<title>no</title><p>no'><title>Not <b> &amp; shown</title><script>if (a < b && "</p>" > '') { s = "<\\/script>" }</script><style>p > a {}</style><link href=x>"""
+_LINE_START, _LINE_END = """<p class="x > y" data-v='">'>""", """</P
+><!-- <p>no</p> -- > no --><script type="a>b">1 < 2 </scripts></script ><style/>"""
+
+
+@query(f"SELECT doc_id, {_CLEAN} AS text FROM documents")
+def html_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as pages with all that misleads a pattern: quoted ``>``, a head without an end, odd comments, markup in scripts
+    and attributes, references for letters and marks, a tag that is cut off. What comes back is the document."""
+    line = F.col("text")
+    # marks are escaped twice, since references are decoded twice
+    for sign, written in (("&", "&amp;amp;"), ("<", "&lt;"), (">", "&#62;"), ("e", "&#101;"), ("é", "&eacute;"), ("è", "&egrave"), ("t", "&#x74;")):
+        line = F.replace(line, F.lit(sign), F.lit(written))
+    lines = F.transform(F.split(line, "\n"), lambda x: F.concat(F.lit(_LINE_START), x, F.lit(_LINE_END)))
+    page = F.concat(F.lit(_IN_HEAD), F.array_join(lines, ""), F.lit("<!--><a href='cut off"))
+    return _documents(spark, sf_dir, native.html_text(page))
+
+
+_SEPARATOR = "\x01"
+_REFERENCES = list(textnorm.html5.items())
+
+
+def _sql_list(values: list[str]) -> str:
+    return "string_split('" + _SEPARATOR.join(values).replace("'", "''") + f"', '{_SEPARATOR}')"
+
+
+@query(
+    f"""WITH r AS (SELECT {_sql_list([v for _, v in _REFERENCES])} AS v, {_sql_list([k for k, _ in _REFERENCES])} AS k)
+SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: w || CASE WHEN (i - 1) % 4 < 2 THEN v[CAST((doc_id * 37 + i - 1) % {len(_REFERENCES)} + 1 AS BIGINT)] || CASE WHEN k[CAST((doc_id * 37 + i - 1) % {len(_REFERENCES)} + 1 AS BIGINT)] LIKE '%;' THEN '' ELSE '-' END
+ELSE chr(CAST(19968 + (doc_id * 37 + i - 1) % 20000 AS INTEGER)) END), ' ') AS text FROM documents, r"""
+)
+def html_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference after each word: in turn all names, with and without a semicolon, and numbers in both bases."""
+    names = F.split(F.lit(",".join(k for k, _ in _REFERENCES)), ",")
+
+    def written(word, i):
+        at = F.col("doc_id") * 37 + i
+        name = F.element_at(names, (at % len(_REFERENCES) + 1).cast("int"))
+        number = 19968 + at % 20000
+        named = F.concat(F.lit("&"), name, F.when(F.endswith(name, F.lit(";")), "").otherwise("-"))
+        return F.concat(word, F.when(i % 4 < 2, named).when(i % 4 == 2, F.concat(F.lit("&#"), number.cast("string"), F.lit(";"))).otherwise(F.concat(F.lit("&#x"), F.hex(number), F.lit(";"))))
+
+    text = F.array_join(F.transform(F.split(F.replace("text", F.lit("&"), F.lit("&amp;")), " "), written), " ")
+    return _documents(spark, sf_dir, textnorm.unescape(text))
+
+
 # -- types ---------------------------------------------------------------------------------------------------------
 
 _ALL_NAMES = [*(f"f.{s}" for s in filetypes.TYPES), *NAMES]
@@ -145,6 +193,18 @@ def raw_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passed(_table(spark, sf_dir, "documents"), "doc_id", "bin", F.col("text"))
 
 
+_BYTES = "from_hex('FF8041E9C300') || encode(text) || from_hex('EDA080')"
+
+
+@query(f"SELECT concat(doc_id, ['.txt', '.csv', '.json', '.bin'][CAST(doc_id % 4 + 1 AS BIGINT)]) AS path, sha256({_BYTES}) AS bytes_sha256, CAST(octet_length({_BYTES}) AS BIGINT) AS size, CASE WHEN doc_id % 4 = 3 THEN 'raw' ELSE 'text' END AS method FROM documents")
+def unchanged_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no UTF-8, passed on as they are."""
+    suffix = F.element_at(F.array(*map(F.lit, (".txt", ".csv", ".json", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    content = F.concat(F.unhex(F.lit("FF8041E9C300")), F.col("text").cast("binary"), F.unhex(F.lit("EDA080")))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), suffix).alias("path"), content.alias("content"))
+    return extract_documents(files, with_bytes=True).select("path", F.sha2("bytes", 256).alias("bytes_sha256"), "size", "method")
+
+
 def _documents(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
