@@ -13,7 +13,7 @@ import lzma
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -133,8 +133,8 @@ def _sizes(record: bytes) -> tuple[int, int, int]:
     return packed, size, offset
 
 
-def zip_members(f: BinaryIO, size: int, first: int, end: int, most: int, content: bool = True) -> Iterator[Member]:
-    """Files of a range of the directory. What is wrong with one is its error; a damaged directory is raised."""
+def zip_members(f: BinaryIO, size: int, first: int, end: int, most: int, content: bool | Callable[[Member], bool] = True) -> Iterator[Member]:
+    """Files of a range of the directory, with the content of all, none or those that ``content`` picks. What is wrong with one is its error; a damaged directory is raised."""
     shift = zip_directory(f, size)[2]
     for at, record in _records(f, first, end):
         flags, method = struct.unpack_from("<HH", record, 8)
@@ -144,7 +144,7 @@ def zip_members(f: BinaryIO, size: int, first: int, end: int, most: int, content
         if name.endswith("/"):
             continue
         data, error = None, None
-        if content:
+        if content(Member(at, name, full, None, None)) if callable(content) else content:
             try:
                 data = _zip_content(f, size, record, flags, method, packed, full, offset + shift, most)
             except ExtractError as e:

@@ -20,6 +20,7 @@ from textloom.sources import archives, shared
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
 from .walk import fold_offsets, walk
+from .workbooks import cells, sheet_lines, workbook_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -396,6 +397,37 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(cells("n_name")).alias("c")).select("n_nationkey", "c.*")
 
 
+#: Orders in a workbook.
+ROWS = 500
+_ORDER_CELLS = f"""SELECT CAST(o_orderkey // {ROWS} AS BIGINT) AS book, row_number() OVER (PARTITION BY o_orderkey // {ROWS} ORDER BY o_orderkey) AS row_no,
+  [o_orderpriority, o_orderstatus || ' & <' || o_custkey || '>', CAST(o_orderkey AS VARCHAR)] AS written FROM orders"""
+
+
+def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as workbooks, priorities being shared strings."""
+
+    @F.pandas_udf("binary")
+    def pack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda rs: packers.xlsx([list(r["c"]) for r in rs]))
+
+    c = F.array("o_orderpriority", F.concat("o_orderstatus", F.lit(" & <"), F.col("o_custkey").cast("string"), F.lit(">")), F.col("o_orderkey").cast("string"))
+    rows = _table(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {ROWS}").alias("book"), F.struct("o_orderkey", c.alias("c")).alias("row"))
+    groups = rows.groupBy("book").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return workbook_parts(groups.select(F.concat(F.col("book").cast("string"), F.lit(".xlsx")).alias("path"), pack("rows").alias("content")))
+
+
+@query(f"SELECT book, row_no, c.i AS cell_no, CASE c.i WHEN 1 THEN 'A' || row_no WHEN 2 THEN 'B' || row_no ELSE '' END AS ref, written[c.i] AS value FROM ({_ORDER_CELLS}) o, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS i) c")
+def xlsx_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of workbooks of all orders, strings looked up by a join."""
+    return cells(_workbooks(spark, sf_dir)).select(F.substring_index("path", ".", 1).cast("bigint").alias("book"), F.col("row_no").cast("bigint").alias("row_no"), "cell_no", "ref", "value")
+
+
+@query(f"SELECT book, row_no, array_to_string(written, chr(9)) AS line FROM ({_ORDER_CELLS}) o")
+def xlsx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of these workbooks as lines."""
+    return sheet_lines(cells(_workbooks(spark, sf_dir))).select(F.substring_index("path", ".", 1).cast("bigint").alias("book"), F.col("row_no").cast("bigint").alias("row_no"), "line")
+
+
 @query("SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS images, doc_id % 4 > 0 AS has_images FROM documents")
 def vsdx_image_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<string>")
