@@ -50,14 +50,14 @@ PART_BYTES, ENTRY_BYTES, BATCH_BYTES = 64 << 20, 256 << 20, 8 << 20
 FILE_BYTES, FILE_ENTRIES = 1 << 30, 100_000
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     path = re.sub(r"^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), posixpath.abspath(path))
 
 
 def _found(path: str, kind: str | None) -> list[tuple[str, str, int]]:
     """Path, kind and size of each archive, in order of paths. Names that begin with a dot or an underscore are no data."""
-    store, top = _open(path)
+    store, top = store_of(path)
     prefix = path[: -len(top)] if path.endswith(top) else re.match(r"^[a-z0-9]+://", path)[0] if "://" in path and not path.startswith("file:") else ""
     info = store.get_file_info(top)
     if info.type == fs.FileType.NotFound:
@@ -72,8 +72,9 @@ def _found(path: str, kind: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
-def _file(path: str) -> io.BufferedReader:
-    store, place = _open(path)
+def opened(path: str) -> io.BufferedReader:
+    """A file of any store that ``pyarrow.fs`` knows, to be read anywhere."""
+    store, place = store_of(path)
     return io.BufferedReader(store.open_input_file(place), STEP)
 
 
@@ -101,7 +102,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         out = []
         for path, kind, size in _found(self.path, self.kind):
-            with _file(path) as f:
+            with opened(path) as f:
                 try:
                     if kind == "zip":
                         parts = by_position.zip_parts(f, size, self.part_bytes)
@@ -117,7 +118,7 @@ class ArchiveReader(DataSourceReader):
         """A damaged directory: what comes before the damage is a part, whose task tells the damage where it meets it."""
         if e.position is None:
             return [Part(path, kind, size, error=str(e))]
-        with _file(path) as f:
+        with opened(path) as f:
             try:
                 first, end, _ = by_position.zip_directory(f, size)
             except Damaged:
@@ -140,7 +141,7 @@ class ArchiveReader(DataSourceReader):
         if part.error:
             yield Member(None, None, None, None, part.error)
             return
-        with _file(part.archive) as f:
+        with opened(part.archive) as f:
             try:
                 if part.kind == "zip":
                     yield from by_position.zip_members(f, part.size, part.first, part.end, self.entry_bytes, self.content)
@@ -162,7 +163,7 @@ class RangeReader(DataSourceReader):
         return [Part(path, kind, size, start, start + self.part_bytes) for path, kind, size in found for start in range(0, size, self.part_bytes)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        with _file(part.archive) as f:
+        with opened(part.archive) as f:
             guess = by_position.tar_guess(f, part.first, min(part.end, part.size))
         if guess:
             yield _batch([(part.archive, part.first, *guess)], _RANGES)
@@ -188,7 +189,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.folder = f"_writing-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, top = _open(self.path)
+        store, top = store_of(self.path)
         store.create_dir(f"{top}/{self.folder}", recursive=True)
         context = TaskContext.get()
         names, out, sink, size, n = [], None, None, 0, 0
@@ -217,7 +218,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages) -> None:
-        store, top = _open(self.path)
+        store, top = store_of(self.path)
         store.create_dir(top, recursive=True)
         if self.overwrite:
             for i in store.get_file_info(fs.FileSelector(top)):
@@ -228,7 +229,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self._leave(store, top)
 
     def abort(self, messages) -> None:
-        self._leave(*_open(self.path))
+        self._leave(*store_of(self.path))
 
     def _leave(self, store, top: str) -> None:
         if store.get_file_info(f"{top}/{self.folder}").type == fs.FileType.Directory:
