@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import random
+import tracemalloc
 
 import pytest
 
@@ -75,7 +77,7 @@ def test_small_windows_and_members(window):
     block = op._HTTP.encode() + b"pay\r\n\r\nload"
     record = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 7\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:WRONG\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
     for data in (gzip.compress(record) * 3, gzip.compress(record * 3)):
-        rows = list(op.parse(op.unzipped(data, window), window=window))
+        rows = list(op.parse(op.unzipped(iter([data[:9], b"", data[9:]]), window), window=window))
         assert [r["payload"] for r in rows] == [b"pay\r\n\r\nload"] * 3 and rows[0]["error"] == "payload digest differs"
 
 
@@ -108,6 +110,59 @@ def test_damaged_archives_are_error_rows(spark, tmp_path):
     assert all(r.payload_digest == digest(bytes(r.payload)) for r in good)
 
 
+def member(k, size):
+    payload = random.Random(k).randbytes(size // 2).hex().encode()
+    return gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nX-Page-ID: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(payload), payload))
+
+
+@pytest.mark.parametrize("size", [20, 20_000])
+def test_damage_between_members_is_told(spark, tmp_path, size):
+    """Six records in six members; whatever is wrong, what comes before is read and an error row tells the rest."""
+    parts = [member(k, size) for k in range(6)]
+    bad_head, flipped = bytearray(parts[2]), bytearray(parts[2])
+    bad_head[:4], flipped[1] = b"\0\1\2\3", flipped[1] ^ 1
+    files = {"head": [*parts[:2], bad_head, *parts[3:]], "flip": [*parts[:2], flipped, *parts[3:]], "trailer": [*parts[:5], parts[5][:-4]], "cut": [*parts[:2], parts[2][:12]], "none": [b"no gzip at all"], "whole": parts}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(data))
+    (tmp_path / "plain.warc").write_bytes(b"".join(map(gzip.decompress, parts)))
+    (tmp_path / "short.warc").write_bytes(gzip.decompress(parts[0])[:-30])
+    names = {r.archive: r.name for r in spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("xxhash64(path) AS archive", "regexp_extract(path, '([a-z]+)[.]warc', 1) AS name").collect()}
+    good, errors = {n: [] for n in names.values()}, {n: 0 for n in names.values()}
+    for r in op.read(spark, str(tmp_path)).collect():
+        if r.error:
+            errors[names[r.archive]] += 1
+        else:
+            good[names[r.archive]].append(r.page_id)
+    assert {n: sorted(x) for n, x in good.items()} == {"head": [0, 1], "flip": [0, 1], "trailer": [0, 1, 2, 3, 4, 5], "cut": [0, 1], "none": [], "whole": [*range(6)], "plain": [*range(6)], "short": []}
+    assert errors == {n: int(n not in ("whole", "plain")) for n in names.values()}
+
+
+def test_a_payload_of_one_long_line_is_not_held():
+    size, peak = 64 << 20, 0
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % size
+    packed = gzip.compress(head + b"x" * size + b"\r\n\r\n", 1)
+    tracemalloc.start()
+    rows = list(op.parse(op.unzipped(packed[i : i + 65536] for i in range(0, len(packed), 65536)), with_payload=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r["chunk_bytes"] for r in rows) == size and rows[-1]["last"] and peak < 20 << 20
+
+
+def test_a_store_that_fails_is_no_damage(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.warc.gz").write_bytes(member(1, 20))
+    df = op.read(spark, str(tmp_path))
+    (tmp_path / "a.warc.gz").unlink()
+    with pytest.raises(Exception):
+        df.collect()
+
+
+def test_stores_that_arrow_does_not_know(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "_known", lambda path: False)
+    (tmp_path / "a.warc.gz").write_bytes(member(1, 20) + member(2, 20000)[:-9])
+    rows = op.read(spark, str(tmp_path)).collect()
+    assert [r.page_id for r in rows if not r.error] in ([1], [1, 2]) and sum(bool(r.error) for r in rows) == 1
+
+
 def test_empty_table(spark, tmp_path):
     op.write(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert op.read(spark, f"{tmp_path}/w").count() == 0

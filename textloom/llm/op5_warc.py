@@ -6,11 +6,12 @@ which a segment record and continuation records are made, one row each, so no bl
 but the page's own holds a whole payload. Rows are written by Spark's text writer with the record terminator as line
 separator: gzip archives in any store, one for each input partition, committed as Spark commits files.
 
-Reading: Spark's text reader decompresses archives as streams and hands on their lines, which are parsed in order: neither
-an archive nor a record is ever held. A row is a record identifier, a chunk number and a chunk of at most ``chunk_bytes``, with the
+Reading: Spark lists the archives (``.gz`` and ``.warc``), a task opens each by ``pyarrow.fs``, decompresses it window by window and parses it in
+order: neither an archive nor a record nor a line of a payload is ever held. (Archives in a store that pyarrow does not know come as
+rows of Spark's binary reader, one whole archive each.) A row is a record identifier, a chunk number and a chunk of at most ``chunk_bytes``, with the
 digest of the payload up to and with it; the last chunk's digest is that of the whole payload. A digest that
-differs from the declared one is reported in ``error``; an archive that is damaged or ends early gives what could be read and a row
-that has only ``archive`` (a hash of its path) and ``error``.
+differs from the declared one is reported in ``error``; an archive that is damaged anywhere, ends early or is none gives what could be read
+and a row that has only ``archive`` (a hash of its path) and ``error``. An error of the store is no damage: it fails the task, which runs again. A file of no bytes has no records.
 
 The group of equal payloads is only aggregated to its largest id. Responses of groups are broadcast up to
 ``BROADCAST_GROUPS`` rows; beyond it they are joined by digest, where adaptive execution splits a hot digest.
@@ -25,20 +26,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import archives
+
 from .common import cut, frugal, new_path, table
 
 CHUNK_BYTES = 1 << 20
 BROADCAST_GROUPS = 200_000
 WINDOW = 1 << 16
+#: Bytes read at once, and of a header line beyond which an archive is damaged.
+READ_BYTES, LONGEST_LINE = 1 << 18, 8 << 20
 DATE = "2025-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,20 +114,34 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int =
     records(pages, least_bytes, chunk_bytes).select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def unzipped(content: bytes, window: int = WINDOW) -> Iterator[bytes]:
-    """The bytes of a gzip archive of any number of members, window by window; damage raises ``zlib.error`` or ``EOFError``."""
-    data = memoryview(content)
-    at, unpack = 0, zlib.decompressobj(31)
-    while at < len(data) or unpack.unconsumed_tail:
-        some = unpack.unconsumed_tail or data[at : at + window]
-        at += 0 if unpack.unconsumed_tail else len(some)
-        if out := unpack.decompress(some, window):
-            yield out
-        if unpack.eof:
-            at -= len(unpack.unused_data)
-            unpack = zlib.decompressobj(31)
-    if out := unpack.flush():
-        yield out
+def unzipped(blocks: Iterator[bytes], window: int = WINDOW) -> Iterator[bytes]:
+    """The bytes of an archive, gzip of any number of members or plain, window by window.
+
+    Damage raises ``zlib.error``, ``EOFError`` or ``ValueError``.
+    """
+    first = next((b for b in blocks if b), b"")
+    blocks = chain([first], blocks)
+    if first.startswith(b"WARC/"):
+        yield from blocks
+        return
+    if not first.startswith(b"\x1f\x8b"):
+        raise ValueError("no gzip")
+    unpack = None
+    for data in blocks:
+        more = bool(data)
+        while more:
+            unpack = unpack or zlib.decompressobj(31)
+            out = unpack.decompress(data, window)
+            if out:
+                yield out
+            if unpack.eof:
+                data, unpack = unpack.unused_data, None
+                more = bool(data)
+            else:
+                data = unpack.unconsumed_tail
+                more = bool(data) or len(out) == window
+    if unpack is not None:
+        raise EOFError("cut off")
 
 
 class _Stream:
@@ -143,7 +162,11 @@ class _Stream:
         start = 0
         while (i := self.buffer.find(b"\r\n", start)) < 0:
             start = max(0, len(self.buffer) - 1)
+            if start > LONGEST_LINE:
+                raise ValueError("a header line without an end")
             if not self._more():
+                if self.buffer:
+                    raise EOFError("the archive ends inside a record")
                 return None
         out = bytes(self.buffer[:i])
         del self.buffer[: i + 2]
@@ -238,29 +261,38 @@ def read(spark: SparkSession, path: str, with_payload: bool = True, chunk_bytes:
     they are the declared ones of the payload that it refers to.
     """
 
-    def pieces(batches):
-        for b in batches:
-            lines, archives = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            ends = [*(np.flatnonzero(np.diff(archives)) + 1).tolist(), len(archives)]
-            for x, y in zip([0, *ends], ends, strict=False):
-                if y > x:
-                    yield int(archives[x]), b"\n".join(lines.slice(x, y - x).to_pylist()) + b"\n"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path)
+    streams = found.select("path").limit(1).collect()
+    by_path = not streams or _known(streams[0].path)
+
+    def blocks(place: str, content: bytes | None) -> Iterator[bytes]:
+        with io.BytesIO(content) if content is not None else archives.opened(place) as f:
+            while data := f.read(READ_BYTES):
+                yield data
 
     def run(batches):
-        for archive, some in groupby(pieces(batches), key=lambda x: x[0]):
-            rows, held = [], 0
-            for row in parse((part for _, part in some), with_payload, chunk_bytes=chunk_bytes):
-                rows.append(row | {"archive": archive})
-                held += len(row["payload"] or b"")
-                if len(rows) >= 1000 or held > 4 * CHUNK_BYTES:
+        for b in batches:
+            for place, archive, *content in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                rows, held = [], 0
+                for row in parse(unzipped(blocks(place, content[0] if content else None)), with_payload, chunk_bytes=chunk_bytes):
+                    rows.append(row | {"archive": archive})
+                    held += len(row["payload"] or b"")
+                    if len(rows) >= 1000 or held > 4 * CHUNK_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, _ROW)
+                        rows, held = [], 0
+                if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ROW)
 
-    # a stream that cannot be read on ends there, and its parser tells so
-    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.gz").text(path)
-    return lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("archive")).mapInArrow(frugal(run), _DDL)
+    names = found.select("path", F.xxhash64("path").alias("archive"), *([] if by_path else ["content"]))
+    return names.mapInArrow(frugal(run), _DDL)
+
+
+def _known(path: str) -> bool:
+    try:
+        archives.store_of(path)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
