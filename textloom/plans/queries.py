@@ -19,6 +19,7 @@ from textloom.sources import archives, shared
 
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
+from .sectors import chains
 from .walk import fold_offsets, walk
 from .workbooks import cells, sheet_lines, workbook_parts
 
@@ -449,6 +450,28 @@ def rtf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(runs("text")).alias("r")).select("doc_id", "r.*")
 
 
+#: Letters in a sector; sectors are placed by steps of one prime modulo another.
+SECTOR, STRIDE, PLACES = 64, 7919, 1_000_003
+_PLACE = f"(i * {STRIDE} + doc_id) % {PLACES}"
+
+
+@query(
+    f"""WITH RECURSIVE links AS MATERIALIZED (SELECT doc_id, {_PLACE} AS sector, CASE WHEN i + 1 < n THEN ((i + 1) * {STRIDE} + doc_id) % {PLACES} WHEN doc_id % 50 = 7 THEN doc_id % {PLACES} END AS next
+  FROM (SELECT doc_id, n, unnest(range(n)) AS i FROM (SELECT doc_id, greatest(1, (length(text) + {SECTOR - 1}) // {SECTOR}) AS n FROM documents))),
+walk AS (SELECT l.doc_id, l.sector AS first, CAST(0 AS BIGINT) AS position, l.sector, l.next FROM links l LEFT JOIN links b ON b.doc_id = l.doc_id AND b.next = l.sector WHERE b.doc_id IS NULL
+  UNION ALL SELECT w.doc_id, w.first, w.position + 1, l.sector, l.next FROM walk w JOIN links l ON l.doc_id = w.doc_id AND l.sector = w.next)
+SELECT doc_id, first, position, sector, CAST(NULL AS VARCHAR) AS error FROM walk
+UNION ALL SELECT DISTINCT doc_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'a chain of sectors runs in a circle' FROM links WHERE doc_id NOT IN (SELECT doc_id FROM walk)"""
+)
+def sector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a chain of sectors in scattered places; some run in a circle."""
+    n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / SECTOR)).cast("bigint")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    place = lambda i: (i * STRIDE + F.col("doc_id")) % PLACES
+    after = F.when(F.col("i") + 1 < F.col("n"), place(F.col("i") + 1)).when(F.col("doc_id") % 50 == 7, place(F.lit(0)))
+    return chains(rows.select(F.col("doc_id").alias("file"), place(F.col("i")).alias("sector"), after.alias("next"))).withColumnRenamed("file", "doc_id")
+
+
 # -- archives --------------------------------------------------------------------------------------------------------
 
 _MEMBERS = f"(SELECT CAST(doc_id // {GROUP} AS BIGINT) AS part, CASE WHEN doc_id % 2 = 0 THEN concat('d/', doc_id, '.txt') ELSE concat('d', doc_id % 3, '.', doc_id, '.txt') END AS name, text FROM documents)"
