@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import binary, filetypes, paths, textnorm
@@ -16,9 +16,11 @@ from textloom.operators import native, ooxml, rtf
 from textloom.operators.registry import Registry
 from textloom.operators.result import Result
 from textloom.sources import archives, shared
+from textloom.sources import files as sink
 
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
+from .layout import text_lines
 from .sectors import chains
 from .walk import fold_offsets, walk
 from .workbooks import cells, sheet_lines, workbook_parts
@@ -294,11 +296,15 @@ def part_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", paths.part_number(name, "sheet").alias("number"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(array_to_string(regexp_extract_all(replace(replace(text, '.', ')'), ',', '('), '\(([^)\n\r]+)\)', 1), ' '), '[\t\n\f\r ]+', ' ', 'g')) AS text FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM documents)")
+_SCRAPED = r"regexp_replace(array_to_string(regexp_extract_all(replace(replace(regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g'), '.', ')'), ',', '('), '\(([^)\n\r]+)\)', 1), ' '), '[\t\n\f\r ]+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_SCRAPED}, '^{textnorm.WHITE_SPACE}', ''), '{textnorm.WHITE_SPACE}$', '') AS text FROM documents")
 def pdf_regex_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    body = F.concat(F.lit("%PDF-1.4\n"), F.replace(F.replace(ascii_, F.lit("."), F.lit(")")), F.lit(","), F.lit("(")))
-    return _documents(spark, sf_dir, native.pdf_scrape(body.cast("binary")))
+    """Whole texts; what Latin-1 lacks is a question mark, since the scrape reads bytes as Latin-1."""
+    latin = F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?")
+    body = F.concat(F.lit("%PDF-1.4\n"), F.replace(F.replace(latin, F.lit("."), F.lit(")")), F.lit(","), F.lit("(")))
+    return _documents(spark, sf_dir, native.pdf_scrape(F.encode(body, "ISO-8859-1")))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -450,6 +456,28 @@ def rtf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(runs("text")).alias("r")).select("doc_id", "r.*")
 
 
+#: Lines of a page, and points of a letter and of a line.
+LINES, LETTER, LINE = 40, 6, 12
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i, array_to_string(list_filter(string_split(line, ' '), lambda x: x <> ''), ' ') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))
+SELECT doc_id, CAST(i // {LINES} AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, i // {LINES} ORDER BY i) AS BIGINT) AS line, text FROM l WHERE text <> ''"""
+)
+def positioned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as fragments of pages, drawn in a scattered order and a little off their lines."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rows = lines.select("doc_id", "i", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    # letters and spaces in front of a word
+    before = Window.partitionBy("doc_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    x, shake = F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)) * float(LETTER), F.pmod(F.xxhash64("doc_id", "i", "k"), F.lit(5)) - 2
+    fragments = rows.select(
+        "doc_id", F.floor(F.col("i") / LINES).alias("page"), x.alias("x"), (800.0 - F.col("i") % LINES * LINE + shake * 0.1).alias("y"), (F.char_length("text") * float(LETTER)).alias("width"), F.lit(10.0).alias("height"), "text",
+    )
+    found = text_lines(fragments.repartition(F.xxhash64("text", "x")), "doc_id")
+    return found.select("doc_id", "page", F.col("line").cast("bigint").alias("line"), "text")
+
+
 #: Letters in a sector; sectors are placed by steps of one prime modulo another.
 SECTOR, STRIDE, PLACES = 64, 7919, 1_000_003
 _PLACE = f"(i * {STRIDE} + doc_id) % {PLACES}"
@@ -577,3 +605,17 @@ def extracted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_documents(files).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+
+
+@query(
+    f"""WITH d AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS b FROM documents), p AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(octet_length(encode({_HTML}))) AS BIGINT) AS b FROM pages)
+SELECT 'files' AS metric, d.n * 2 + p.n AS value FROM d, p UNION ALL SELECT 'bytes', d.b + p.b FROM d, p UNION ALL SELECT 'errors', d.n FROM d UNION ALL SELECT 'files_text', d.n + p.n FROM d, p UNION ALL SELECT 'files_document', d.n FROM d UNION ALL SELECT 'errors_document', d.n FROM d UNION ALL SELECT 'bytes_text', d.b + p.b FROM d, p"""
+)
+def sink_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are observed while documents, pages and damaged documents are written as text."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    named = lambda t, key, ext, content: t.select(F.concat(F.col(key).cast("string"), F.lit(ext)).alias("path"), content.cast("binary").alias("content"))
+    files = named(docs, "doc_id", ".txt", F.col("text")).unionByName(named(docs, "doc_id", ".docx", F.col("text"))).unionByName(named(pages, "page_id", ".html", F.col("html")))
+    seen = sink.write(extract_documents(files), shared.new_path(spark, "sink"))
+    wanted = ("files", "bytes", "errors", "files_text", "files_document", "errors_document", "bytes_text")
+    return spark.createDataFrame([(k, int(seen[k])) for k in wanted], "metric string, value bigint")
