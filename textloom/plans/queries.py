@@ -489,7 +489,7 @@ _PLACE = f"(i * {STRIDE} + doc_id) % {PLACES}"
 walk AS (SELECT l.doc_id, l.sector AS first, CAST(0 AS BIGINT) AS position, l.sector, l.next FROM links l LEFT JOIN links b ON b.doc_id = l.doc_id AND b.next = l.sector WHERE b.doc_id IS NULL
   UNION ALL SELECT w.doc_id, w.first, w.position + 1, l.sector, l.next FROM walk w JOIN links l ON l.doc_id = w.doc_id AND l.sector = w.next)
 SELECT doc_id, first, position, sector, CAST(NULL AS VARCHAR) AS error FROM walk
-UNION ALL SELECT DISTINCT doc_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'a chain of sectors runs in a circle' FROM links WHERE doc_id NOT IN (SELECT doc_id FROM walk)"""
+UNION ALL SELECT DISTINCT doc_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), 'a chain of sectors runs in a circle' FROM links WHERE doc_id NOT IN (SELECT doc_id FROM walk)"""
 )
 def sector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a chain of sectors in scattered places; some run in a circle."""
@@ -497,7 +497,8 @@ def sector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     place = lambda i: (i * STRIDE + F.col("doc_id")) % PLACES
     after = F.when(F.col("i") + 1 < F.col("n"), place(F.col("i") + 1)).when(F.col("doc_id") % 50 == 7, place(F.lit(0)))
-    return chains(rows.select(F.col("doc_id").alias("file"), place(F.col("i")).alias("sector"), after.alias("next"))).withColumnRenamed("file", "doc_id")
+    found = chains(rows.select(F.col("doc_id").alias("file"), place(F.col("i")).alias("sector"), after.alias("next")))
+    return found.select(F.col("file").alias("doc_id"), *(F.coalesce(c, F.lit(-1).cast("bigint")).alias(c) for c in ("first", "position", "sector")), "error")
 
 
 # -- archives --------------------------------------------------------------------------------------------------------
