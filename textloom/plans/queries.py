@@ -21,6 +21,7 @@ from textloom.sources import files as sink
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
 from .layout import text_lines
+from .records import biff12, let, presentation_text, records, text_atoms
 from .sectors import chains
 from .walk import fold_offsets, walk
 from .workbooks import cells, sheet_lines, workbook_parts
@@ -501,6 +502,71 @@ def sector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("file").alias("doc_id"), *(F.coalesce(c, F.lit(-1).cast("bigint")).alias(c) for c in ("first", "position", "sector")), "error")
 
 
+def _little(number: Column, size: int) -> Column:
+    """A number as so many bytes, the least first."""
+    digits = F.lpad(F.hex(number.cast("bigint")), 2 * size, "0")
+    return F.unhex(let(digits, lambda d: F.concat(*(F.substring(d, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))))
+
+
+def _record(kind: Column, data: Column, version: int = 0) -> Column:
+    return let(data, lambda d: F.concat(_little(F.lit(version), 2), _little(kind, 2), _little(F.octet_length(d), 4), d))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as presentation streams: a slide for each line, with its text and a record of no text; some have lost their last bytes."""
+
+    def slide(line: Column, i: Column) -> Column:
+        return _record(F.lit(0x0FF0), F.concat(_record(F.when(i % 3 == 2, 0x0FBA).otherwise(0x0FA0), F.encode(line, "UTF-16LE")), _record(F.lit(0x0F9F), F.lit(b"\1\2"))), 15)
+
+    # joined as digits: a fold over bytes would copy what it has for each line
+    stream = _record(F.lit(0x03E8), F.concat(F.unhex(F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.hex(slide(line, i))), "")), _record(F.lit(1), F.lit(b"12345678"))), 15)
+    return _table(spark, sf_dir, "documents").select("doc_id", stream.alias("content")).select("doc_id", F.expr("substring(content, 1, octet_length(content) - if(doc_id % 50 = 7, 3, 0))").alias("content"))
+
+
+_SLIDES = r"""(SELECT doc_id, i, v, 2 * (length(v) + length(regexp_replace(v, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) AS bytes
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+
+
+@query(
+    f"""SELECT doc_id, 3 * i + 2 AS position, CAST(CASE WHEN i % 3 = 2 THEN 4026 ELSE 4000 END AS BIGINT) AS kind, CAST(2 AS BIGINT) AS depth,
+  CAST(24 + coalesce(sum(bytes + 26) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(bytes AS BIGINT) AS length, v AS text, CAST(NULL AS VARCHAR) AS error FROM {_SLIDES}
+UNION ALL SELECT doc_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), '', 'a record passes the end of what holds it' FROM documents WHERE doc_id % 50 = 7 AND text IS NOT NULL"""
+)
+def record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text records of presentation streams of all documents; damage at the end is a row."""
+    found = text_atoms(_streams(spark, sf_dir), "doc_id")
+    return found.select("doc_id", *(F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")).alias(c) for c in ("position", "kind", "depth", "offset", "length")), F.coalesce("text", F.lit("")).alias("text"), "error")
+
+
+@query(f"SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(replace(replace(x, chr(13), chr(10)), chr(11), chr(10)), '^{textnorm.WHITE_SPACE}', ''), '{textnorm.WHITE_SPACE}$', '')), lambda x: x <> ''), lambda x: '=== 文本内容 ===' || chr(10) || x || chr(10) || chr(10)), ''), CASE WHEN text IS NOT NULL THEN '' END) AS text FROM documents")
+def presentation_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each of these streams as presentations give it."""
+    return _streams(spark, sf_dir).select("doc_id", presentation_text(F.col("content")).alias("text"))
+
+
+_SIZES = "CASE WHEN bytes < 128 THEN 1 WHEN bytes < 16384 THEN 2 WHEN bytes < 2097152 THEN 3 ELSE 4 END"
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, i, v, bytes, CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END + {_SIZES} AS head FROM (SELECT doc_id, i, v, octet_length(encode(v)) AS bytes FROM {_SLIDES}))
+SELECT doc_id, CAST(i AS BIGINT) AS position, CAST(CASE WHEN i % 2 = 0 THEN 19 ELSE 300 + i % 1000 END AS BIGINT) AS kind,
+  CAST(sum(bytes + head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - bytes AS BIGINT) AS "offset", CAST(bytes AS BIGINT) AS length, sha256(v) AS raw_sha256 FROM r"""
+)
+def record_stream_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose headers are of one to six bytes, a record for each line of all documents."""
+
+    def written(line: Column, i: Column) -> Column:
+        n, kind = F.octet_length(line), 300 + i % 1000
+        byte = lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")
+        # seven bits a byte; all but the last have the high bit
+        size = F.concat(*(F.when(n >= 1 << 7 * k, byte(F.shiftright(n, 7 * k) % 128 + F.when(n >= 1 << 7 * (k + 1), 128).otherwise(0))).otherwise(F.lit("00" if not k else "")) for k in range(4)))
+        return F.concat(F.when(i % 2 == 0, F.lit("13")).otherwise(F.concat(byte(kind % 128 + 128), byte(F.shiftright(kind, 7)))), size, F.hex(F.encode(line, "UTF-8")))
+
+    content = F.unhex(F.array_join(F.transform(F.split("text", "\n"), written), ""))
+    found = records(_table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "doc_id", layout=biff12, payload=True)
+    return found.select("doc_id", "position", "kind", "offset", "length", F.sha2("raw", 256).alias("raw_sha256"))
+
+
 # -- archives --------------------------------------------------------------------------------------------------------
 
 _MEMBERS = f"(SELECT CAST(doc_id // {GROUP} AS BIGINT) AS part, CASE WHEN doc_id % 2 = 0 THEN concat('d/', doc_id, '.txt') ELSE concat('d', doc_id % 3, '.', doc_id, '.txt') END AS name, text FROM documents)"
