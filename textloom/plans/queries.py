@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import binary, filetypes, paths, textnorm
+from textloom.functions import binary, charset, filetypes, paths, textnorm
 from textloom.operators import native, ooxml, rtf
 from textloom.operators.registry import Registry
 from textloom.operators.result import Result
@@ -339,6 +339,32 @@ def own_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_documents(files, registry=own).select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "text")
 
 
+#: Letters, and frequent signs of few strokes that stand for them; these have codes in all five encodings.
+_LETTERS, _SIGNS = "eaistnorluchdmgpfbvy", "一人大上不中了小日月水手木火心文天子山天"
+_SIGNED = f"translate(regexp_replace(text, '[^\\x{{0}}-\\x{{7F}}]', '?', 'g'), '{_LETTERS}', '{_SIGNS}')"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 > 2 AND NOT regexp_matches(text, '[{_LETTERS}]') THEN 'utf-8' ELSE {list(charset.ENCODINGS)!r}[CAST(doc_id % 5 + 1 AS BIGINT)] END AS encoding, {_SIGNED} AS text FROM documents WHERE text <> ''")
+def charset_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of signs and marks, written in five encodings by doc_id without a mark, told apart and read."""
+
+    @F.pandas_udf("binary")
+    def encoded(texts: pd.Series, ways: pd.Series) -> pd.Series:
+        return pd.Series([t.encode(charset.ENCODINGS[w]) for t, w in zip(texts, ways, strict=True)], dtype=object)
+
+    signed = F.translate(F.regexp_replace("text", r"[^\x{0}-\x{7F}]", "?"), _LETTERS, _SIGNS)
+    rows = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", encoded(signed, F.col("doc_id") % 5).alias("content"))
+    found = rows.select("doc_id", "content", charset.detect(F.col("content"))["encoding"].alias("encoding"))
+    return found.select("doc_id", "encoding", charset.decode(F.col("content"), F.col("encoding")).alias("text"))
+
+
+@query("SELECT doc_id, replace(text, 'e', chr(65533)) || chr(65533) AS text FROM documents")
+def utf16_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 in both orders, with half a surrogate for each e and half a unit at the end."""
+    half = lambda order, mark: F.unhex(F.concat(F.lit(mark), F.array_join(F.transform(F.split("text", "e"), lambda x: F.hex(F.encode(x, f"UTF-16{order}"))), "D83D" if order == "BE" else "3DD8"), F.lit("D8")))
+    return _documents(spark, sf_dir, binary.utf16_text(F.when(F.col("doc_id") % 2 == 0, half("LE", "FFFE")).otherwise(half("BE", "FEFF"))))
+
+
 # -- documents, written and read again ------------------------------------------------------------------------------
 
 
