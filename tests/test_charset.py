@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 from textloom.functions import binary
-from textloom.functions.charset import ENCODINGS, decode, detect, py_decode, py_detect
+from textloom.functions.charset import ENCODINGS, detect, py_decode, py_detect, with_text
 
 SIMPLIFIED = "中国人民在这个城市里生活了很多年，他们知道什么时候下雨，也知道怎样把粮食收到家里。今天的天气不错。"
 TRADITIONAL = "中國人民在這個城市裡生活了很多年，他們知道什麼時候下雨，也知道怎樣把糧食收到家裡。今天的天氣不錯。"
@@ -32,16 +32,15 @@ def test_expressions_equal_python(spark):
         data += [bytes(broken), c[1:], c[:-1]]
     data += [rng.randbytes(rng.randrange(1, 200)) for _ in range(200)]
     df = spark.createDataFrame([(i, d, "x") for i, d in enumerate(data)] + [(-1, None, "y")], "id int, content binary, encoding string").repartition(3)
-    found = df.select("id", "content", detect(F.col("content")).alias("d"))
-    got = {r.id: r for r in found.select("id", "d", decode(F.col("content"), F.col("d.encoding")).alias("text")).collect()}
-    assert got[-1].d is None and got[-1].text is None
+    got = {r.id: r for r in with_text(df).collect()}
+    assert (got[-1].encoding, got[-1].confidence, got[-1].text) == (None, None, None)
     for i, d in enumerate(data):
         name, confidence = py_detect(d)
-        assert got[i].d.encoding == name and abs(got[i].d.confidence - confidence) < 2e-6, d
+        assert got[i].encoding == name and abs(got[i].confidence - confidence) < 2e-6, d
         if i < len(cases()):
             assert got[i].text == py_decode(d, name), d
-    assert {r.d.encoding for r in got.values() if r.d} == set(ENCODINGS)
-    assert "Python" not in found._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+    assert {r.encoding for r in got.values()} == {*ENCODINGS, None}
+    assert "Python" not in df.select(detect(F.col("content")))._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
 
 
 def mended(data: bytes, order: str) -> str:

@@ -3,7 +3,7 @@
 A byte order mark decides. Otherwise each encoding is scored by how much of the text is in the blocks that it uses most: pairs of
 bytes are read from the left as the encoding would, and those of frequent blocks count fully, other valid ones in part and bytes that fit in no
 pair against it. The confidence is the best score less half of the next one. All is done by linear patterns on the bytes as Latin-1, as expressions
-(``detect``) and in Python (``py_detect``), with equal results. Null gives null; empty and plain ASCII are utf-8. Texts of very few letters may be valid
+(``detect``) and in Python (``py_detect``), with equal results. Null gives nulls; empty and plain ASCII are utf-8. Texts of very few letters may be valid
 in several encodings; of equal scores the first in the order above wins.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,8 +25,9 @@ _PAIRS = {
 }
 #: Units of UTF-16 that texts are made of, as (low byte, high byte): Latin, Greek and Cyrillic, punctuation, signs of East Asia, Han, wide forms.
 _UNITS = ((r"[\t\n\r\x20-\x7E\xA0-\xFF]", r"\x00"), (r"[\x00-\xFF]", r"[\x01\x03\x04]"), (r"[\x10-\x3A]", r"\x20"), (r"[\x00-\x1F\x41-\xFF]", r"\x30"), (r"[\x00-\xFF]", r"[\x4E-\x9F\xAC-\xD7]"), (r"[\x01-\x5E]", r"\xFF"))
-_LITTLE, _BIG = "|".join(low + high for low, high in _UNITS), "|".join(high + low for low, high in _UNITS)
-_LITTLE_LATIN, _BIG_LATIN = _UNITS[0][0] + _UNITS[0][1], _UNITS[0][1] + _UNITS[0][0]
+#: Runs of one block at a time, so that matches are few; possessive ones of fixed length use no stack.
+_LITTLE, _BIG = "|".join(f"(?:{low}{high})++" for low, high in _UNITS), "|".join(f"(?:{high}{low})++" for low, high in _UNITS)
+_LITTLE_LATIN, _BIG_LATIN = _LITTLE.split("|")[0], _BIG.split("|")[0]
 ENCODINGS = ("utf-8", "utf-16le", "utf-16be", "gbk", "big5")
 #: What a valid pair of a rare block is worth; a text in units, where ASCII letters in pairs may look like Han; and units that are not Latin,
 #: since Latin ones look like Han in the other order.
@@ -47,7 +48,7 @@ def detect(content: Column) -> Column:
     zeros = (size - _rest(latin, r"\x00+")) / size
 
     def pairs(frequent: str, valid: str) -> Column:
-        often, any_, lost = _rest(latin, f"({frequent})|{valid}|.", "$1"), _rest(latin, f"({valid})|.", "$1"), _rest(latin, rf"[\x00-\x7F]|{valid}")
+        often, any_, lost = _rest(latin, rf"[\x00-\x7F]++|((?:{frequent})++)|{valid}|.", "$1"), _rest(latin, rf"[\x00-\x7F]++|((?:{valid})++)|.", "$1"), _rest(latin, rf"[\x00-\x7F]++|(?:{valid})++")
         return F.when(high > 0, F.greatest(F.lit(0.0), (often + (any_ - often) * RARE - lost) / (high + (any_ - (high - lost))) - 2 * zeros)).otherwise(0.0)
 
     def units(pattern: str, letters: str) -> Column:
@@ -64,7 +65,8 @@ def detect(content: Column) -> Column:
 
     scored = F.element_at(F.transform(F.array(F.sort_array(scores, asc=False)), best), 1)
     sure = F.when(size == 0, told("utf-8", 1.0)).when(F.startswith(mark, F.lit("EFBBBF")), told("utf-8", 1.0)).when(F.startswith(mark, F.lit("FFFE")), told("utf-16le", 1.0)).when(F.startswith(mark, F.lit("FEFF")), told("utf-16be", 1.0))
-    return F.when(content.isNotNull(), sure.otherwise(scored))
+    none = F.struct(F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("confidence"))
+    return F.when(content.isNull(), none).otherwise(sure.otherwise(scored))
 
 
 def py_detect(data: bytes) -> tuple[str, float]:
@@ -84,7 +86,7 @@ def py_detect(data: bytes) -> tuple[str, float]:
     for pattern, letters in ((_LITTLE, _LITTLE_LATIN), (_BIG, _BIG_LATIN)):
         scores.append((rest(f"({pattern})|..", r"\1") * NOT_LATIN + rest(f"({letters})|..", r"\1") * (1 - NOT_LATIN)) / size * UNITS if size % 2 == 0 else 0.0)
     for frequent, valid in _PAIRS.values():
-        often, any_, lost = rest(f"({frequent})|{valid}|.", r"\1"), rest(f"({valid})|.", r"\1"), rest(rf"[\x00-\x7F]|{valid}")
+        often, any_, lost = rest(rf"[\x00-\x7F]++|((?:{frequent})++)|{valid}|.", r"\1"), rest(rf"[\x00-\x7F]++|((?:{valid})++)|.", r"\1"), rest(rf"[\x00-\x7F]++|(?:{valid})++")
         scores.append(max(0.0, (often + (any_ - often) * RARE - lost) / (high + (any_ - (high - lost))) - 2 * zeros) if high else 0.0)
     ranked = sorted(range(5), key=lambda i: (-scores[i], i))
     return ENCODINGS[ranked[0]] if scores[ranked[0]] > 0 else "utf-8", round(scores[ranked[0]] - scores[ranked[1]] / 2, 6)
@@ -107,3 +109,11 @@ def decode(content: Column, encoding: Column) -> Column:
     unmarked = lambda mark, n: F.when(marked(mark), F.substring(content, F.lit(n + 1), F.octet_length(content))).otherwise(content)
     native = F.when(encoding == "utf-16le", binary.utf16(unmarked("FFFE", 2))).when(encoding == "utf-16be", binary.utf16(unmarked("FEFF", 2), big=True)).when(encoding == "utf-8", F.make_valid_utf8(unmarked("EFBBBF", 3).cast("string")))
     return F.coalesce(native, _double_byte(F.when(double, content), F.when(double, encoding)))
+
+
+def with_text(rows: DataFrame, content: str = "content") -> DataFrame:
+    """``rows`` with ``encoding``, ``confidence`` and ``text`` in place of columns of these names."""
+    bare = rows.drop(*({"encoding", "confidence", "text"} - {content}))
+    # a generator, since a projection would be merged with those that use it, and detection done for each use
+    found = bare.select("*", F.inline(F.array(detect(F.col(content)))))
+    return found.withColumn("text", decode(F.col(content), F.col("encoding")))

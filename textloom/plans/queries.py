@@ -354,8 +354,7 @@ def charset_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     signed = F.translate(F.regexp_replace("text", r"[^\x{0}-\x{7F}]", "?"), _LETTERS, _SIGNS)
     rows = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", encoded(signed, F.col("doc_id") % 5).alias("content"))
-    found = rows.select("doc_id", "content", charset.detect(F.col("content"))["encoding"].alias("encoding"))
-    return found.select("doc_id", "encoding", charset.decode(F.col("content"), F.col("encoding")).alias("text"))
+    return charset.with_text(rows).select("doc_id", "encoding", "text")
 
 
 @query("SELECT doc_id, replace(text, 'e', chr(65533)) || chr(65533) AS text FROM documents")
