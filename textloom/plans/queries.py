@@ -17,6 +17,8 @@ from textloom.operators.registry import Registry
 from textloom.operators.result import Result
 from textloom.sources import archives, shared
 from textloom.sources import files as sink
+from textloom.sources.versions import VERSIONS
+from textloom.streaming import changed
 
 from . import packers
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
@@ -711,3 +713,35 @@ def sink_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = sink.write(extract_documents(files), shared.new_path(spark, "sink"))
     wanted = ("files", "bytes", "errors", "files_text", "files_document", "errors_document", "bytes_text")
     return spark.createDataFrame([(k, int(seen[k])) for k in wanted], "metric string, value bigint")
+
+
+# -- files that change -------------------------------------------------------------------------------------------------
+
+#: Seconds between the versions of a file.
+AGE = 1000
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, 0 AS g, text FROM documents UNION ALL SELECT doc_id, 1, concat('1', text) FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 2, concat('2', text) FROM documents WHERE doc_id % 5 = 1)
+SELECT doc_id, CAST({AGE} * (g + 1) AS BIGINT) AS seconds, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS version, g = max(g) OVER (PARTITION BY doc_id) AS newest, sha256(coalesce(text, '')) AS text_sha256 FROM v"""
+)
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of which some change twice: three listings, the versions that are new in each, and their texts.
+
+    Listings repeat what has not changed, in rows and in listings, as the slack of the source does.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    path, length = F.col("doc_id").cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    last = F.when(F.col("g") == 2, F.when(F.col("doc_id") % 5 == 1, 2).when(F.col("doc_id") % 3 != 0, 1).otherwise(0)).when((F.col("g") == 1) & (F.col("doc_id") % 3 == 0), 0).otherwise(F.col("g"))
+    folder = shared.new_path(spark, "listings")
+    for g in range(3):
+        listing = docs.select(path.alias("path"), "doc_id", F.lit(g).alias("g"), length.alias("length"))
+        listing.select("path", F.timestamp_seconds(AGE * (last + 1)).alias("modificationTime"), "length").write.mode("append").parquet(folder)
+    own = changed.keyed_session(spark)
+    seen = own.readStream.schema(VERSIONS).parquet(folder)
+    out = shared.new_path(spark, "versions")
+    changed.newest_versions(seen).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared.new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(changed.NEWEST).parquet(out)
+    found = found.select(F.col("path").cast("bigint").alias("doc_id"), F.unix_seconds("modificationTime").alias("seconds"), "version", (F.col("version") == F.max("version").over(Window.partitionBy("path"))).alias("newest"))
+    text = F.concat(F.when(F.col("seconds") == AGE, "").otherwise((F.col("seconds") / AGE - 1).cast("int").cast("string")), F.col("text"))
+    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "seconds", "version", "newest", F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256"))
