@@ -20,7 +20,7 @@ from textloom.sources import files as sink
 from textloom.sources.versions import VERSIONS
 from textloom.streaming import changed
 
-from . import packers
+from . import packers, tablefunctions
 from .extract import archive_entries, extract_documents, extract_text, fold_entries
 from .layout import text_lines
 from .records import biff12, let, presentation_text, records, text_atoms
@@ -745,3 +745,32 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select(F.col("path").cast("bigint").alias("doc_id"), F.unix_seconds("modificationTime").alias("seconds"), "version", (F.col("version") == F.max("version").over(Window.partitionBy("path"))).alias("newest"))
     text = F.concat(F.when(F.col("seconds") == AGE, "").otherwise((F.col("seconds") / AGE - 1).cast("int").cast("string")), F.col("text"))
     return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "seconds", "version", "newest", F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256"))
+
+
+# -- table functions ---------------------------------------------------------------------------------------------------
+
+#: Bytes of a part of a file: small, so that texts have several and letters are cut.
+PIECE = 1000
+
+
+@query(f"SELECT doc_id, source, coalesce(text, '') AS text, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS size, CAST(greatest(1, ceil(octet_length(encode(text)) / {PIECE})) AS BIGINT) AS parts, 'text' AS method, CASE WHEN text IS NULL THEN 'no content' END AS error FROM documents")
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files in parts, joined and read by a table function whose columns follow its argument."""
+    tablefunctions.register(spark)
+    data = _table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("whole"))
+    part = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("whole") / PIECE).cast("int") - 1)))
+    parts = data.withColumn("part", part).withColumn("content", F.expr(f"substring(whole, part * {PIECE} + 1, {PIECE})")).drop("whole")
+    return spark.sql("SELECT * FROM whole_documents(TABLE(SELECT * FROM {parts}) PARTITION BY path ORDER BY part, columns => 'doc_id, source, text, size, parts, method, error')", parts=parts)
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS line, CAST(length(v) AS INTEGER) AS n_chars, length(v) % 2 = 0 AS even, nullif(v, '') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
+def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as delimited text, a record for each line, read as typed columns through LATERAL."""
+    tablefunctions.register(spark)
+
+    def record(line: Column, i: Column) -> Column:
+        return F.concat(F.char_length(line).cast("string"), F.lit(";"), (F.char_length(line) % 2 == 0).cast("string"), F.lit(';"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('";'), i.cast("string"))
+
+    content = F.concat(F.lit("n_chars;even;text;line\r\n"), F.array_join(F.transform(F.split("text", "\n"), record), "\r\n"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return spark.sql("SELECT f.doc_id, d.* FROM {files} f, LATERAL delimited(f.content, columns => 'line bigint, n_chars int, even boolean, text string', separator => ';') d", files=files)
