@@ -72,3 +72,36 @@ def test_long_texts_are_cut_at_words(monkeypatch):
     got = next(iter(op._hashed([text])))
     assert all((x == y).all() for x, y in zip(want, got, strict=True))
     assert [len(h) for _, _, h in op._hashed([b"", b"a", b"  ", text, b"b c"])] == [0, 1, 0, 250, 2]
+
+
+def test_windows_of_many_texts_move_as_one_alone_would(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices("abcde", k=n)).encode()
+    items, texts = [(str(i), text(rng.choice([1, 2, 3, 7]))) for i in range(6)], [text(rng.randrange(40)) for _ in range(30)] + [b"", text(700)]
+    matcher = op.WuManber(items, 4)
+    want = [matcher.find(t.split()) for t in texts]
+    for span in (1, 5, 256):  # how many words a window moves in changes no result
+        monkeypatch.setattr(op, "SPAN", span)
+        assert [r[1:] for r in op._searched(matcher, texts)] == want
+    for g in matcher.groups:
+        words = next(op._groups([text(300)]))
+        hashes, at, out = words[3], g.m - 1, []
+        while at < 300:  # a window alone
+            step = int(g.shift[g._addresses(hashes, np.array([at]))][0])
+            out += [] if step else [at]
+            at += max(1, step)
+        assert set(g.candidates(hashes, g.ends(hashes, words[4]))[0]) == set(g.candidates(hashes, np.array(out, np.int64))[0])
+
+
+def test_a_bucket_is_selected_by_the_suffix_and_narrowed_by_what_comes_before_it():
+    middle = [b"m%d" % i for i in range(500)]
+    matcher = op.WuManber([(str(i), b"first " + w + b" the same end") for i, w in enumerate(middle)], 5)
+    (g,) = matcher.groups
+    ends = g._addresses(matcher.hashes, g.at + 4)
+    assert len(set(ends.tolist())) == 1 and int(g.first[ends[0] + 1] - g.first[ends[0]]) == 500  # one bucket
+    for i in (0, 250, 499):
+        assert matcher.find(b"x first".split() + [middle[i]] + b"the same end y".split()) == ([(1, 6)], {str(i)})
+    assert matcher.find(b"first other the same end".split()) == ([], set())
+    assert matcher.find([]) == ([], set()) and list(op._searched(matcher, [None, b"", b"?"])) == [(0, [], set())] * 3

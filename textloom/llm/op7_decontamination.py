@@ -2,11 +2,12 @@
 
 The alphabet is words and a block is two of them. For each pattern length m a shift table, addressed by the hash of
 a block, tells how far a window may be moved when that block stands at its end (m - 1 for blocks in no pattern), so that nearly
-every position of a clean document is skipped. Blocks that end a pattern have shift 0: the window there is looked for
-among the patterns of its bucket, which are ordered by the hash of their suffix and what comes before it, so the time does not
-depend on the size of a bucket; what is found is compared word by word.
+every position of a clean document is skipped: many windows of many documents move at once, and only the blocks at their ends are hashed.
+Blocks that end a pattern have shift 0: the hash of such a suffix block selects the bucket of the patterns that end in it. Within a bucket patterns
+are ordered by the hash of what comes before the suffix, by which candidates are found in time that hardly depends on the
+bucket's size; they are compared with the text word by word.
 
-All tables are arrays: some 30 bytes a word of the benchmark. A benchmark beyond ``MAX_PATTERN_BYTES`` is searched part by part over
+All tables are arrays: some 40 bytes a word of the benchmark. A benchmark beyond ``MAX_PATTERN_BYTES`` is searched part by part over
 stored rows; the driver and each worker hold one part at a time, and parts only store what they hit.
 
 Defined cases: a null text has no words; an item with fewer words than the window is one shorter window, an
@@ -33,6 +34,8 @@ WINDOW = 13
 #: Benchmark text that one table of patterns may hold; a larger benchmark is searched part by part.
 MAX_PATTERN_BYTES = 8 << 20
 MIN_SHARE_INVERSE = 20
+#: Words of a text in which one window moves.
+SPAN = 256
 
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
@@ -45,17 +48,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Starts, ends and hashes of the words of each text, which has no separators but spaces; many short ones at a time."""
+#: Words of a text, of many texts at once: the bytes, starts, ends and hashes of words, and the words at which texts begin and the last ends.
+_Words = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _groups(texts: list[bytes]) -> Iterator[_Words]:
+    """The words of texts that have no separators but spaces; many short texts or a long one at a time."""
     group, size = [], 0
 
     def flush():
         if group:
-            starts, ends, hashes = _words(b" ".join(group))
-            bounds = np.cumsum([0, *(len(g) + 1 for g in group)])
-            cuts = np.searchsorted(starts, bounds)
-            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                yield starts[x:y] - bounds[k], ends[x:y] - bounds[k], hashes[x:y]
+            text = b" ".join(group)
+            starts, ends, hashes = _words(text)
+            yield text, starts, ends, hashes, np.searchsorted(starts, np.cumsum([0, *(len(g) + 1 for g in group)]))
             group.clear()
 
     for t in texts:
@@ -68,13 +73,21 @@ def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
                 starts, ends, hashes = _words(piece)
                 found.append((starts + at, ends + at, hashes))
                 at += len(piece)
-            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield t, starts, ends, hashes, np.array([0, len(starts)])
             continue
         group.append(t)
         size += len(t)
     yield from flush()
 
 
+def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, ends and hashes of the words of each text; places are those in its group."""
+    for _, starts, ends, hashes, cuts in _groups(texts):
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            yield starts[x:y], ends[x:y], hashes[x:y]
+
+
 def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(text, np.uint8)
     starts, hashes = shingles.word_hashes(data)
@@ -82,11 +95,9 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1, hashes
 
 
-def _blocks(hashes: np.ndarray, block: int) -> np.ndarray:
-    """For each word the hash of the block that it ends."""
-    if block == 1:
-        return hashes
-    return shingles.mix(np.concatenate((hashes[:1] * 0, hashes[:-1])) * np.uint64(3) + hashes)
+def _blocks(hashes: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
+    """The hashes of the blocks that end at some words."""
+    return hashes[at] if block == 1 else shingles.mix(hashes[at - 1] * np.uint64(3) + hashes[at])
 
 
 class _Group:
@@ -94,37 +105,63 @@ class _Group:
 
     def __init__(self, m: int, at: np.ndarray, item: np.ndarray, hashes: np.ndarray):
         self.m, self.block = m, min(2, m)
-        blocks = _blocks(hashes, self.block)
         bits = max(8, (4 * len(at)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.shift = np.full(1 << bits, m - self.block + 1, np.uint8)
         for j in range(self.block, m + 1):  # ends of blocks, falling shifts
-            self.shift[(blocks[at + j - 1] & self.mask).astype(np.int64)] = m - j
-        keys = self.windows(hashes, at)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.item = keys[order], at[order].astype(np.int32), item[order].astype(np.int32)
+            self.shift[self._addresses(hashes, at + j - 1)] = m - j
+        buckets, before = self._addresses(hashes, at + m - 1), self._before(hashes, at)
+        order = np.lexsort((before, buckets))
+        self.before, self.at, self.item = before[order], at[order].astype(np.int32), item[order].astype(np.int32)
+        self.first = np.zeros((1 << bits) + 1, np.int32)  # where each bucket begins
+        np.cumsum(np.bincount(buckets, minlength=1 << bits), out=self.first[1:])
         self.same: dict[int, list[tuple[bytes, list[int]]]] = {}
 
-    def windows(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hashes of the windows at some places: of the suffix block, and of what comes before it."""
+    def _addresses(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (_blocks(hashes, at, self.block) & self.mask).astype(np.int64)
+
+    def _before(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of what windows that start at some words have before their suffix block."""
         total = np.zeros(len(at), np.uint64)
-        for j in range(self.m):
+        for j in range(self.m - self.block):
             total = shingles.mix(total + hashes[at + j])
         return total
 
-    def ends(self, hashes: np.ndarray) -> list[int]:
-        """Where a window of a text may end, by the shifts."""
-        if len(hashes) < self.m:
-            return []
-        step = self.shift[(_blocks(hashes, self.block) & self.mask).astype(np.int64)].tolist()
-        i, n, out = self.m - 1, len(step), []
-        while i < n:
-            if step[i]:
-                i += step[i]
-            else:
-                out.append(i)
-                i += 1
-        return out
+    def ends(self, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Where windows of the texts between cuts may end, by the shifts: one window moves in each ``SPAN`` words."""
+        first, stop = cuts[:-1] + self.m - 1, cuts[1:]
+        long = first < stop
+        first, stop = first[long], stop[long]
+        spans = -(-(stop - first) // SPAN)
+        at = np.repeat(first, spans) + SPAN * (np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans))
+        stop = np.minimum(at + SPAN, np.repeat(stop, spans))
+        out = [at[:0]]
+        while len(at):
+            step = self.shift[self._addresses(hashes, at)]
+            out.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            left = at < stop
+            at, stop = at[left], stop[left]
+        return np.sort(np.concatenate(out))
+
+    def candidates(self, hashes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows with these ends that have the suffix block and what comes before it of a pattern, and the first such pattern."""
+        at = last - self.m + 1
+        bucket, before = self._addresses(hashes, last), self._before(hashes, at)
+        low, high = self.first[bucket].astype(np.int64), self.first[bucket + 1].astype(np.int64)
+        stop = high.copy()
+        while (low < high).any():  # halving within buckets
+            middle = np.minimum((low + high) >> 1, len(self.before) - 1)
+            less = self.before[middle] < before
+            open_ = low < high
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        hit = np.flatnonzero((low < stop) & (self.before[np.minimum(low, len(self.before) - 1)] == before))
+        return at[hit], low[hit]
+
+    def alike(self, hashes: np.ndarray, run: int) -> range:
+        """The patterns of a bucket that have what comes before the suffix in common with its pattern ``run``, the first of them."""
+        stop = int(self.first[int(self._addresses(hashes, self.at[run : run + 1] + self.m - 1)[0]) + 1])
+        return range(run, run + int(np.searchsorted(self.before[run:stop], self.before[run], "right")))
 
 
 class WuManber:
@@ -135,7 +172,7 @@ class WuManber:
         self.names, self.text = [i for i, _ in items], b" ".join(t for t in texts if t)
         sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
         found = list(_hashed([self.text])) if self.text else []
-        self.starts, self.ends, hashes = found[0] if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        self.starts, self.ends, self.hashes = found[0] if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
         self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
         first = np.cumsum(sizes) - sizes
         self.groups = []
@@ -144,43 +181,36 @@ class WuManber:
             counts = sizes[those] - m + 1
             ends = np.cumsum(counts)
             at = np.arange(ends[-1]) + np.repeat(first[those] - ends + counts, counts)
-            self.groups.append(_Group(m, at, np.repeat(those, counts), hashes))
+            self.groups.append(_Group(m, at, np.repeat(those, counts), self.hashes))
 
     def _entries(self, group: _Group, run: int) -> list[tuple[bytes, list[int]]]:
-        """The different patterns with one hash, which starts at ``run``, each with its items."""
+        """The different patterns that are candidates with pattern ``run``, each with its items."""
         if run not in group.same:
             texts: dict[bytes, set[int]] = {}
-            for k in range(run, int(np.searchsorted(group.keys, group.keys[run], "right"))):
+            for k in group.alike(self.hashes, run):
                 at = group.at[k]
                 texts.setdefault(self.text[self.starts[at] : self.ends[at + group.m - 1]], set()).add(int(group.item[k]))
             group.same[run] = [(t, sorted(x)) for t, x in texts.items()]
         return group.same[run]
 
-    def search(self, text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Ascending, disjoint spans [start, end) of hit words, and the items found."""
-        spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+    def search(self, words: _Words) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Of each text its number of words, ascending, disjoint spans [start, end) of hit words, and the items found."""
+        text, starts, ends, hashes, cuts = words
+        out: list[tuple[int, list[tuple[int, int]], set[str]]] = [(n, [], set()) for n in np.diff(cuts).tolist()]
         for g in self.groups:
-            last = g.ends(hashes)
-            if not last:
-                continue
-            at = np.array(last) - g.m + 1
-            keys = g.windows(hashes, at)
-            runs = np.searchsorted(g.keys, keys)
-            runs[runs == len(g.keys)] = 0
-            hit = np.flatnonzero(g.keys[runs] == keys)
-            for i, run in zip(at[hit].tolist(), runs[hit].tolist(), strict=True):
+            at, runs = g.candidates(hashes, g.ends(hashes, cuts))
+            which = np.searchsorted(cuts, at, "right") - 1
+            for i, run, k in zip(at.tolist(), runs.tolist(), which.tolist(), strict=True):
                 here = b" ".join(text[starts[i] : ends[i + g.m - 1]].split())
                 for pattern, items in self._entries(g, run):
                     if pattern == here:
-                        spans.append((i, i + g.m))
-                        found.update(self.names[x] for x in items)
-        return _union(spans), found
+                        out[k][1].append((i - int(cuts[k]), i - int(cuts[k]) + g.m))
+                        out[k][2].update(self.names[x] for x in items)
+        return [(n, _union(spans), found) for n, spans, found in out]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """As :meth:`search`, for words."""
-        text = b" ".join(words)
-        return self.search(text, *next(iter(_hashed([text])))) if words else ([], set())
+        """The spans and items of one text, given as words."""
+        return self.search(next(_groups([b" ".join(words)])))[0][1:]
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -207,10 +237,8 @@ def _part(rows: DataFrame, k: int, parts: int) -> list[tuple[str, bytes | None]]
 
 def _searched(matcher: WuManber, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
     """Number of words, spans and items of each text."""
-    folded = [t.translate(_FOLD) if t else b"" for t in texts]
-    for text, (starts, ends, hashes) in zip(folded, _hashed(folded), strict=True):
-        spans, found = matcher.search(text, starts, ends, hashes) if len(hashes) else ([], set())
-        yield len(hashes), spans, found
+    for words in _groups([t.translate(_FOLD) if t else b"" for t in texts]):
+        yield from matcher.search(words)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
