@@ -726,21 +726,19 @@ AGE = 1000
 SELECT doc_id, CAST({AGE} * (g + 1) AS BIGINT) AS seconds, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS version, g = max(g) OVER (PARTITION BY doc_id) AS newest, sha256(coalesce(text, '')) AS text_sha256 FROM v"""
 )
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files of which some change twice: three listings, the versions that are new in each, and their texts.
+    """All documents as files of which some change twice: a stream reads three listings, one a run, and gives the versions that are new.
 
-    Listings repeat what has not changed, in rows and in listings, as the slack of the source does.
+    Listings repeat some files that have not changed, within and between them, as the slack of the source does.
     """
-    docs = _table(spark, sf_dir, "documents")
-    path, length = F.col("doc_id").cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    last = F.when(F.col("g") == 2, F.when(F.col("doc_id") % 5 == 1, 2).when(F.col("doc_id") % 3 != 0, 1).otherwise(0)).when((F.col("g") == 1) & (F.col("doc_id") % 3 == 0), 0).otherwise(F.col("g"))
-    folder = shared.new_path(spark, "listings")
-    for g in range(3):
-        listing = docs.select(path.alias("path"), "doc_id", F.lit(g).alias("g"), length.alias("length"))
-        listing.select("path", F.timestamp_seconds(AGE * (last + 1)).alias("modificationTime"), "length").write.mode("append").parquet(folder)
+    docs, doc_id = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    now = ((F.lit(0), F.lit(True)), (F.when(doc_id % 3 != 0, 1).otherwise(0), (doc_id % 3 != 0) | (doc_id % 2 == 0)), (F.when(doc_id % 5 == 1, 2).when(doc_id % 3 != 0, 1).otherwise(0), (doc_id % 5 == 1) | (doc_id % 4 == 3)))
+    listings, out, log = shared.new_path(spark, "listings"), shared.new_path(spark, "versions"), shared.new_path(spark, "checkpoint")
     own = changed.keyed_session(spark)
-    seen = own.readStream.schema(VERSIONS).parquet(folder)
-    out = shared.new_path(spark, "versions")
-    changed.newest_versions(seen).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared.new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    for version, listed in now:
+        again = F.explode(F.when(doc_id % 7 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        found = docs.where(listed).select(doc_id.cast("string").alias("path"), F.timestamp_seconds(AGE * (version + 1)).alias("modificationTime"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("length"), again.alias("again"))
+        found.drop("again").write.mode("append").parquet(listings)
+        changed.newest_versions(own.readStream.schema(VERSIONS).parquet(listings)).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(changed.NEWEST).parquet(out)
     found = found.select(F.col("path").cast("bigint").alias("doc_id"), F.unix_seconds("modificationTime").alias("seconds"), "version", (F.col("version") == F.max("version").over(Window.partitionBy("path"))).alias("newest"))
     text = F.concat(F.when(F.col("seconds") == AGE, "").otherwise((F.col("seconds") / AGE - 1).cast("int").cast("string")), F.col("text"))

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -21,26 +20,28 @@ from textloom.sources import versions
 #: Fixed value: the only store of state that keyed processors work with.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NEWEST = "path string, modificationTime timestamp, length bigint, version bigint"
+#: As processed: times are microseconds, which are compared alike in rows and in state.
+_NEWEST = "path string, micros bigint, length bigint, version bigint"
 _READ = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("version", pa.int64()), ("content", pa.binary())])
 
 
 class _Newest(StatefulProcessor):
-    """Of each path the versions that are later than, or as late but of another length than, what was given before."""
+    """Of each path the versions that are later than, or as late and longer than, what was given before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "time timestamp, length bigint, version bigint")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows))[["modificationTime", "length"]].dropna().drop_duplicates().sort_values(["modificationTime", "length"])
-        time, length, version = self.last.get() or (None, None, 0)
-        before, out = version, []
-        for t, n in zip(seen["modificationTime"], seen["length"].astype("int64"), strict=True):
-            if time is None or t > pd.Timestamp(time) or (t == pd.Timestamp(time) and n != length):
-                time, length, version = t, int(n), version + 1
-                out.append((key[0], t, length, version))
+        self.last = handle.getValueState("last", "micros bigint, length bigint, version bigint")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        seen = sorted({(r.micros, r.length) for r in rows})
+        last = self.last.get() or (None, None, 0)
+        before = version = last[2]
+        for micros, length in seen:
+            if last[0] is None or (micros, length) > tuple(last[:2]):
+                version += 1
+                last = (micros, length, version)
+                yield Row(path=key[0], micros=micros, length=length, version=version)
         if version > before:
-            self.last.update((pd.Timestamp(time).to_pydatetime(), length, version))
-            yield pd.DataFrame(out, columns=["path", "modificationTime", "length", "version"])
+            self.last.update(last)
 
     def close(self) -> None:
         pass
@@ -60,10 +61,11 @@ def newest_versions(found: DataFrame) -> DataFrame:
     """path, modificationTime, length, version (from 1) for each version in a stream of sightings (path, modificationTime, length), once.
 
     A sighting that is not later than what its path had is dropped; of several in one batch each is a version, in order of time. Of two
-    with one time the longer is the later, within a batch. Sightings without a path, time or length are dropped; other columns are ignored.
+    with one time the longer is the later. Sightings without a path, time or length are dropped; other columns are ignored.
     """
-    rows = found.select("path", "modificationTime", "length").where("path is not null")
-    return rows.groupBy("path").transformWithStateInPandas(_Newest(), NEWEST, "Append", "None")
+    rows = found.select("path", F.unix_micros("modificationTime").alias("micros"), "length").where("path is not null and micros is not null and length is not null")
+    new = rows.groupBy("path").transformWithState(_Newest(), _NEWEST, "Append", "None")
+    return new.select("path", F.timestamp_micros("micros").alias("modificationTime"), "length", "version")
 
 
 def with_content(found: DataFrame) -> DataFrame:
