@@ -22,6 +22,16 @@ def test_encodings_are_told_apart():
         assert 0 <= py_detect(data)[1] <= 1
 
 
+def test_few_signs_that_are_valid_in_utf8_too(spark):
+    """Pairs of gbk that UTF-8 reads as rare letters, or as Cyrillic within a Latin word; and short texts that are UTF-8."""
+    signs = ["R一.", "D一.", "E小?.", "A山一水.", "E木小一小一."]
+    latin = ["café", "kráľ", "như", "Ștefan", "Azərbaycan", "10 kΩ", "да", "(С) и", "жүрек һәм", "שלום", "مرحبا", "Հայ", "e\u0301"]
+    data = [(t.encode("gbk"), "gbk") for t in signs] + [(t.encode(), "utf-8") for t in latin]
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(data)], "id int, content binary")
+    assert {r.id: (r.encoding, r.text) for r in with_text(df).collect()} == {i: (e, d.decode(e)) for i, (d, e) in enumerate(data)}
+    assert [py_detect(d)[0] for d, _ in data] == [e for _, e in data]
+
+
 def test_expressions_equal_python(spark):
     rng = random.Random(7)
     data = [c for c, _ in cases()] + [b"\0", b"\xff", b"\x80" * 9, b"\xef\xbb", b"\xc3\xa9\xff"]
