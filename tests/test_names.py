@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from textloom.functions import filetypes, paths, textnorm
 from textloom.operators import native
 from textloom.operators.html import extract_html
+from textloom.operators.registry import Registry
 from textloom.operators.rtf import DESTINATIONS
+from textloom.plans.extract import extract_documents
+from textloom.plans.queries import QUERIES
 
 NAMES = [("A.TAR.GZ", 20), ("xtar.gz", 20), ("a.tar.bz2", 24), (".gz", 19), ("n.", 114), ("a.b/c", 114), ("none", 114), ("", 114), ("x.md", 6), ("x.tgz", 114), ("x.htm", 114), ("x.HTML", 1), ("k.key", 17), ("z.z", 30), ("i.svg", 36), ("b.bmp", 404), ("a/b.c/d.docx", 8), ("x.vsd", 202), ("x.yaml", 114)]
 
@@ -83,6 +86,27 @@ def test_hostile_pages_take_linear_time(spark, page):
     assert time.perf_counter() - start < 20
 
 
+def test_references_that_must_end_in_a_semicolon(spark):
+    """What the SQL of the queries over pages states; a heading may be cut within a reference."""
+    cases = {"<h1>a &amp;&amp</h1><p>b &copy; &lt": "a &&amp b © &lt", "&amp;amp;&ampx; &#65 &#65;&#x42;": "&&ampx; &#65 AB", "&notit; &eacute;&eacute &am": "&notit; é&eacute &am", "&amp;amp x": "&amp x"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert [r[0] for r in df.select(native.html_text(F.col("p"), bare_references=False)).collect()] == list(cases.values())
+    assert [extract_html(k.encode(), bare_references=False).text for k in cases] == list(cases.values())
+    files = df.select(F.lit("f.html").alias("path"), F.col("p").cast("binary").alias("content"))
+    assert [r.text for r in extract_documents(files, registry=Registry(bare_references=False)).collect()] == list(cases.values())
+    assert Registry(bare_references=False).extract(1, b"&lt").text == "&lt" and Registry().extract(1, b"&lt").text == "<"
+
+
+@pytest.mark.parametrize("query", ["html_text", "html_text_udf", "html_text_size", "extracted_totals", "sink_metrics"])
+def test_queries_leave_references_without_a_semicolon(spark, tmp_path, query):
+    page, text = "<h1>a &amp;&amp</h1>b", "a &&amp b"
+    spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "xyz")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES[query](spark, str(tmp_path)).collect()]
+    want = {"extracted_totals": (1, len(text)), "html_text_size": (1, len(text)), "sink_metrics": ("bytes", len(text) + 3)}
+    assert want.get(query, (1, text)) in got
+
+
 PATHS = ["../../x", "/a/../../b", "a//b/./c/", "", ".", "a\\..\\b", "..", "a/b/../../.."]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from html.entities import html5
@@ -64,6 +65,8 @@ _NAMES = html5
 _SHORT = sorted((n for n in _NAMES if not n.endswith(";")), key=len, reverse=True)
 #: What may follow an ampersand: a number, or up to 32 characters that may be a name.
 _REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <#;]{1,32};?)"
+_CLOSED = _REFERENCE.replace(";?", ";")
+_PY_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{0,31});")
 
 
 def _named(name: Column) -> Column:
@@ -110,31 +113,37 @@ def _character(n: Column) -> Column:
     return F.when(broken, "�").when(n.between(128, 159), F.get(windows, n - 128)).when(nothing, "").otherwise(code_point(n))
 
 
-def _replaced(name: Column) -> Column:
+def _replaced(name: Column, bare: bool) -> Column:
     """What a possible reference (without its ampersand) stands for, or null."""
+    if not bare:
+        return F.when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(_named(name))
     short = F.regexp_extract(name, "^(?:" + "|".join(_SHORT) + ")", 0)
     in_front = F.when(short != "", F.concat(_named(short), F.substring(name, F.length(short) + 1, F.length(name))))
     return F.when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(F.coalesce(_named(name), in_front))
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, bare: bool = True) -> Column:
     """All character references of HTML, named and numbered, decoded once, by expressions.
 
     A text is split at its ampersands; what follows one is looked up whole, then, as HTML says, by the longest name at its
-    start that needs no semicolon. What is no reference stays.
+    start that needs no semicolon. What is no reference stays; if not ``bare``, so does one without its semicolon.
     """
-    return let(text, _unescaped)
+    return let(text, lambda t: _unescaped(t, bare))
 
 
-def _unescaped(text: Column) -> Column:
+def _unescaped(text: Column, bare: bool) -> Column:
     pieces = F.split(text, "&")
-    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(F.regexp_extract(p, _REFERENCE, 0).alias("name"), p.alias("piece")))
-    known = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["piece"].alias("piece"), F.when(x["name"] != "", _replaced(x["name"])).alias("value")))
+    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(F.regexp_extract(p, _REFERENCE if bare else _CLOSED, 0).alias("name"), p.alias("piece")))
+    known = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["piece"].alias("piece"), F.when(x["name"] != "", _replaced(x["name"], bare)).alias("value")))
     rest = lambda x: F.substring(x["piece"], F.length(x["name"]) + 1, F.length(x["piece"]))
     out = F.transform(known, lambda x: F.when(x["value"].isNull(), F.concat(F.lit("&"), x["piece"])).otherwise(F.concat(x["value"], rest(x))))
     return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.concat(F.substring_index(text, "&", 1), F.array_join(out, "")))
 
 
+def py_unescape(text: str, bare: bool = True) -> str:
+    return html.unescape(text) if bare else _PY_CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in _NAMES else m[0], text)
+
+
 def py_strip_invisible(text: str, markdown: bool = False) -> str:
     return (_INVISIBLE_MD if markdown else _INVISIBLE).sub("", text)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-
 from textloom.functions import textnorm
 
 from .htmltokens import END, START, TEXT, tokens
@@ -16,11 +14,11 @@ HEAD_RAW = frozenset(("title", "noscript", "template", "noframes"))
 HEAD_TAGS = frozenset(("html", "head", "base", "link", "meta", "basefont", "bgsound"))
 
 
-def extract_html(data: bytes, name: str = "") -> Result:
+def extract_html(data: bytes, name: str = "", bare_references: bool = True) -> Result:
     """Text segments outside head, script and style, in linear time.
 
     The head ends where HTML says, marked or not: at the first text that is no white space, or the first tag that belongs to no head. A tag
-    that the page ends in, be it within a quoted value, is no text.
+    that the page ends in, be it within a quoted value, is no text. References without a semicolon are decoded if ``bare_references``, as HTML says.
     """
     source = data.decode("utf-8", "replace").replace("\0", "")
     segments: list[str] = []
@@ -30,7 +28,7 @@ def extract_html(data: bytes, name: str = "") -> Result:
 
     def flush():
         if held:
-            text = textnorm.py_trim_space(html.unescape("".join(held)))
+            text = textnorm.py_trim_space(textnorm.py_unescape("".join(held), bare_references))
             if text:
                 segments.append(text)
             held.clear()
@@ -49,5 +47,5 @@ def extract_html(data: bytes, name: str = "") -> Result:
             body = True
             raw -= HEAD_RAW
     flush()
-    text = html.unescape(" ".join(segments))
+    text = textnorm.py_unescape(" ".join(segments), bare_references)
     return Result(textnorm.py_trim_space(textnorm.py_collapse_ws(textnorm.py_strip_invisible(text))), "html")

@@ -37,8 +37,8 @@ _HEAD = rf"(?i)\A{_before_body(f'{_SCRIPT}|{_TEXTLESS}|noscript', 1)}(?:</head{_
 _MARKUP = rf"(?i){_COMMENT}|{_OTHER}|{_raw(_SCRIPT, 1)}|</?{_TAG}"
 
 
-def html_text(source: Column) -> Column:
-    """Text of a page's body outside scripts and styles; markup is space, references are decoded twice.
+def html_text(source: Column, bare_references: bool = True) -> Column:
+    """Text of a page's body outside scripts and styles; markup is space, references are decoded twice (without a semicolon too, if ``bare_references``).
 
     Right in general, as :mod:`textloom.operators.html` is: values in quotes may hold ``>``, comments end as HTML says, the head ends at
     the first thing that belongs to no head, raw elements end at their own end tag, a tag that the page ends in is no text.
@@ -46,10 +46,10 @@ def html_text(source: Column) -> Column:
     """
     source = F.replace(source, F.lit("\0"), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(source, _HEAD, ""), _MARKUP, "\0")
-    text = textnorm.unescape(text)
+    text = textnorm.unescape(text, bare_references)
     # ends of segments are trimmed of more kinds of white space than are collapsed
     white = textnorm.WHITE_SPACE.removesuffix("+")
-    text = textnorm.unescape(F.regexp_replace(text, rf"\x00(?:\x00|{white})*+|{white}++\x00(?:\x00|{white})*+", " "))
+    text = textnorm.unescape(F.regexp_replace(text, rf"\x00(?:\x00|{white})*+|{white}++\x00(?:\x00|{white})*+", " "), bare_references)
     return textnorm.trim_space(textnorm.collapse_ws(textnorm.strip_invisible(text)))
 
 

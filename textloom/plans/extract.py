@@ -53,7 +53,7 @@ def extract_documents(files: DataFrame, file_type: int | None = None, registry:
     is_native = F.col("file_type").isin([t for t in NATIVE_TYPES if t not in own.own])
     plain = native.plain_text(F.col("content"))
     passed = is_native & ~F.col("file_type").isin(1, 202)
-    simple = F.when(passed, plain).when(is_native & (F.col("file_type") == 1), native.html_text(plain)).when(is_native, native.vsd_text(F.col("content")))
+    simple = F.when(passed, plain).when(is_native & (F.col("file_type") == 1), native.html_text(plain, own.bare_references)).when(is_native, native.vsd_text(F.col("content")))
     found = extract_text(F.col("file_type"), F.when(~is_native, F.col("content")), F.col("path"), own)
     rows = rows.withColumn("simple", simple).withColumn("r", found)
     text = F.coalesce("simple", "r.text", F.lit(""))
