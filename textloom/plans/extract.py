@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +12,12 @@ from textloom.operators.archive import BLOCK, KINDS, walk
 from textloom.operators.registry import Registry
 from textloom.operators.result import ExtractError
 
+from . import rowwise
+
 #: Types whose text is an expression: no Python runs for them.
 NATIVE_TYPES = (1, 2, 4, 5, 202, *sorted({*filetypes.TYPES.values(), filetypes.UNKNOWN} - filetypes.EXTRACTORS.keys()))
 _FOUND = "text string, method string, n_parts int, error string"
+_FOUND_ARROW = pa.struct([("text", pa.string()), ("method", pa.string()), ("n_parts", pa.int32()), ("error", pa.string())])
 _ENTRY = pa.schema([("path", pa.string()), ("entry_path", pa.list_(pa.string())), ("depth", pa.int32()), ("file_type", pa.int32()), ("text", pa.string()), ("size", pa.int64()), ("method", pa.string()), ("error", pa.string())])
 _ENTRY_DDL = "path string, entry_path array<string>, depth int, file_type int, text string, size bigint, method string, error string"
 
@@ -24,19 +26,13 @@ def extract_text(file_type: Column, content: Column, path: Column, registry: Reg
     """Struct of text, method, n_parts and error, in Arrow batches."""
     own = registry or Registry()
 
-    @F.pandas_udf(_FOUND)
-    def extract(codes: pd.Series, contents: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        rows = []
-        for code, data, path in zip(codes, contents, paths, strict=True):
-            if data is None:
-                rows.append((None, None, None, None))
-                continue
-            r = own.safely(int(code), bytes(data), path or "")
-            rows.append((r.text.encode("utf-8", "replace").decode(), r.method, max(1, len(r.parts)), r.error))
-        out = pd.DataFrame(rows, columns=["text", "method", "n_parts", "error"])
-        return out.astype({"n_parts": "Int32"})
+    def extract(code: int, data: bytes | None, path: str | None) -> dict:
+        if data is None:
+            return dict.fromkeys(("text", "method", "n_parts", "error"))
+        r = own.safely(code, data, path or "")
+        return {"text": r.text.encode("utf-8", "replace").decode(), "method": r.method, "n_parts": max(1, len(r.parts)), "error": r.error}
 
-    return extract(file_type, content, path)
+    return rowwise.function(extract, _FOUND, _FOUND_ARROW)(file_type, content, path)
 
 
 def extract_documents(files: DataFrame, file_type: int | None = None, registry: Registry | None = None, keep: tuple[str, ...] = (), with_bytes: bool = False) -> DataFrame:
@@ -75,22 +71,15 @@ def archive_entries(files: DataFrame, file_type: int | None = None, registry: Re
     own = registry or Registry()
     code = F.lit(file_type).cast("int") if file_type else filetypes.detect_type(F.col("path"))
 
-    def run(batches):
-        for b in batches:
-            for path, data, kind in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows: list[dict] = []
-                try:
-                    for e in _walk(own, kind, data, path or ""):
-                        rows.append({"path": path, "entry_path": list(e.path), "depth": len(e.path), "file_type": e.file_type, "text": (text := e.text.encode("utf-8", "replace").decode()), "size": len(text.encode()), "method": e.method, "error": e.error})
-                        if len(rows) >= 64:
-                            yield pa.RecordBatch.from_pylist(rows, _ENTRY)
-                            rows = []
-                except ExtractError as e:
-                    rows.append({"path": path, "entry_path": None, "depth": 0, "file_type": kind, "text": "", "size": 0, "method": filetypes.EXTRACTORS.get(kind, "raw"), "error": str(e)})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _ENTRY)
+    def entries(path: str | None, data: bytes | None, kind: int):
+        try:
+            for e in _walk(own, kind, data, path or ""):
+                text = e.text.encode("utf-8", "replace")
+                yield path, list(e.path), len(e.path), e.file_type, text.decode(), len(text), e.method, e.error
+        except ExtractError as e:
+            yield path, None, 0, kind, "", 0, filetypes.EXTRACTORS.get(kind, "raw"), str(e)
 
-    return files.select("path", "content", code.alias("kind")).mapInArrow(run, _ENTRY_DDL)
+    return files.select("path", "content", code.alias("kind")).mapInArrow(rowwise.table(entries, _ENTRY), _ENTRY_DDL)
 
 
 def _walk(own: Registry, code: int, data: bytes | None, path: str):
@@ -112,9 +101,10 @@ def register(spark: SparkSession, registry: Registry | None = None) -> None:
     """SQL functions ``extract_text(file_type, content, path)`` and table function ``archive_entries(path, content)``."""
     own = registry or Registry()
 
-    @F.pandas_udf("string")
-    def extract_text_sql(codes: pd.Series, contents: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else own.safely(int(c), bytes(d), p or "").text for c, d, p in zip(codes, contents, paths, strict=True)], dtype=object)
+    def text_of(code: int, data: bytes | None, path: str | None) -> str | None:
+        return None if data is None else own.safely(code, data, path or "").text
+
+    extract_text_sql = rowwise.function(text_of, "string", pa.string())
 
     @F.udtf(returnType="entry_path string, depth int, file_type int, text string, error string")
     class Entries:

@@ -23,6 +23,8 @@ from textloom.operators import members, native
 from textloom.operators.result import Limits
 from textloom.sources.archives import ENTRY_BYTES
 
+from . import rowwise
+
 _PARTS = pa.schema([("path", pa.string()), ("part", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 _WANTED = re.compile(r"xl/(?:sharedStrings|worksheets/sheet\d*)\.xml")
 STRINGS = "xl/sharedStrings.xml"
@@ -47,13 +49,7 @@ def workbook_parts(files: DataFrame, entry_bytes: int = ENTRY_BYTES) -> DataFram
         except members.Damaged as e:
             yield path, None, None, str(e)
 
-    def run(batches):
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in found(path, data) if data is not None else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _PARTS, strict=True)], schema=_PARTS)
-
-    return files.select("path", "content").mapInArrow(run, "path string, part string, content binary, error string")
+    return files.where("content IS NOT NULL").select("path", "content").mapInArrow(rowwise.table(found, _PARTS), "path string, part string, content binary, error string")
 
 
 def _elements(xml: Column, name: str) -> Column:
