@@ -1,7 +1,9 @@
 import io
+import lzma
 import random
 import struct
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -214,3 +216,29 @@ def test_a_name_is_no_limit(name):
     data[data.find(name.encode()) + len(name) + 30] ^= 255
     found = list(walk("zip", bytes(data), "x.zip", Registry().extract))
     assert [(e.path[0], e.error is None) for e in found] == [("a.txt", True), (name, False), ("z.txt", True)]
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_parts_do_not_grow_in_number_with_the_archives(spark, tmp_path, kind):
+    archives.register(spark)
+    folder = str(tmp_path / "a")
+    spark.range(60, numPartitions=2).selectExpr("concat(id, '.txt') AS entry", "cast(repeat(sha2(cast(id AS string), 256), 200) AS binary) AS content").write.format("archive").option("kind", kind).mode("append").save(folder)
+    total = sum(p.stat().st_size for p in (tmp_path / "a").iterdir())
+    size = archives.even_part_bytes(spark, folder, least=1)
+    assert size == total // (archives.TASKS * spark.sparkContext.defaultParallelism) > 1
+    assert archives.even_part_bytes(spark, folder, least=1 << 30, most=1 << 30) == 1 << 30 and archives.even_part_bytes(spark, folder, least=512, most=600) == 600
+    reader = archives.ArchiveReader({"path": folder, "partBytes": str(size), "tarGuesses": '{"x": {"0": [0, 512]}}'})
+    assert 1 < len(reader.partitions()) <= 2 * archives.TASKS * spark.sparkContext.defaultParallelism and not reader.guesses
+    assert archives.members(spark, folder, part_bytes=size).where("error is null").count() == 60
+
+
+def test_xz_of_short_texts_sets_up_no_long_dictionary():
+    for n in (0, 1, 4096, 5000, 300_000):
+        assert lzma.decompress(packers.XZ(b"ab" * n)) == b"ab" * n
+    start = time.process_time()
+    for _ in range(300):
+        packers.XZ(b"short")
+    mine, start = time.process_time() - start, time.process_time()
+    for _ in range(300):
+        lzma.compress(b"short")
+    assert mine < time.process_time() - start

@@ -46,6 +46,8 @@ _RANGES = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("first",
 #: Kinds by suffix.
 SUFFIXES = {"zip": "zip", "jar": "zip", "war": "zip", "tar": "tar"}
 PART_BYTES, ENTRY_BYTES, BATCH_BYTES = 64 << 20, 256 << 20, 8 << 20
+#: Parts for each core where their size is left open.
+TASKS = 8
 #: Bytes and entries after which a task begins another archive.
 FILE_BYTES, FILE_ENTRIES = 1 << 30, 100_000
 
@@ -100,6 +102,8 @@ class ArchiveReader(DataSourceReader):
         self.part_bytes = max(by_position.BLOCK, self.part_bytes // by_position.BLOCK * by_position.BLOCK)
 
     def partitions(self) -> list[Part]:
+        # the reader goes to each task after this, so what is for planning only stays here
+        guesses, self.guesses = self.guesses, {}
         out = []
         for path, kind, size in _found(self.path, self.kind):
             with opened(path) as f:
@@ -107,7 +111,7 @@ class ArchiveReader(DataSourceReader):
                     if kind == "zip":
                         parts = by_position.zip_parts(f, size, self.part_bytes)
                     else:
-                        parts = by_position.tar_parts(f, size, self.guesses.get(path, {}), self.part_bytes)
+                        parts = by_position.tar_parts(f, size, guesses.get(path, {}), self.part_bytes)
                     out += [Part(path, kind, size, a, b) for a, b in parts]
                 except Damaged as e:
                     out += self._before(path, kind, size, e)
@@ -285,6 +289,13 @@ class _Loader:
         return self.spark.read.format("archive").options(**self.options, content=str(content)).load(self.path)
 
 
+def even_part_bytes(spark: SparkSession, path: str, least: int, kind: str | None = None, most: int = PART_BYTES) -> int:
+    """Bytes of a part such that each core has some ``TASKS`` parts of the archives below a path, within bounds: so tasks, whose start costs, grow with the
+    archives' bytes only beyond ``most`` a part."""
+    total = sum(size for _, _, size in _found(path, kind))
+    return min(most, max(least, total // (TASKS * spark.sparkContext.defaultParallelism)))
+
+
 def members(spark: SparkSession, path: str, part_bytes: int = PART_BYTES, entry_bytes: int = ENTRY_BYTES, kind: str | None = None, content: bool = True) -> DataFrame:
     """Rows of all files of the archives below a path, an archive being read by as many tasks as it has parts.
 
