@@ -73,3 +73,11 @@ def test_surrogates_alone_do_not_end_the_job(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(data)] + [(-1, None)], "id int, c binary").repartition(2)
     got = {r.id: (r.little, r.big) for r in df.select("id", binary.utf16(F.col("c")).alias("little"), binary.utf16(F.col("c"), big=True).alias("big")).collect()}
     assert got == {-1: (None, None), **{i: (mended(d, "little"), mended(d, "big")) for i, d in enumerate(data)}}
+
+
+def test_damage_everywhere_is_mended_in_one_pass(spark):
+    """No unit of a text is an element of its own, however many are damaged."""
+    data = [("é".encode("utf-16-le") + b"\x3d\xd8") * 200_000 + b"\xd8", "é😀".encode("utf-16-le") * 200_000]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "id int, c binary").select("id", binary.utf16(F.col("c")).alias("t"))
+    assert {r.id: r.t for r in df.collect()} == {0: "é�" * 200_000 + "�", 1: "é😀" * 200_000}
+    assert "transform(" not in df._jdf.queryExecution().toString() and "regexp_extract_all" not in df._jdf.queryExecution().toString()

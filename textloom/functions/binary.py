@@ -21,16 +21,13 @@ def bits(number: Column, low: int, count: int) -> Column:
 def utf16(content: Column, big: bool = False) -> Column:
     """UTF-16 without a mark; a surrogate without its other half and a last byte without its other become U+FFFD each.
 
-    Spark's own decoding ends the job on those, so they are mended before, in the rows that have them.
+    Spark's own decoding ends the job on those, so they are mended before.
     """
     unit = lambda high: rf"[{high}]." if big else rf".[{high}]"
-    pair = unit(r"\xD8-\xDB") + unit(r"\xDC-\xDF")
-    latin = F.decode(content, "ISO-8859-1")
-    whole = F.length(F.regexp_replace(latin, rf"(?s)(?:{unit(r'\x00-\xD7\xE0-\xFF')})++|{pair}", "")) == 0
-    units = F.regexp_extract_all(latin, F.lit(f"(?s){pair}|..|."), F.lit(0))
-    alone = lambda u: (F.length(u) == 1) | ((F.length(u) == 2) & F.rlike(u, F.lit(f"(?s)^{unit(r'\xD8-\xDF')}$")))
-    mended = F.array_join(F.transform(units, lambda u: F.when(alone(u), F.lit("\xff\xfd" if big else "\xfd\xff")).otherwise(u)), "")
-    return F.decode(F.when(whole, content).otherwise(F.encode(mended, "ISO-8859-1")), "UTF-16BE" if big else "UTF-16LE")
+    sound = rf"(?:{unit(r'\x00-\xD7\xE0-\xFF')})++|{unit(r'\xD8-\xDB')}{unit(r'\xDC-\xDF')}"
+    # one match for each damage, from the end of the one before, so that units are never taken by halves
+    mended = F.regexp_replace(F.decode(content, "ISO-8859-1"), rf"(?s)\G((?:{sound})*+)..?", "$1\xff\xfd" if big else "$1\xfd\xff")
+    return F.decode(F.encode(mended, "ISO-8859-1"), "UTF-16BE" if big else "UTF-16LE")
 
 
 def utf16_text(content: Column) -> Column:
