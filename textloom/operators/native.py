@@ -34,7 +34,7 @@ def _before_body(raw: str, group: int) -> str:
 
 
 _HEAD = rf"(?i)\A{_before_body(f'{_SCRIPT}|{_TEXTLESS}|noscript', 1)}(?:</head{_REST}{_before_body(f'{_SCRIPT}|{_TEXTLESS}', 2)})*+"
-_MARKUP = rf"(?i){_COMMENT}|{_OTHER}|{_raw(_SCRIPT, 1)}|</?{_TAG}"
+_MARKUP = rf"(?i)(?=<)(?:{_COMMENT}|{_OTHER}|{_raw(_SCRIPT, 1)}|</?{_TAG})"
 
 
 def html_text(source: Column, bare_references: bool = True) -> Column:
@@ -49,7 +49,9 @@ def html_text(source: Column, bare_references: bool = True) -> Column:
     text = textnorm.unescape(text, bare_references)
     # ends of segments are trimmed of more kinds of white space than are collapsed
     white = textnorm.WHITE_SPACE.removesuffix("+")
-    text = textnorm.unescape(F.regexp_replace(text, rf"\x00(?:\x00|{white})*+|{white}++\x00(?:\x00|{white})*+", " "), bare_references)
+    both = white.replace("[", r"[\x00", 1)
+    # white space is looked at from its first sign only, so a long run is passed once
+    text = textnorm.unescape(F.regexp_replace(text, rf"(?:\x00|{white}(?<!{white}{{2}}){white}*+\x00){both}*+", " "), bare_references)
     return textnorm.trim_space(textnorm.collapse_ws(textnorm.strip_invisible(text)))
 
 
