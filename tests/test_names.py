@@ -1,7 +1,9 @@
 import html
 import random
 import time
+from collections import Counter
 from html.entities import html5
+from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,21 @@ def test_part_number(spark):
     df = spark.createDataFrame([("a/sheet12.xml",), ("sheet.xml",), ("sheet99999999999.xml",)], "n string")
     assert [r[0] for r in df.select(paths.part_number(F.col("n"), "sheet")).collect()] == [12, 0, 0]
     assert paths.py_part_number("x/slide7.xml", "slide") == 7
+
+
+def test_tables_of_references_are_dealt_evenly(spark):
+    """A look-up meets a few entries of some thousand, and a usual reference, whatever its form, needs no pattern of names."""
+    parts = Counter(crc32(k.encode()) % textnorm._PARTS for k in textnorm._USUAL)
+    assert len(textnorm._USUAL) > 3000 and max(parts.values()) <= 6
+    keys = ["amp", "#101", "#xA9", "#x4e00", "#19968", "#54999", "#xD7FF", "#xD800", "#55296", "nothing", "#0", "#128"]
+    x = F.struct(F.concat("k", F.lit("; x;")).alias("piece"), F.col("k").alias("name"))
+    got = {r.k: r.v for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", textnorm._usual(x).alias("v")).collect()}
+    assert {k: v for k, v in got.items() if v is None}.keys() == {"#xD800", "#55296", "nothing"}
+    assert all(v == html.unescape(f"&{k};") for k, v in got.items() if v is not None)
+
+
+def test_long_white_space_is_passed_once(spark):
+    page = "<p>a" + " " * 300_000 + "b<p>" + "\t" * 300_000 + "c"
+    begun = time.time()
+    assert spark.createDataFrame([(page,)], "p string").select(native.html_text(F.col("p"))).first()[0] == "a b c"
+    assert time.time() - begun < 20

@@ -6,6 +6,7 @@ import html
 import json
 import re
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ def strip_invisible(text: Column, markdown: bool = False) -> Column:
 def collapse_ws(text: Column, markdown: bool = False) -> Column:
     # a single space stays as it is: most white space is, and each match costs
     white = (SPACES_MARKDOWN if markdown else SPACES).removesuffix("+")
-    return F.regexp_replace(text, rf"{white}{{2,}}|(?! ){white}", " ")
+    other = white.replace(" ", "")
+    return F.regexp_replace(text, rf"(?:{other}| (?={white})){white}*+" if not markdown else rf"{white}{{2,}}|(?! ){white}", " ")
 
 
 def collapse_newlines(text: Column, to: str = " ") -> Column:
@@ -69,14 +71,23 @@ _CLOSED = _REFERENCE.replace(";?", ";")
 _PY_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{0,31});")
 
 
-def _named(name: Column) -> Column:
-    """The characters of a name, or null, by a map of maps, so that a look-up meets the names of one first letter only."""
-    letters: dict[str, dict[str, str]] = {}
-    for k, v in _NAMES.items():
-        letters.setdefault(k[0], {})[k] = v
+#: Parts of a table; most hold no entry or one.
+_PARTS = 8192
+
+
+def _looked_up(key: Column, entries: dict[str, str]) -> Column:
+    """The value of a key, or null, by a table in parts by the hash of the key, so that a look-up meets few entries."""
+    parts: list[dict[str, str]] = [{} for _ in range(_PARTS)]
+    for k, v in entries.items():
+        parts[crc32(k.encode()) % _PARTS][k] = v
     # one literal, which the optimizer reads once
-    by_letter = F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,string>>")
-    return by_letter[F.left(name, F.lit(1))][name]
+    table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    return F.get(table, (F.crc32(key.cast("binary")) % _PARTS).cast("int"))[key]
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name, or null."""
+    return _looked_up(name, _NAMES)
 
 
 def code_point(n: Column) -> Column:
@@ -118,7 +129,7 @@ def _replaced(name: Column, bare: bool) -> Column:
     if not bare:
         return F.when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(_named(name))
     short = F.regexp_extract(name, "^(?:" + "|".join(_SHORT) + ")", 0)
-    in_front = F.when(short != "", F.concat(_named(short), F.substring(name, F.length(short) + 1, F.length(name))))
+    in_front = let(short, lambda s: F.when(s != "", F.concat(_named(s), F.substring(name, F.length(s) + 1, F.length(name)))))
     return F.when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(F.coalesce(_named(name), in_front))
 
 
@@ -132,12 +143,36 @@ def unescape(text: Column, bare: bool = True) -> Column:
 
 
 def _unescaped(text: Column, bare: bool) -> Column:
-    pieces = F.split(text, "&")
-    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(F.regexp_extract(p, _REFERENCE if bare else _CLOSED, 0).alias("name"), p.alias("piece")))
-    known = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["piece"].alias("piece"), F.when(x["name"] != "", _replaced(x["name"], bare)).alias("value")))
-    rest = lambda x: F.substring(x["piece"], F.length(x["name"]) + 1, F.length(x["piece"]))
-    out = F.transform(known, lambda x: F.when(x["value"].isNull(), F.concat(F.lit("&"), x["piece"])).otherwise(F.concat(x["value"], rest(x))))
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.concat(F.substring_index(text, "&", 1), F.array_join(out, "")))
+    # functions of elements are interpreted: the usual references take few steps, without ``let``, whose type is worked out at each use
+    pieces = F.transform(F.split(text, "&"), lambda p: F.struct(p.alias("piece"), F.substring_index(p, ";", 1).alias("name")))
+    usual = lambda x: F.concat(_usual(x), F.substr(x["piece"], F.length(x["name"]) + 2))
+    out = F.transform(pieces, lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.coalesce(usual(x), _any(x["piece"], bare))))
+    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.array_join(out, ""))
+
+
+#: Names, and the numbers of the first letters, all without the semicolon that ends them.
+_USUAL = {k.removesuffix(";"): v for k, v in _NAMES.items() if k.endswith(";")} | {w: html.unescape(f"&{w};") for n in range(768) for w in (f"#{n}", f"#x{n:x}", f"#x{n:X}")}
+#: Other numbers that are characters of one unit.
+_HEX = r"\A#[xX](?:0[1-9a-fA-F]|[1-9a-cA-C][0-9a-fA-F]|[dD][0-7])[0-9a-fA-F]{2}\z"
+_DECIMAL = r"\A#(?:[3-9][0-9]{2}|[1-9][0-9]{3}|[1-4][0-9]{4}|5[0-4][0-9]{3})\z"
+
+
+def _usual(x: Column) -> Column:
+    """The value of the name or number that a piece begins with up to its semicolon; null for some that are rare and for all that is no such reference."""
+    name = x["name"]
+    unit = F.when(F.rlike(name, F.lit(_HEX)), F.substring(name, 3, 4)).when(F.rlike(name, F.lit(_DECIMAL)), F.lpad(F.hex(F.substring(name, 2, 5).cast("bigint")), 4, "0"))
+    numbered = F.when(F.startswith(name, F.lit("#")), F.decode(F.unhex(unit), "UTF-16BE"))
+    return F.when(F.contains(x["piece"], F.lit(";")), F.coalesce(_looked_up(name, _USUAL), numbered))
+
+
+def _any(piece: Column, bare: bool) -> Column:
+    """Any piece, decoded if a reference stands at its start."""
+
+    def decoded(name: Column) -> Column:
+        value = F.when(name != "", _replaced(name, bare))
+        return F.coalesce(F.concat(value, F.substring(piece, F.length(name) + 1, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    return let(F.regexp_extract(piece, _REFERENCE if bare else _CLOSED, 0), decoded)
 
 
 def py_unescape(text: str, bare: bool = True) -> str:
