@@ -1,12 +1,13 @@
 import io
 import struct
+import sys
 import time
 import zipfile
 import zlib
 
 import pytest
 
-from textloom.operators import archive, cfb, ooxml, rtf, sevenzip
+from textloom.operators import archive, cfb, ooxml, pdf, rtf, sevenzip
 from textloom.operators.html import extract_html
 from textloom.operators.legacy import rk
 from textloom.operators.markdown import extract_markdown
@@ -248,3 +249,34 @@ def test_long_operand_lists_are_whole():
             return b"BT " + b"1 " * 20_000 + b"(kept) Tj ET"
 
     assert pdf.page_text(Page(), {}) == "kept\n"
+
+
+def test_pdf_codes_are_read_in_bulk():
+    """Python is called for each string of a page, not for each of its codes."""
+    line = "abcdé中😀" * 20_000
+    data, calls = packers.pdf([[line]]), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        text = pdf.extract_pdf(data).text
+    finally:
+        sys.setprofile(None)
+    assert text == f"{line}\n\f" and calls < 5000
+
+
+def test_pdf_fonts_of_one_two_and_three_bytes():
+    def font(width, pairs):
+        cmap = f"begincodespacerange <{'00' * width}> <{'FF' * width}> endcodespacerange 1 beginbfchar <> <0058> {pairs} endbfchar \n".encode()
+        body = b"%%PDF-1.4\n1 0 obj\n<< /ToUnicode 2 0 R %s>>\nendobj\n2 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (b"/Subtype /Type0 " if width > 1 else b"", len(cmap), cmap)
+        doc = pdf.Document(body)
+        return pdf.Font(doc, doc.get(pdf.Ref(1)))
+
+    assert font(1, "<41> <0062>").text(b"A\x80Z") == "b€Z"
+    two = font(2, "<0041> <0062> <41> <0063>")
+    assert two.text(b"\0A\0BA") == "bc" and two.text(b"\0A\0B") == "b" and two.text(b"") == ""
+    assert font(3, "<000041> <0062>").text(b"\0\0A\0\0B\0\0A\0") == "bb"
+    assert pdf.Font(pdf.Document(b"%PDF"), {}).text(b"a\x80") == "a€"
