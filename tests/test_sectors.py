@@ -3,6 +3,7 @@ import struct
 
 from textloom.operators.cfb import CompoundFile
 from textloom.plans import packers
+from textloom.plans import sectors as module
 from textloom.plans.sectors import CIRCLE, LOST, SHARED, chains, fat_links, sectors
 
 
@@ -64,3 +65,19 @@ def test_tables_beyond_the_header(spark):
     data = bytes(head) + b"".join(struct.pack("<128I", *x) for x in (first, second, *table)) + bytes(size * 130)
     got = rows_of(sectors(spark.createDataFrame([("a", data)], "path string, content binary")))
     assert got == {("a", 4, 0, 4, None), ("a", 4, 1, 5, None), ("a", 4, 2, 130, None)}
+
+
+def test_files_that_are_done_are_written_no_more(spark, monkeypatch):
+    rows, stored = [], module.shared.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module.shared, "stored", counted)
+    short = [(f, s, s + 1 if s < 2 else None) for f in range(500) for s in range(3)]
+    links = [*short, *((-1, s, s + 1 if s < 255 else None) for s in range(256)), (-2, 7, 7), (-3, 1, None)]
+    got = rows_of(chains(spark.createDataFrame(links, "file long, sector long, next long")))
+    assert got == {*((f, 0, s, s, None) for f, s, _ in short), *((-1, 0, s, s, None) for s in range(256)), (-2, None, None, None, CIRCLE), (-3, 1, 0, 1, None)}
+    assert sum(rows) < 4 * len(links) + 8 * 256

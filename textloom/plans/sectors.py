@@ -2,7 +2,8 @@
 
 A compound file says for each sector which comes next. Walking a chain takes as many steps as it has sectors; here each sector points to the
 one before it, then, round by round, twice as far, so that a chain of n sectors is in order after about log2(n) joins over all
-files at once. Sectors that still point somewhere when every chain of that many sectors must have come to its first one run in a circle.
+files at once. A file takes part in as many rounds as its own sectors need; of those that are done nothing is exchanged or written any more.
+Sectors that still point somewhere when every chain of that many sectors must have come to its first one run in a circle.
 """
 
 from __future__ import annotations
@@ -27,20 +28,26 @@ def chains(links: DataFrame) -> DataFrame:
     (with ``error`` alone): a circle, whose sectors have no position; a next that is no sector of the file; a sector that two others name,
     which follows the smaller one. Rows without a file or sector are left out; repeated rows count once.
     """
-    links = shared.stored(links.select("file", "sector", "next").where("file IS NOT NULL AND sector IS NOT NULL").distinct(), "links")
-    named = links.where("next IS NOT NULL").groupBy("file", "next").agg(F.min("sector").alias("before"), F.count("*").alias("n"))
-    named = shared.stored(named.withColumnRenamed("next", "sector"), "named")
-    state = links.select("file", "sector").distinct().join(named, ["file", "sector"], "left")
-    state = shared.stored(state.select("file", "sector", F.col("before").alias("jump"), F.when(F.col("before").isNull(), F.col("sector")).alias("first"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("bigint").alias("position")), "ranks")
-    most = state.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(1, most.bit_length()) + 1):
+    links = links.select("file", *(F.col(c).cast("bigint").alias(c) for c in ("sector", "next"))).where("file IS NOT NULL AND sector IS NOT NULL")
+    # a sector meets all that name it in one exchange
+    ends = F.array(F.struct("sector", F.lit(None).cast("bigint").alias("before"), F.lit(True).alias("known")), F.struct(F.col("next").alias("sector"), F.col("sector").alias("before"), F.lit(False).alias("known")))
+    seen = links.select("file", F.inline(ends)).where("sector IS NOT NULL")
+    seen = shared.stored(seen.groupBy("file", "sector").agg(F.min("before").alias("before"), (F.min("before") != F.max("before")).alias("shared"), F.max("known").alias("known")), "seen")
+    known = seen.where("known").select("file", "sector", F.col("before").alias("jump"), F.when(F.col("before").isNull(), F.col("sector")).alias("first"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("bigint").alias("position"))
+    # after so many rounds no chain of a file of so many sectors goes on
+    rounds = known.groupBy("file").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("rounds"))
+    state = shared.stored(known.join(rounds, "file"), "ranks")
+    most, done, at = state.agg(F.max("rounds")).first()[0] or 0, [state.where("rounds = 0")], 0
+    while at < most:
+        # files that are done are written no more
+        state, at = state.where(F.col("rounds") > at), at + 1
         ahead = state.select("file", F.col("sector").alias("jump"), F.col("jump").alias("jump2"), F.col("first").alias("first2"), F.col("position").alias("position2"))
-        moved = state.where("jump IS NOT NULL").join(ahead, ["file", "jump"], "left").select("file", "sector", F.col("jump2").alias("jump"), F.col("first2").alias("first"), (F.col("position") + F.coalesce("position2", F.lit(0))).alias("position"))
+        moved = state.where("jump IS NOT NULL").join(ahead, ["file", "jump"], "left").select("file", "sector", F.col("jump2").alias("jump"), F.col("first2").alias("first"), (F.col("position") + F.coalesce("position2", F.lit(0))).alias("position"), "rounds")
         state = shared.stored(state.where("jump IS NULL").unionByName(moved), "ranks")
-        if state.where("jump IS NOT NULL").isEmpty():
-            break
+        done.append(state.where(F.col("rounds") == at))
+    state = reduce(DataFrame.unionByName, done)
     told = lambda rows, error: rows.select("file").distinct().select("file", F.lit(error).alias("error"))
-    faults = [told(state.where("jump IS NOT NULL"), CIRCLE), told(named.join(links, ["file", "sector"], "left_anti"), LOST), told(named.where("n > 1"), SHARED)]
+    faults = [told(state.where("jump IS NOT NULL"), CIRCLE), told(seen.where("NOT known"), LOST), told(seen.where("shared"), SHARED)]
     errors = reduce(DataFrame.unionByName, faults)
     null = lambda name: F.lit(None).cast("bigint").alias(name)
     good = state.where("jump IS NULL").select("file", F.col("first").cast("bigint").alias("first"), "position", F.col("sector").cast("bigint").alias("sector"), F.lit(None).cast("string").alias("error"))
