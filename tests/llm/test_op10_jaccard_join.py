@@ -145,6 +145,17 @@ def test_deduplicate_keeps_one_row_of_each_class(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 9]
 
 
+@pytest.mark.parametrize("hot", [3, 64])
+def test_pairs_get_the_values_of_a_node_once(spark, monkeypatch, hot):
+    """Copies of a node's values, as different tasks make them, are one when they meet the pairs."""
+    monkeypatch.setattr(op, "HOT", hot)
+    pairs = [(a, b) for a in range(6) for b in (10, 11 + a)]
+    values = spark.createDataFrame([(b, [b]) for b in range(100) for _ in range(3)], "b long, y array<long>").repartition(4)
+    out = op._with_nodes(spark.createDataFrame(pairs, "a long, b long"), "b", values)
+    assert out.columns.count("y") == 1 and "salt" not in out.columns and "hot" not in out.columns
+    assert sorted((r.a, r.b, tuple(r.y)) for r in out.collect()) == sorted((a, b, (b,)) for a, b in pairs)
+
+
 @pytest.mark.parametrize("names", ["_gone string", "row string", "other string", "node string", "key string"])
 def test_deduplicate_by_row(spark, names):
     x, y, z = "one text of this and that", "something else in quite other words", "a third text that nobody has seen"

@@ -262,16 +262,21 @@ def _some_or_all(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def _with_nodes(pairs: DataFrame, by: str, values: DataFrame) -> DataFrame:
-    """``pairs`` with the values of the node in column ``by``; pairs of hot nodes are dealt to parts."""
-    hot = stored(pairs.groupBy(by).agg(F.count("*").alias("k")).where(F.col("k") > HOT).select(by, F.lit(True).alias("hot")), "hot")
-    n = hot.count()
-    if not n:
-        return pairs.join(values, by)
-    hot = _some_or_all(hot, n)
-    dealt = pairs.join(hot, by, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    copies = values.join(hot, by, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return dealt.join(copies, [by, "salt"]).drop("salt")
+def _with_nodes(pairs: DataFrame, by: str, values: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with the values of the node in column ``by``; pairs of hot nodes are dealt to parts.
+
+    Only values of nodes that the column has are sent, and copies of a node's row become one where they meet the pairs.
+    ``ids`` are the same pairs without what else they carry.
+    """
+    ends = stored((pairs if ids is None else ids).groupBy(by).agg((F.count("*") > HOT).alias("hot")), "ends")
+    n, k = ends.agg(F.count("*"), F.count_if("hot")).first()
+    sent, at = values.join(_some_or_all(ends, n), by), [by]
+    if k:
+        hot = _some_or_all(ends.where("hot"), k)
+        pairs = pairs.join(hot, by, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+        sent, at = sent.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))), [by, "salt"]
+    sent = sent.groupBy(*at).agg(*[F.first(c).alias(c) for c in values.columns if c != by])
+    return pairs.join(sent, at).drop("salt")
 
 
 class _Join:
@@ -373,12 +378,9 @@ class _Join:
             return possible
         nodes = self._nodes(possible)
         members = self._texts_of(nodes).mapInArrow(frugal(_emit(lambda s: s, "members")), "node bigint, members array<bigint>")
-        n = nodes.count()
-        members = self._stored(members.join(_some_or_all(nodes, n), "node", "left_semi"), "members")
-        if members.count() > n:  # copies that different tasks met
-            members = members.groupBy("node").agg(F.first("members").alias("members"))
+        members = self._stored(members.join(_some_or_all(nodes, nodes.count()), "node", "left_semi"), "members")
         second = _with_nodes(possible, "b", members.select(F.col("node").alias("b"), F.col("members").alias("y")))
-        both = _with_nodes(second, "a", members.select(F.col("node").alias("a"), F.col("members").alias("x")))
+        both = _with_nodes(second, "a", members.select(F.col("node").alias("a"), F.col("members").alias("x")), possible)
         shared = F.size(F.array_intersect("x", "y"))
         return self._stored(both.where(100 * shared >= 80 * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
 
@@ -388,9 +390,8 @@ class _Join:
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose bitmaps leave room for a link: members that show in one bitmap only are in one set only."""
-        nodes = self._nodes(pairs)
-        maps = self.sketches.join(_some_or_all(nodes, nodes.count()), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        both = _with_nodes(_with_nodes(pairs, "b", maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y0"))), "a", maps.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x0")))
+        maps = self.sketches
+        both = _with_nodes(_with_nodes(pairs, "b", maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y0"))), "a", maps.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x0")), pairs)
         both = both.where("5 * least(n, m) >= 4 * greatest(n, m)").withColumn("x", F.expr(_FOLDED.format(x="x0", y="y0"))).withColumn("y", F.expr(_FOLDED.format(x="y0", y="x0")))
         most = f"least(n - {_ONLY.format(x='x', y='y')}, m - {_ONLY.format(x='y', y='x')})"
         return both.where(f"9 * {most} >= 4 * (n + m)").select("a", "b")
