@@ -32,6 +32,15 @@ def test_few_signs_that_are_valid_in_utf8_too(spark):
     assert [py_detect(d)[0] for d, _ in data] == [e for _, e in data]
 
 
+def test_single_signs_that_utf8_reads_as_usual_letters(spark):
+    signs = ["E木.", "A木木.", "?小.", "小", "1 小 小.", "木", "A.\nE木"]
+    usual = ["soľ", "Oľga", "Iľja", "kľuka", "cieľ 5", "kráľ", "ľúto", "(С) и"]
+    data = [(t.encode("gbk"), "gbk") for t in signs] + [(t.encode(), "utf-8") for t in usual]
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(data)], "id int, content binary")
+    assert {r.id: (r.encoding, r.text) for r in with_text(df).collect()} == {i: (e, d.decode(e)) for i, (d, e) in enumerate(data)}
+    assert [py_detect(d)[0] for d, _ in data] == [e for _, e in data]
+
+
 def test_expressions_equal_python(spark):
     rng = random.Random(7)
     data = [c for c, _ in cases()] + [b"\0", b"\xff", b"\x80" * 9, b"\xef\xbb", b"\xc3\xa9\xff"]
